@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, vocab: str, pattern: str, folder: str, eo
         end, ordinal, sink = np.array([eod], dtype), 0, None
         for batch in batches:
             if sink is None:
-                sink = store.open_output_stream(f"{top}/{name}")
+                sink = store.open_output_stream(f"{top}/{name}", compression=None)
             held, size = [], 0
             for t in batch.column(text_col):
                 ids = np.array(encode(t.as_py() or ""), dtype)

@@ -78,10 +78,20 @@ FROM o
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    from millrace.llm.quality_trees import fit, judge_documents
+
+    docs = table(spark, sf_dir, "documents")
+    found = judge_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe": op3_bpe,
     "op7_decontaminate": op7_decontaminate,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
 

@@ -78,6 +78,14 @@ FROM o
 """
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learnt outside the held-out third."""
+    from millrace.llm.langid_kn import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     from millrace.llm.quality_trees import fit, judge_documents
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe": op3_bpe,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }

@@ -18,6 +18,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, eod=50256).select("doc_id", "n_tokens")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from millrace.llm.main_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     from millrace.llm.bpe import round_trip
@@ -97,6 +104,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_main_text": op2_main_text,
     "op3_bpe": op3_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,

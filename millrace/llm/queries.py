@@ -32,6 +32,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
+    from millrace.llm.dart_minhash import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that benchmark windows cover."""
     from millrace.llm.decontaminate import contaminated_documents, with_digest
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_main_text": op2_main_text,
     "op3_bpe": op3_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
     "op9_quality": op9_quality,

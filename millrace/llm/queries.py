@@ -39,6 +39,20 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: pattern spans and those of the network."""
+    from millrace.llm.secret_cnn import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: pattern spans and those of the field."""
+    from millrace.llm.pii_crf import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that benchmark windows cover."""
     from millrace.llm.decontaminate import contaminated_documents, with_digest
@@ -114,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_main_text": op2_main_text,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_secrets": op5_secrets,
+    "op6_personal_data": op6_personal_data,
     "op7_decontaminate": op7_decontaminate,
     "op8_language": op8_language,
     "op9_quality": op9_quality,

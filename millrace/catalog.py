@@ -1,6 +1,510 @@
-"""All queries over the driver's tables, with the SQL each must agree with."""
+"""All queries over the driver's tables, with the SQL each must agree with.
+
+``QUERIES`` holds thin callables over the operators; ``ORACLE_SQL`` states the
+same results independently in DuckDB SQL.  Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace import schemas
+from millrace.functions import arrays, numeric, text, tokens
+from millrace.operators import batches, cache, checkpoints, conversion, metrics, scores, shards, splits, validate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+VALIDATION_SHARE, BASE_VOCAB, BUDGET, CHUNK = 0.05, 32_000, 60_000_000, 16
+KHMER_SAMPLES = [
+    (-1, "ខ្ញុំមាន $10 នៅឆ្នាំ 2026។"), (-2, "ថ្ងៃទី 5 ខែមករា ឆ្នាំ 2026"), (-3, "05/01/2026"), (-4, "៛5000"), (-5, "20000 រៀល"),
+    (-6, "2026"), (-7, "1000000"), (-8, "0"), (-9, "x5 12 3.14, 10km 096 -7 1,000 7%"), (-10, "៛5។ok"), (-11, "លេខ ០៩៦ ៣៣៣ ៤៤៤"), (-12, ""),
+]
+_VALUES = ", ".join(f"({i}, '{t}')" for i, t in KHMER_SAMPLES)
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def manifest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as clips: the audio columns follow from id and length."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("clip_id"), "doc_id", "text",
+        F.when(F.col("doc_id") % 17 != 0, F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav"))).alias("audio_path"),
+        (F.col("n_chars") / 15.0).alias("duration_seconds"),
+        F.when(F.col("doc_id") % 13 == 0, 16000).otherwise(24000).alias("sample_rate"), F.col("source").alias("speaker"),
+    )
+
+
+MANIFEST_SQL = """m AS (
+    SELECT 'doc_' || doc_id AS clip_id, doc_id, text, CASE WHEN doc_id % 17 <> 0 THEN source || '/' || doc_id || '.wav' END AS audio_path,
+           n_chars / 15.0::DOUBLE AS duration_seconds, CASE WHEN doc_id % 13 = 0 THEN 16000 ELSE 24000 END AS sample_rate, source AS speaker
+    FROM documents
+), s AS (
+    SELECT *, CASE WHEN ('0x' || substr(sha256(clip_id), 1, 8))::BIGINT % 10000 < 500 THEN 'validation' ELSE 'train' END AS split FROM m
+)"""
+
+
+@query(f"WITH {MANIFEST_SQL} SELECT clip_id, split FROM s")
+def split_assignment(spark, sf_dir):
+    return splits.assign_splits(manifest_view(spark, sf_dir), VALIDATION_SHARE).select("clip_id", "split")
+
+
+@query(f"WITH {MANIFEST_SQL} SELECT v.split, count(s.split) AS n FROM (VALUES ('train'), ('validation')) v(split) LEFT JOIN s ON s.split = v.split GROUP BY v.split")
+def split_counts(spark, sf_dir):
+    return splits.split_counts(splits.assign_splits(manifest_view(spark, sf_dir), VALIDATION_SHARE))
+
+
+@query(f"""WITH {MANIFEST_SQL} SELECT count(*) AS clips, round(sum(duration_seconds) / 3600, 6) AS hours, count(*) FILTER (split = 'train') AS train,
+    count(*) FILTER (split = 'validation') AS validation, count(speaker) AS with_speaker, round(100.0 * count(speaker) / greatest(count(*), 1), 6) AS speaker_percent FROM s""")
+def manifest_totals(spark, sf_dir):
+    found = splits.manifest_totals(splits.assign_splits(manifest_view(spark, sf_dir), VALIDATION_SHARE))
+    return found.withColumns({"hours": F.round("hours", 6), "speaker_percent": F.round("speaker_percent", 6)})
+
+
+_RUNS = f"{tokens.KHMER_CLASS}+|{tokens.OTHER_CLASS}+"
+
+
+@query(f"""SELECT doc_id, len(r) AS n_runs, len(list_filter(r, lambda x: regexp_matches(x, '^{tokens.KHMER_CLASS}'))) AS n_khmer, sha256(array_to_string(r, '|')) AS runs_sha256
+    FROM (SELECT doc_id, regexp_extract_all(text, '{_RUNS}') AS r FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_VALUES})))""")
+def script_runs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(spark.createDataFrame(KHMER_SAMPLES, "doc_id bigint, text string"))
+    r = rows.select("doc_id", tokens.script_runs(F.col("text")).alias("r"))
+    return r.select("doc_id", F.size("r").cast("bigint").alias("n_runs"), F.size(F.filter("r", lambda x: x["kind"] == "khmer")).cast("bigint").alias("n_khmer"), F.sha2(F.array_join(F.transform("r", lambda x: x["chunk"]), "|"), 256).alias("runs_sha256"))
+
+
+@query("""SELECT doc_id, len(b) AS n_ids, sha256(array_to_string(list_transform(b, lambda h: least(('0x' || h)::INT + 3, 31999)), ',')) AS ids_sha256
+    FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents)""")
+def byte_tokens(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select("doc_id", tokens.byte_ids(F.col("text"), BASE_VOCAB).alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
+
+
+@query("SELECT conv_id, turn, text = decode(encode(text)) AS same FROM conversations")
+def byte_round_trip(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (tokens.byte_text(tokens.byte_ids(F.col("text"))) == F.col("text")).alias("same"))
+
+
+@query("SELECT o_orderkey, array_to_string(list_filter([o_orderkey % 7, o_custkey % 9, 4, 5, o_orderkey % 3], lambda i: i > 4), ',') AS kept FROM orders")
+def reserved_filter(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(k, F.concat_ws(",", tokens.drop_reserved(F.array(k % 7, c % 9, F.lit(4).cast("bigint"), F.lit(5).cast("bigint"), k % 3)).cast("array<string>")).alias("kept"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS ch FROM conversations),
+    f AS (SELECT ch, min((conv_id, turn, pos)) AS first FROM c GROUP BY ch)
+    SELECT ch AS char, CAST(4 + row_number() OVER (ORDER BY first) AS INT) AS id FROM f""")
+def char_vocab(spark, sf_dir):
+    return tokens.char_vocabulary(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
+
+
+@query("SELECT o_orderkey, o_custkey % 8000 + 32000 AS extended, o_custkey % 8000 AS back, true AS is_added, (o_orderkey % 40000) < 32000 AS is_original FROM orders")
+def id_offsets(spark, sf_dir):
+    ext = tokens.to_extended(F.col("o_custkey") % tokens.KHMER_SIZE, BASE_VOCAB)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", ext.alias("extended"))
+    return rows.select("o_orderkey", "extended", tokens.from_extended(F.col("extended"), BASE_VOCAB).alias("back"), tokens.is_extended(F.col("extended"), BASE_VOCAB).alias("is_added"), tokens.is_original(F.col("o_orderkey") % 40_000, BASE_VOCAB).alias("is_original"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_partkey >= 100 AS khmer, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem),
+    i AS (SELECT *, pos - row_number() OVER (PARTITION BY l_orderkey, khmer ORDER BY pos) AS g FROM t),
+    r AS (SELECT l_orderkey, khmer, g, min(pos) AS first_pos, count(*) AS n_ids FROM i GROUP BY ALL)
+    SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY first_pos) - 1 AS run, khmer, first_pos, n_ids FROM r""")
+def decode_runs(spark, sf_dir):
+    dense = batches.ordinals(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", by=("l_orderkey",), name="pos")
+    return tokens.decode_runs(dense, "l_orderkey", "pos", "l_partkey", 100)
+
+
+_REASON = """CASE WHEN audio_path IS NULL OR audio_path = '' THEN 'missing_audio_path' WHEN text IS NULL OR trim(text, ' \t\n\r') = '' THEN 'empty_text' WHEN length(text) > 500 THEN 'text_too_long'
+    WHEN duration_seconds < 0.3 THEN 'audio_too_short' WHEN duration_seconds > 30.0 THEN 'audio_too_long' WHEN sample_rate <> 24000 THEN 'unexpected_sample_rate_' || sample_rate END"""
+
+
+def _validated(spark, sf_dir):
+    rows = manifest_view(spark, sf_dir).withColumn("ids", tokens.byte_ids(F.col("text"), BASE_VOCAB))
+    return validate.validate(rows, ids=F.col("ids"), vocab_size=tokens.vocabulary_total(BASE_VOCAB))
+
+
+@query(f"WITH {MANIFEST_SQL} SELECT clip_id, {_REASON} AS reason FROM m")
+def validation_reasons(spark, sf_dir):
+    return _validated(spark, sf_dir)
+
+
+@query(f"WITH {MANIFEST_SQL}, v AS (SELECT clip_id, {_REASON} AS reason FROM m) SELECT reason, count(*) AS n, (SELECT count(*) FROM v) AS total, (SELECT count(*) FROM v WHERE reason IS NULL) AS ok FROM v WHERE reason IS NOT NULL GROUP BY reason")
+def validation_summary(spark, sf_dir):
+    return validate.summary(_validated(spark, sf_dir))
+
+
+@query(f"""WITH {MANIFEST_SQL}, v AS (SELECT clip_id, {_REASON} AS reason FROM m), r AS (SELECT reason, count(*) AS n, min(clip_id) AS first FROM v WHERE reason IS NOT NULL GROUP BY reason)
+    SELECT (SELECT count(reason IS NULL OR NULL) || '/' || count(*) || ' valid' FROM v) || (SELECT string_agg(chr(10) || '  ' || reason || ': ' || n, '' ORDER BY n DESC, first) FROM r) AS report""")
+def validation_report(spark, sf_dir):
+    return validate.report(_validated(spark, sf_dir))
+
+
+@query(f"WITH {MANIFEST_SQL} SELECT clip_id FROM m WHERE ({_REASON}) IS NULL")
+def usable_clips(spark, sf_dir):
+    return validate.usable(manifest_view(spark, sf_dir)).select("clip_id")
+
+
+@query(f"SELECT o_orderkey, translate(o_custkey::VARCHAR, '0123456789', '{text.KHMER_DIGITS}') AS khmer, o_custkey::VARCHAR AS back FROM orders")
+def khmer_digits(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.translate(F.col("o_custkey").cast("string"), "0123456789", text.KHMER_DIGITS).alias("khmer"))
+    return rows.withColumn("back", text.khmer_digits_to_ascii(F.col("khmer")))
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _sql_words(digits: str) -> str:
+    """Number words in DuckDB SQL: six digits at a time, from tables of words by place."""
+    silent = ["", *text.DIGIT_WORDS[1:]]
+    rows = [[w and w + u for w in silent] for u in text.UNIT_WORDS] + [text.TENS_WORDS, silent]
+    group = " || ".join(f"{_sql_list(r)}[g[{i + 1}]::INT + 1]" for i, r in enumerate(rows))
+    bare = f"ltrim({digits}, '0')"
+    padded = f"lpad({bare}, (ceil(length({bare}) / 6.0) * 6)::INT, '0')"
+    return f"CASE WHEN {bare} = '' THEN '{text.DIGIT_WORDS[0]}' ELSE array_to_string(list_transform(regexp_extract_all({padded}, '[0-9]{{6}}'), lambda g: {group}), '{text.MILLION}') END"
+
+
+_BIG = "(o_orderkey * o_custkey * 7919 * (1 + o_orderkey % 3) - CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey * o_custkey * 7919 * (1 + o_orderkey % 3) * 2 ELSE 0 END)"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN n < 0 THEN '{text.MINUS}' ELSE '' END || {_sql_words('abs(n)::VARCHAR')} AS words FROM (SELECT o_orderkey, {_BIG} AS n FROM orders)")
+def number_words(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    n = k * c * 7919 * (1 + k % 3)
+    return table(spark, sf_dir, "orders").select(k, text.integer_words(F.when(k % 11 == 0, -n).otherwise(n)).alias("words"))
+
+
+@query(f"""SELECT p_partkey, {_sql_words("split_part(p_retailprice::DECIMAL(18, 2)::VARCHAR, '.', 1)")} || '{text.POINT}' ||
+    array_to_string(list_transform(string_split(split_part(p_retailprice::DECIMAL(18, 2)::VARCHAR, '.', 2), ''), lambda d: {_sql_list(text.DIGIT_WORDS)}[d::INT + 1]), '') AS words FROM part""")
+def decimal_words(spark, sf_dir):
+    parts = F.split(F.col("p_retailprice").cast("decimal(18,2)").cast("string"), r"\.")
+    return table(spark, sf_dir, "part").select("p_partkey", text.decimal_words(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("words"))
+
+
+@query()
+def normalize_text(spark, sf_dir):
+    """Rows only: the five passes use lookbehind, which DuckDB's expressions lack; tests hold a plain model against it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(spark.createDataFrame(KHMER_SAMPLES, "doc_id bigint, text string"))
+    return rows.select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+
+
+_ORDERED = "o AS (SELECT clip_id, (duration_seconds * 50400.0)::DOUBLE AS d, row_number() OVER (ORDER BY sha256(clip_id), clip_id) AS i FROM m), z AS (SELECT clip_id, i, trunc(d)::BIGINT AS bytes FROM o)"
+_FOLD = f"""w(i, clip_id, bytes, shard, used) AS (
+    SELECT i, clip_id, bytes, 0, bytes FROM z WHERE i = 1
+    UNION ALL SELECT z.i, z.clip_id, z.bytes, CASE WHEN w.used + z.bytes > {BUDGET} THEN w.shard + 1 ELSE w.shard END, CASE WHEN w.used + z.bytes > {BUDGET} THEN z.bytes ELSE w.used + z.bytes END
+    FROM w JOIN z ON z.i = w.i + 1)"""
+
+
+def _planned(spark, sf_dir):
+    return shards.plan_shards(manifest_view(spark, sf_dir).select("clip_id", F.least("duration_seconds", F.lit(1000.0)).alias("duration_seconds")), BUDGET, 50_400.0)
+
+
+_PLAN_SQL = f"WITH RECURSIVE {MANIFEST_SQL.replace('n_chars / 15.0::DOUBLE', 'least(n_chars / 15.0::DOUBLE, 1000.0)')}, {_ORDERED}, {_FOLD}"
+
+
+@query(f"{_PLAN_SQL} SELECT clip_id, bytes, shard FROM w")
+def shard_plan(spark, sf_dir):
+    return _planned(spark, sf_dir)
+
+
+@query(f'{_PLAN_SQL} SELECT shard AS "index", count(*) AS n_clips, sum(bytes)::BIGINT AS total_audio_bytes FROM w GROUP BY shard')
+def shard_table(spark, sf_dir):
+    return shards.shard_table(_planned(spark, sf_dir))
+
+
+@query(f'{_PLAN_SQL} SELECT DISTINCT shard AS "index" FROM w WHERE shard % 3 <> 0')
+def shard_pending(spark, sf_dir):
+    table_ = shards.shard_table(_planned(spark, sf_dir)).select("index")
+    done = table_.where("index % 3 = 0").select(F.col("index").alias("shard_index"))
+    return shards.pending(table_, shards.complete(done, done))
+
+
+@query(f'{_PLAN_SQL} SELECT shard AS "index", array_to_string(list(clip_id ORDER BY sha256(clip_id), clip_id), \',\') AS clip_ids FROM w GROUP BY shard')
+def shard_clip_ids(spark, sf_dir):
+    return shards.shard_clips(_planned(spark, sf_dir)).select("index", F.array_join("clip_ids", ",").alias("clip_ids"))
+
+
+@query(f"WITH {MANIFEST_SQL} SELECT clip_id, row_number() OVER (ORDER BY sha256(clip_id), clip_id) - 1 AS place FROM m")
+def stable_order(spark, sf_dir):
+    rows = manifest_view(spark, sf_dir).select("clip_id", F.sha2("clip_id", 256).alias("h"))
+    return batches.ordinals(rows, "h", "clip_id", name="place").select("clip_id", "place")
+
+
+_LAST = "SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
+
+
+@query(_LAST)
+def cache_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return cache.last_by_key(rows, "user_id", "ts", "event_id").select("user_id", "event_type", "value", "event_id")
+
+
+@query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM (SELECT DISTINCT user_id FROM events)")
+def cache_merge(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return cache.upsert(users.withColumn("version", F.lit("old")), users.where("user_id % 2 = 0").withColumn("version", F.lit("new")), "user_id")
+
+
+@query(f"SELECT e.event_id, c.event_id AS cached_event FROM events e JOIN ({_LAST}) c USING (user_id)")
+def cache_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    held = cache.last_by_key(rows.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").select("user_id", F.col("event_id").alias("cached_event"), F.lit("v1").alias("codec_revision"))
+    return cache.lookup(rows.select("event_id", "user_id"), held, "v1", "user_id").select("event_id", "cached_event")
+
+
+@query("""SELECT clip_id, '{"text":"' || l || '","n":' || n || '}' AS record FROM (SELECT 'doc_' || doc_id AS clip_id, lang AS l, n_chars AS n FROM documents)""")
+def cache_payload(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("clip_id"), F.col("lang").alias("text"), F.col("n_chars").alias("n"))
+    return cache.payload(rows)
+
+
+@query("""WITH k AS (SELECT n_nationkey, unnest([('architecture_version', 'a1', CASE WHEN n_nationkey % 5 = 0 THEN 'a2' ELSE 'a1' END), ('base_model', n_name, n_name), ('tokenizer', 't', 't'), ('dataset', CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END, n_name),
+    ('vocab_size', '40000', '40000'), ('hidden_dim', NULL, NULL)]) AS x FROM nation) SELECT n_nationkey, x[1] AS field, x[2] AS saved, x[3] AS current FROM k WHERE x[2] IS DISTINCT FROM x[3]""")
+def metadata_diff(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    side = lambda version, data: n.select("n_nationkey", version.alias("architecture_version"), F.col("n_name").alias("base_model"), F.lit("t").alias("tokenizer"), data.alias("dataset"), F.lit(40_000).alias("vocab_size"))
+    saved = side(F.lit("a1"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")))
+    return checkpoints.differences(saved, side(F.when(F.col("n_nationkey") % 5 == 0, "a2").otherwise("a1"), F.col("n_name")), "n_nationkey")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM conversations),
+    n AS (SELECT conv_id, max(len(ids)) AS longest FROM t GROUP BY conv_id), p AS (SELECT conv_id, turn, ids, (ceil(longest / 8.0) * 8)::INT AS padded FROM t JOIN n USING (conv_id))
+    SELECT conv_id, turn, padded AS padded_length, sha256(array_to_string(list_concat(ids, list_transform(range(padded - len(ids)), lambda x: 0)), ',')) AS input_sha256,
+        sha256(array_to_string(list_concat(ids, list_transform(range(padded - len(ids)), lambda x: -100)), ',')) AS labels_sha256, len(ids) AS attended FROM p""")
+def pad_batch(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split("text", " ", -1), F.length).alias("ids"))
+    found = batches.pad_batches(rows.withColumn("labels", F.col("ids")), "conv_id", "ids", "labels", multiple=8)
+    digest = lambda c: F.sha2(F.concat_ws(",", F.col(c).cast("array<string>")), 256)
+    return found.select("conv_id", "turn", "padded_length", digest("input_ids").alias("input_sha256"), digest("padded_labels").alias("labels_sha256"), F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("attended"))
+
+
+@query("SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:16], ' ') AS head FROM conversations")
+def truncate_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(arrays.truncate(F.split("text", " ", -1), 16), " ").alias("head"))
+
+
+@query("""SELECT item_id::VARCHAR AS sentence_id, 'short' AS category, e AS experiment_id, l AS listener, '' AS pronunciation, '' AS naturalness, '' AS english_preservation, '' AS no_severe_artifacts, '' AS notes
+    FROM benchmark, (VALUES ('EXP001'), ('EXP002')) x(e), (VALUES ('listener_1'), ('listener_2')) y(l)""")
+def eval_template(spark, sf_dir):
+    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text", F.lit("short").alias("category"))
+    return scores.template(s, ["EXP001", "EXP002"])
+
+
+@query("""WITH r AS (SELECT 'EXP' || (user_id % 7) AS experiment_id, user_id % 7 <> 3 AND event_id % 5 <> 0 AS scored, (3 + event_id % 3)::DOUBLE AS p, (2 + event_id % 4)::DOUBLE AS n, (4 + event_id % 2)::DOUBLE AS e, event_id % 97 = 0 AS bad FROM events),
+    a AS (SELECT experiment_id, count(*) FILTER (scored) AS n_scored, coalesce(sum(p) FILTER (scored), 0) / greatest(count(*) FILTER (scored), 1) AS pronunciation, coalesce(sum(n) FILTER (scored), 0) / greatest(count(*) FILTER (scored), 1) AS naturalness,
+        coalesce(sum(e) FILTER (scored), 0) / greatest(count(*) FILTER (scored), 1) AS english_preservation, count(*) FILTER (scored AND bad) AS severe_artifact_count FROM r GROUP BY experiment_id)
+    SELECT *, concat_ws(',', CASE WHEN pronunciation < 4.0 THEN 'pronunciation' END, CASE WHEN naturalness < 3.8 THEN 'naturalness' END, CASE WHEN english_preservation < 3.8 THEN 'english_preservation' END) AS failed_gates,
+        pronunciation >= 4.0 AND naturalness >= 3.8 AND english_preservation >= 3.8 AND severe_artifact_count = 0 AS passes_release_gate FROM a""")
+def score_summary(spark, sf_dir):
+    k, u = F.col("event_id"), F.col("user_id")
+    scored = (u % 7 != 3) & (k % 5 != 0)
+    cell = lambda c: F.when(scored, c.cast("string")).otherwise("")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("EXP"), (u % 7).cast("string")).alias("experiment_id"), cell(3 + k % 3).alias("pronunciation"), cell(2 + k % 4).alias("naturalness"), cell(4 + k % 2).alias("english_preservation"), cell(F.when(k % 97 == 0, 0).otherwise(1)).alias("no_severe_artifacts"))
+    return scores.summarize(rows).withColumn("failed_gates", F.array_join("failed_gates", ","))
+
+
+# Warm-up, plateau and decay ends, and rates of each experiment's parameter groups.
+SCHEDULES = [
+    ("EXP001", "lora", 2000, 10000, 35000, 5e-5, 1e-4, 1e-5), ("EXP001", "khmer_embedding", 2000, 10000, 35000, 1e-4, 2e-4, 2e-5),
+    ("EXP002", "lora", 2000, 10000, 35000, 2.5e-5, 5e-5, 5e-6), ("EXP002", "khmer_embedding", 2000, 10000, 35000, 5e-5, 1e-4, 1e-5),
+    ("EXP003", "lora", 2000, 10000, 35000, 1e-4, 2e-4, 2e-5), ("EXP003", "khmer_embedding", 2000, 10000, 35000, 1e-4, 2e-4, 2e-5),
+]
+
+
+@query("""SELECT step, e AS experiment_id, g AS param_group, CASE WHEN step <= 0 THEN a WHEN step <= 2000 THEN a + (step::DOUBLE / 2000) * (p - a) WHEN step <= 10000 THEN p WHEN step <= 35000 THEN p + ((step - 10000)::DOUBLE / 25000) * (z - p) ELSE z END AS lr
+    FROM range(0, 40001) r(step), (VALUES """ + ", ".join(f"('{e}', '{g}', {a}::DOUBLE, {p}::DOUBLE, {z}::DOUBLE)" for e, g, _, _, _, a, p, z in SCHEDULES) + ") s(e, g, a, p, z)")
+def lr_schedule(spark, sf_dir):
+    for s in SCHEDULES:
+        numeric.check_schedule(*s[2:5])
+    stages = spark.createDataFrame(SCHEDULES, schemas.SCHEDULE)
+    steps = spark.range(40_001).withColumnRenamed("id", "step")
+    return steps.crossJoin(F.broadcast(stages)).select("step", "experiment_id", "param_group", numeric.learning_rate(F.col("step")).alias("lr"))
+
+
+@query("SELECT event_id, value < coalesce(min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS improved FROM events")
+def best_so_far(spark, sf_dir):
+    return metrics.best_so_far(table(spark, sf_dir, "events"), "value", "event_id", "user_id").select("event_id", "improved")
+
+
+@query("SELECT event_id FROM events WHERE event_id > 0 AND event_id % 500 = 0")
+def step_filter(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(numeric.due(F.col("event_id"), 500)).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 50 = 0 OR event_id = 1")
+def log_steps(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(numeric.log_due(F.col("event_id"), 50)).select("event_id")
+
+
+@query("SELECT event_id, round(epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6, 3) AS seconds FROM events")
+def step_elapsed(spark, sf_dir):
+    return metrics.elapsed(table(spark, sf_dir, "events"), "ts", "user_id").select("event_id", F.round("seconds", 3).alias("seconds"))
+
+
+@query("SELECT event_id, step FROM (SELECT event_id, step, lag(step) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT event_id, user_id, event_id // 100 % 5 AS step FROM events) WHERE step > 0) WHERE step IS DISTINCT FROM before")
+def new_steps(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.floor(F.col("event_id") / 100) % 5).alias("step"))
+    return metrics.new_steps(rows, "step", "event_id", "user_id").select("event_id", "step")
+
+
+@query("SELECT round(avg(m), 6) AS mean FROM (SELECT event_id % 4 AS r, avg(value) AS m FROM events GROUP BY r)")
+def rank_mean_of_means(spark, sf_dir):
+    return metrics.mean_of_means(table(spark, sf_dir, "events").withColumn("rank", F.col("event_id") % 4), "rank", "value").select(F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT round(coalesce(avg(value), 0), 6) AS mean FROM (SELECT value FROM events ORDER BY ts, event_id LIMIT 50)")
+def capped_mean(spark, sf_dir):
+    return metrics.capped_mean(table(spark, sf_dir, "events"), "value", "ts", "event_id").select(F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT user_id, (r // 16)::BIGINT AS micro_batch, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r FROM events) GROUP BY ALL")
+def micro_batch_mean(spark, sf_dir):
+    rows = batches.ordinals(table(spark, sf_dir, "events"), "event_id", by=("user_id",))
+    return metrics.micro_batch_means(rows, "ordinal", "value", CHUNK, "user_id").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms, true AS finite, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) < 1e-4 AS silent FROM embeddings")
+def rms_check(spark, sf_dir):
+    return metrics.audio_check(table(spark, sf_dir, "embeddings"), "embedding", "vec_id").withColumn("rms", F.round("rms", 6))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: (embedding[i]::DOUBLE + embedding[i + 32]::DOUBLE) / 2)), 5) AS total FROM embeddings")
+def mono_mix(spark, sf_dir):
+    e = F.col("embedding")
+    m = arrays.mono(F.array(F.slice(e, 1, 32), F.slice(e, 33, 32)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(m, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("SELECT conv_id, turn, [len(string_split(text, ' ')[1:turn + 3]), len(string_split(text, ' ')[1:turn + 3])] AS sizes FROM conversations")
+def trim_codes(spark, sf_dir):
+    w = F.split("text", " ", -1)
+    cut = arrays.trim_codes(F.array(w, w), F.col("turn").cast("int") + 3)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(cut, lambda c: F.size(c).cast("bigint")).alias("sizes"))
+
+
+@query("SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 10 BETWEEN 3 AND 6 THEN o_custkey END, CASE WHEN o_custkey % 10 BETWEEN 3 AND 6 THEN o_orderkey END], lambda x: x IS NOT NULL), ',') AS labels FROM orders")
+def mask_gather(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(k, F.concat_ws(",", arrays.gather_labels(F.array(k % 10, c % 10), F.array(c, k), 3, 6).cast("array<string>")).alias("labels"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ((2000 * n + 16000) // 32000) / 1000 AS duration_seconds FROM (SELECT l_orderkey, l_linenumber, l_partkey * 8 + 16000 AS n FROM lineitem)")
+def durations(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numeric.duration_seconds(F.col("l_partkey") * 8 + 16_000, F.lit(16_000)).alias("duration_seconds"))
+
+
+@query("SELECT source, round(sum(octet_length(encode(text)))::DOUBLE / sum(n_chars / 15.0::DOUBLE), 6) AS rate FROM documents GROUP BY source")
+def byte_rate(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.groupBy("source").agg(F.round(numeric.byte_rate(F.octet_length("text"), F.col("n_chars") / 15.0), 6).alias("rate"))
+
+
+@query("SELECT doc_id, trunc(n_chars / 15.0::DOUBLE * 50400.0::DOUBLE)::BIGINT AS audio, trunc(n_chars / 15.0::DOUBLE * 75.0::DOUBLE * 2 * 5)::BIGINT AS semantic FROM documents")
+def size_estimates(spark, sf_dir):
+    d = F.col("n_chars") / 15.0
+    return table(spark, sf_dir, "documents").select("doc_id", numeric.audio_bytes(d, 50_400.0).alias("audio"), numeric.semantic_bytes(d).alias("semantic"))
+
+
+@query("SELECT sum(p_size)::BIGINT AS total, coalesce(sum(p_size) FILTER (p_partkey % 7 = 0 OR p_partkey % 11 = 0), 0)::BIGINT AS trainable, round(100.0 * coalesce(sum(p_size) FILTER (p_partkey % 7 = 0 OR p_partkey % 11 = 0), 0) / sum(p_size), 6) AS percent FROM part")
+def trainable_parameters(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("layers.lora_A."), k.cast("string"))).when(k % 11 == 0, F.concat(F.lit("embeddings."), k.cast("string"))).otherwise(F.concat(F.lit("body."), k.cast("string")))
+    found = metrics.trainable_parameters(table(spark, sf_dir, "part").select(name.alias("name"), F.col("p_size").cast("bigint").alias("n")))
+    return found.withColumn("percent", F.round("percent", 6))
+
+
+@query("SELECT count(*) AS checked, count(*) FILTER (user_id % 10 = 0) AS failed, count(*) FILTER (user_id % 10 <> 0) AS passed FROM events WHERE event_id % 4 <> 0")
+def codec_tally(spark, sf_dir):
+    one = F.array_repeat(F.lit(1), 5)
+    codes = F.when(F.col("event_id") % 4 == 0, F.slice(F.array(one), 1, 0)).otherwise(F.array(one, F.when(F.col("user_id") % 10 == 0, F.slice(one, 1, 3)).otherwise(one)))
+    return metrics.codec_tally(table(spark, sf_dir, "events").select(codes.alias("codes")))
+
+
+@query("SELECT sum(len(string_split(text, '.')))::BIGINT AS n_sentences FROM documents")
+def sentence_count(spark, sf_dir):
+    return metrics.sentence_count(table(spark, sf_dir, "documents").select(F.split("text", r"\.", -1).alias("sentences")))
+
+
+@query("SELECT round(stddev_samp(x), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)")
+def weight_spread(spark, sf_dir):
+    return metrics.weight_spread(table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("e")), "e").select(F.round("std", 6).alias("std"))
+
+
+@query("""SELECT 'omni_' || (CASE WHEN c_custkey % 5 = 0 THEN 'dev' ELSE 'train' END) || '_' || replace(c_name, '#', '_') AS clip_id, c_mktsegment AS text, CASE WHEN c_custkey % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
+    '/audio/x/' || replace(c_name, '#', '_') || '.flac' AS audio_path, ((2000 * (c_custkey * 8 + 16000) + 16000) // 32000) / 1000 AS duration_seconds, 16000 AS sample_rate, CASE WHEN c_custkey % 3 = 0 THEN 'spk' || c_nationkey END AS speaker, 'customers' AS source
+    FROM customer WHERE c_custkey % 10 <> 7 AND c_custkey % 4 <> 0""")
+def manifest_conversion(spark, sf_dir):
+    k = F.col("c_custkey")
+    base = table(spark, sf_dir, "customer").withColumns({"split": F.when(k % 10 == 7, "test").when(k % 5 == 0, "dev").otherwise("train"), "ordinal": k, "relpath": F.concat(F.lit("x/"), F.translate("c_name", "#", "_"), F.lit(".flac"))})
+    samples = base.select("split", "ordinal", "relpath", (k * 8 + 16_000).alias("num_samples"))
+    speakers = base.select("ordinal", F.when(k % 3 == 0, F.array(F.concat(F.lit("spk"), F.col("c_nationkey").cast("string")))).otherwise(F.slice(F.array(F.lit("")), 1, 0)).alias("names"))
+    return conversion.convert(samples, base.select("split", "ordinal", F.col("c_mktsegment").alias("text")), speakers, base.where(k % 4 != 0).select("relpath"), "/audio", 16_000, "customers")
+
+
+@query("SELECT CASE WHEN c_custkey % 5 = 0 THEN 'dev' ELSE 'train' END AS split, count(*) AS missing FROM customer WHERE c_custkey % 4 = 0 GROUP BY ALL")
+def missing_audio(spark, sf_dir):
+    k = F.col("c_custkey")
+    base = table(spark, sf_dir, "customer").select(F.when(k % 5 == 0, "dev").otherwise("train").alias("split"), F.col("c_name").alias("relpath"), k)
+    return conversion.missing_audio(base, base.where(k % 4 != 0).select("relpath"))
+
+
+@query("SELECT p_partkey, p_name AS kept_key, p_size AS kept_value FROM part")
+def renamed_keys(spark, sf_dir):
+    m = F.create_map(F.concat(F.lit("generator."), F.col("p_name")), F.col("p_size"), F.lit("decoder.x"), F.lit(0))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(cache.renamed_keys(m)).alias("kept_key", "kept_value"))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 2 = 0 OR o_custkey % 2 = 1) AS same FROM orders")
+def same_modules(spark, sf_dir):
+    a = F.array(F.lit("attention"), F.lit("mlp"))
+    b = F.when((F.col("o_orderkey") % 2 == 0) | (F.col("o_custkey") % 2 == 1), F.array(F.lit("mlp"), F.lit("attention"), F.lit("mlp"))).otherwise(F.array(F.lit("mlp")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", arrays.same_set(a, b).alias("same"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'extra' WHEN o_orderkey % 3 = 0 THEN 'architecture' ELSE 'base' END AS winner, 3 AS n_keys FROM orders")
+def metadata_merge(spark, sf_dir):
+    k = F.col("o_orderkey")
+    none = F.map_filter(F.create_map(F.lit("k"), F.lit("")), lambda k, v: F.lit(False))
+    merged = checkpoints.merged_metadata(
+        F.create_map(F.lit("k"), F.lit("base"), F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")),
+        F.when(k % 3 == 0, F.create_map(F.lit("k"), F.lit("architecture"))).otherwise(none),
+        F.when(k % 2 == 0, F.create_map(F.lit("k"), F.lit("extra"))).otherwise(none),
+    )
+    return table(spark, sf_dir, "orders").select(k, F.element_at(merged, "k").alias("winner"), F.size(merged).alias("n_keys"))
+
+
+@query("SELECT user_id, step, event_id FROM (SELECT *, lag(step) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT event_id, user_id, event_id // 100 % 5 AS step FROM events) WHERE step > 0) WHERE step IS DISTINCT FROM before")
+def stream_new_steps(spark, sf_dir):
+    """The events as a file stream, step changes by user kept in state across batches."""
+    from millrace.streaming import watch
+
+    static = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet")
+    steps = stream.select("user_id", (F.floor(F.col("event_id") / 100) % 5).alias("step"), "event_id")
+    out, log = shards.scratch(spark, "steps"), shards.scratch(spark, "steps-log")
+    watch.run_available(watch.new_steps(steps, "user_id", "step", "event_id"), log, watch.idempotent(out))
+    return spark.read.parquet(out).select("user_id", "step", "event_id")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    from millrace.sources.files import hadoop_path
+
+    p, store = hadoop_path(spark, path)
+    return store.getFileStatus(p).isDirectory()

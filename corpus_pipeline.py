@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, dart_minhash, decontaminate, langid_kn, pii_crf
-from millrace.llm.common import staged, table
+from millrace.llm.common import packed, staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    found = langid_kn.identify(docs, langid_kn.fit(docs), carry=tuple(names))
-    return found.where("accepted").select(*(F.col(f"`{c}`") for c in names))
+    found = langid_kn.identify(packed(docs, "doc_id", "text"), langid_kn.fit(docs), carry=("row",))
+    return found.where("accepted").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    found = decontaminate.contaminated_documents(docs, table(spark, sf_dir, "benchmark"), carry=tuple(names))
-    return found.where("not contaminated").select(*(F.col(f"`{c}`") for c in names))
+    found = decontaminate.contaminated_documents(packed(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=("row",))
+    return found.where("not contaminated").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

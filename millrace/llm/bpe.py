@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import keep, map_batches
+from millrace.llm.common import keep, map_batches, schema_with
 
 #: The word pattern of byte-level BPE vocabularies of this family.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -249,7 +249,7 @@ def encode_documents(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_c
     """
     names = [id_col, *carry]
     out = keep(docs, *names, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*names).schema) + ", n_tokens bigint, token_ids array<int>"
+    schema = schema_with(out, names, "n_tokens bigint, token_ids array<int>")
 
     def make():
         bpe = load(vocab)

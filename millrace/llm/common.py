@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows per Arrow batch are left to the session; texts are handled one by one.
 _SWEPT: set[str] = set()
@@ -59,7 +60,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def schema_with(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The fields of these columns of ``df``, and those of a DDL string."""
+    return T.StructType([*df.select(*(F.col(f"`{c}`") for c in names)).schema, *T.StructType.fromDDL(more)])
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns beside ``row``, which holds all of them; so no column of a table can clash with an operator's."""
+    return df.select(*(F.col(f"`{c}`") for c in columns), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with per-task state: ``make`` runs once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

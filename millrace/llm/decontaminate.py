@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keep, staged
+from millrace.llm.common import keep, schema_with, staged
 
 WINDOW = 10
 #: Bytes of item text in one part of the benchmark.
@@ -116,9 +116,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, id_col: str =
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw")).where("item is not null and length(raw) > 0")
     size = items.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
-    cols = [f for f in out.schema if f.name in names]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols)
-    texts = f", `{text_col}` string" if text_col not in names else ""
+    whole = [] if text_col in names else [text_col]
     current = out.withColumns({"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else items
@@ -145,10 +143,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, id_col: str =
                 if last:
                     yield pa.RecordBatch.from_arrays([*base, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array([h > 0 for h in hit], pa.bool_())], [*names, "n_words", "n_hit", "item_ids", "contaminated"])
                 else:
-                    whole = [] if text_col in names else [text_col]
                     yield pa.RecordBatch.from_arrays([*base, *(batch.column(c) for c in whole), pa.array(flat, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], [*names, *whole, "_spans", "_items"])
 
-        schema = f"{kept}, n_words bigint, n_hit bigint, item_ids array<string>, contaminated boolean" if last else f"{kept}{texts}, _spans array<int>, _items array<string>"
+        schema = schema_with(out, names, "n_words bigint, n_hit bigint, item_ids array<string>, contaminated boolean") if last else schema_with(out, names + whole, "_spans array<int>, _items array<string>")
         current = current.mapInArrow(run, schema)
         if not last:
             current = staged(current, "decontaminate-part")

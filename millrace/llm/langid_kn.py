@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keep
+from millrace.llm.common import keep, schema_with
 
 ORDER = 4
 TRAIN_DOCS, TRAIN_CHARS = 400, 500_000
@@ -299,5 +299,5 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 [*names, "held_out", "lang_pred", "score", "accepted"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*names).schema) + ", held_out boolean, lang_pred string, score double, accepted boolean"
+    schema = schema_with(out, names, "held_out boolean, lang_pred string, score double, accepted boolean")
     return out.mapInArrow(run, schema)

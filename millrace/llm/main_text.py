@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import keep
+from millrace.llm.common import keep, schema_with
 
 #: Blocks shorter than this are ambiguous; prose of at least LONG characters is good on its own.
 SHORT, LONG = 70, 200
@@ -238,7 +238,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``carry``, ``text`` and ``n_chars`` of every page; one pass without a shuffle."""
     out = keep(pages, *carry, html_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*carry).schema) + ", text string, n_chars bigint"
+    schema = schema_with(out, list(carry), "text string, n_chars bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -60,7 +60,7 @@ def plan_shards(clips: DataFrame, budget: int, rate: float = AUDIO_BYTES_PER_SEC
 
         rows = ordered.where(F.col("part") == p).select("place", "bytes").coalesce(1).mapInPandas(step, "start bigint, used bigint, n bigint").collect()
         starts += [(p, r.start, len(starts) + i) for i, r in enumerate(x for x in rows if x.start >= 0)]
-        used, begun = next(r.used for r in rows if r.start < 0), begun or rows[0].n > 0
+        used, begun = next((r.used for r in rows if r.start < 0), used), begun or any(r.n for r in rows)
     # one row per shard: the shard of a clip is the last one that began at or before it
     begins = spark.createDataFrame(starts, "part int, place bigint, shard int")
     marked = ordered.select("clip_id", "bytes", "part", "place").join(F.broadcast(begins), ["part", "place"], "left")

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,12 +115,15 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked += len(parts[-1].strip())
 
-    at, search = 0, _TAG.search
-    while m := search(page, at):
+    at, search, is_open = 0, _TAG.search, Counter()
+    tags_end = max(page.rfind(">") + 1, page.rfind("<!--") + 4)  # nothing behind can be a whole tag
+    while m := search(page, at, tags_end):
         add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag == "br":
@@ -136,18 +140,19 @@ def blocks_of(page: str) -> list[Block]:
         if block:
             close_block()
         if ends:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag) if is_open[tag] else 0
             if k:
                 if not block and any(stack[j][1] != stack[k - 1][1] for j in range(k, len(stack))):
                     close_block()
                 if block:
                     in_link = 0
+                is_open.subtract(x[0] for x in stack[k:])
                 del stack[k:]
             continue
         if tag in VOID or attributes.endswith("/") and not block:
             continue
         if block and stack[-1][0] == "p" or tag == "body" and stack[-1][0] == "head" or tag == "li" and stack[-1][0] == "li":
-            stack.pop()
+            is_open[stack.pop()[0]] -= 1
         _, outside, article, main = stack[-1]
         marked = _marked(attributes) if attributes and not outside and tag not in ("html", "body") else False
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -158,6 +163,7 @@ def blocks_of(page: str) -> list[Block]:
         if block or hides != outside or tag == "span":
             if hides != outside and not block:
                 close_block()
+            is_open[tag] += 1
             stack.append((tag, hides, number if tag == "article" and not hides and not article else article, number if column and not hides else main))
     add(page[at:])
     close_block()
@@ -199,31 +205,31 @@ def label(blocks: list[Block]) -> list[bool]:
         else:
             first.append(BAD)
 
-    n = len(blocks)
-
-    def nearest(i: int, alike) -> int | None:
-        for d in range(1, n):
-            sides = (i + d,) if blocks[i].heading and i + d < n else (i - d, i + d)
-            near = {first[j] for j in sides if 0 <= j < n and first[j] != AMBIGUOUS and alike(j)}
-            if near:
-                return near.pop() if len(near) == 1 else AMBIGUOUS
-            if i - d < 0 and i + d >= n:
-                break
-        return None
-
+    def decided(order: range) -> list[int | None]:
+        """For each block the last decided one before it in this order, in the same article or else on the page."""
+        out: list[int | None] = [None] * len(blocks)
+        last: dict[int, int] = {}
+        for i in order:
+            out[i] = last.get(place[i])
+            if first[i] != AMBIGUOUS and not blocks[i].outside:
+                last[place[i]] = i
+        return out
+
+    before, after = decided(range(len(blocks))), decided(range(len(blocks) - 1, -1, -1))
     out = []
-    memo: dict[int, int | None] = {}
-    for i, x in enumerate(first):
+    for i, (b, x) in enumerate(zip(blocks, first)):
         if x == AMBIGUOUS:
+            near = [j for j in (before[i], after[i]) if j is not None]
+            if b.heading and after[i] is not None:  # a heading belongs to what follows
+                near = [after[i]]
+            least = min((abs(j - i) for j in near), default=0)
+            labels = {first[j] for j in near if abs(j - i) == least}
             if place[i]:
-                if place[i] not in memo:
-                    memo[place[i]] = None if all(first[j] == AMBIGUOUS for j in range(n) if place[j] == place[i]) else GOOD
-                found = nearest(i, lambda j, p=place[i]: place[j] == p) if memo[place[i]] else None
-                x = GOOD if found in (None, AMBIGUOUS) else found
+                x = labels.pop() if len(labels) == 1 else GOOD
+            elif labels:
+                x = labels.pop() if len(labels) == 1 else BAD
             else:
-                found = nearest(i, lambda j: not blocks[j].outside)
-                prose = len(blocks[i].text) >= SHORT
-                x = (GOOD if prose else BAD) if found is None else BAD if found == AMBIGUOUS else found
+                x = GOOD if len(b.text) >= SHORT else BAD
         out.append(x == GOOD)
     return out
 

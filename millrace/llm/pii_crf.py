@@ -24,13 +24,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm.common import keep
+from millrace.llm.spans import Cover
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -44,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
-_CHUNK = re.compile(r"(?<![^\W_])[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9])++(?![^\W_])")
+_CHUNK = re.compile(r"(?<![^\W_])[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9])++")
 _BEFORE = re.compile(r"([^\W\d_]+)\W{0,4}\Z")
 # Words that announce a kind.
 CUES = {
@@ -127,12 +127,9 @@ def add_document(graph: Graph, doc: int, text: str, base: list[tuple[str, int, i
     """Append a document's chunks: base spans, then other chunks that touch none of them."""
     chunks = [(a, b, LABELS.index(k)) for k, a, b in base]
     if _ANY_DIGIT.search(text):
-        taken = sorted((a, b) for a, b, _ in chunks)
-        k = 0
-        for m in _CHUNK.finditer(text):
-            while k < len(taken) and taken[k][1] <= m.start():
-                k += 1
-            if len(_digits(m[0])) >= 7 and not any(m.start() < b for a, b in takewhile(lambda x: x[0] < m.end(), taken[k:])):
+        taken = Cover([(a, b) for a, b, _ in chunks])
+        for m in _CHUNK.finditer(text):  # a chunk that a letter follows is part of a word or code
+            if len(_digits(m[0])) >= 7 and not text[m.end() : m.end() + 1].isalnum() and not taken.touches(m.start(), m.end()):
                 chunks.append((m.start(), m.end(), -1))
     last: dict[str, int] = {}
     before = -1

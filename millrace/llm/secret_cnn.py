@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.llm.common import keep
+from millrace.llm.spans import Cover
 
 LEAST, AROUND, WIDTH = 16, 24, 96
 RECALL, SURE = 0.98, 0.9
@@ -64,11 +65,8 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     """Tokens that mix letters and digits and touch no base span."""
     if not _DIGIT.search(text):
         return []
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not any(a < m.end() and m.start() < b for _, a, b in taken):
-            out.append((m.start(), m.end()))
-    return out
+    covered = Cover([(a, b) for _, a, b in taken])
+    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not covered.touches(*m.span())]
 
 
 def window(text: str, start: int, end: int) -> str:

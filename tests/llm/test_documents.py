@@ -37,7 +37,10 @@ def plain_classes(texts):
     return label
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("leaders", [1, dart_minhash.LEADERS])
+def test_classes_equal_brute_force(spark, monkeypatch, leaders):
+    """Copies with one to five edits, also where buckets take many rounds."""
+    monkeypatch.setattr(dart_minhash, "LEADERS", leaders)
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     texts, passage = [], [word() for _ in range(60)]

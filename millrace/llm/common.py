@@ -49,12 +49,21 @@ def _sweep(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Tasks for each core that write a table of ids.
+TASKS_PER_CORE = 4
+
+
+def staged(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again.
 
-    This cuts the lineage at a table that outlives any executor.
+    This cuts the lineage at a table that outlives any executor.  A ``light``
+    table (ids after a shuffle) is written by a few tasks for each core of the
+    cluster, however many shuffle partitions there are; each task takes its
+    partitions one after another.
     """
     spark = df.sparkSession
+    if light:
+        df = df.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

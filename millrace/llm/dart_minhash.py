@@ -15,7 +15,7 @@ Links come from candidates of the bands, each verified on whole texts:
 2. the least member of each bucket is its leader, all members are compared
    with it, and verified pairs merge into components;
 3. buckets that still hold several components go on in rounds.  Each round
-   takes ``LEADERS`` members of each such bucket, compares them with all
+   takes a number of members of each such bucket, compares them with all
    members of other components, and retires them, until no bucket is open.
 
 So every pair of a bucket is either compared or found connected, a bucket
@@ -43,7 +43,10 @@ from millrace.llm.common import keep, staged
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
-LEADERS = 16
+#: Members of an open bucket that are compared with all others in the first round; later rounds take four times as many, up to the last number.
+LEADERS, MOST_LEADERS = 16, 256
+#: Shingle hashes that a verifying task remembers.
+REMEMBERED = 4 << 20
 
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _U = np.uint64
@@ -131,16 +134,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the similarity is at least ``least``; sizes too far apart need no look at the elements."""
+    return min(len(a), len(b)) >= least * max(len(a), len(b)) and similarity(a, b) >= least
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
-    """``id``, ``same`` (digest of the shingle set; null without words), ``n`` (its size) and ``keys`` of each row."""
+    """``id``, ``same`` (digest of the shingle set; null without words) and ``keys`` of each row."""
     out = keep(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, sizes, keys = [], [], []
+            same, keys = [], []
             for t in b.column(text_col):
                 elements, times = shingles(t.as_py())
-                sizes.append(len(elements))
                 if len(elements):
                     weights = times.astype(float) if weighted else np.ones(len(elements))
                     same.append(xxhash.xxh3_128_digest(np.concatenate([elements, times.astype(_U)]).tobytes() if weighted else elements.tobytes()))
@@ -150,11 +157,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     keys.append(np.zeros(0, np.int64))
             starts = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(id_col), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))],
-                ["id", "same", "n", "keys"],
+                [b.column(id_col), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))],
+                ["id", "same", "keys"],
             )
 
-    return out.mapInArrow(run, f"id {dict(out.dtypes)[id_col]}, same binary, n int, keys array<bigint>")
+    return out.mapInArrow(run, f"id {dict(out.dtypes)[id_col]}, same binary, keys array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -162,13 +169,22 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None)
+        known: dict = {}
+        size = 0
+
+        def elements(key, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
+            if key not in known:
+                if size > REMEMBERED:
+                    known.clear()
+                    size = 0
+                known[key] = shingles(text.as_py())[0]
+                size += len(known[key])
+            return known[key]
+
         for batch in batches:
-            good = []
-            for b, text_a, text_b in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
-                if held[0] != b or held[1] is None:
-                    held = (b, shingles(text_b.as_py())[0])
-                good.append(similarity(shingles(text_a.as_py())[0], held[1]) >= least)
+            rows = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"))
+            good = [similar(elements(a, x), elements(b, y), least) for a, b, x, y in rows]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
@@ -183,13 +199,13 @@ def components(edges: DataFrame) -> DataFrame:
     Tables, not lineage, carry the state from round to round.
     """
     label: DataFrame | None = None
-    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", light=True)
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("id"), F.col("b").alias("up")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("up")))
-        tree = staged(ends.groupBy("id").agg(F.min("up").alias("up")), "tree")
+        tree = staged(ends.groupBy("id").agg(F.min("up").alias("up")), "tree", light=True)
         while True:
             upper = tree.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            longer = staged(tree.join(upper, "up").select("id", "up", "top"), "jump")
+            longer = staged(tree.join(upper, "up").select("id", "up", "top"), "jump", light=True)
             tree = longer.select("id", F.col("top").alias("up"))
             if longer.where("up <> top").isEmpty():
                 break
@@ -198,7 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
             label.join(own.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left").select("id", F.coalesce("top", "label").alias("label")), "labels"
         )
         a, b = (own.select(F.col("id").alias(x), F.col("label").alias(f"{x}2")) for x in ("a", "b"))
-        edges = staged(edges.join(a, "a").join(b, "b").where("a2 <> b2").select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct(), "edges")
+        edges = staged(edges.join(a, "a").join(b, "b").where("a2 <> b2").select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct(), "edges", light=True)
     return label if label is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
 
@@ -206,49 +222,47 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per row of ``docs``: its id and ``class_id``."""
     made = staged(signatures(docs, id_col, text_col, weighted), "signatures")
     known = made.where("same is not null and id is not null")
-    sets = staged(known.groupBy("same").agg(F.min("id").alias("rep")), "sets")
+    sets = staged(known.groupBy("same").agg(F.min("id").alias("rep")), "sets", light=True)
     reps = known.join(sets.select(F.col("rep").alias("id")), "id", "left_semi")
-    members = staged(reps.select("id", "n", F.explode("keys").alias("key")).distinct(), "members")
-    full = staged(members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1").select("key", "leader"), "buckets")
-    open_ = staged(members.join(full, "key").select("key", "id", "n", "leader"), "open")
+    members = staged(reps.select("id", F.explode("keys").alias("key")), "members")
+    full = staged(members.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("other")).where("b <> other").select("key", "b"), "buckets", light=True)
+    open_ = staged(members.join(full, "key"), "open")
     shown = open_.select("id").distinct()
     whole = keep(docs, id_col, text_col).toDF("id", "text")
-    texts = staged(whole.join(staged(shown, "shown"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    texts = staged(whole.join(shown, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
-    leaders = open_.select("key", F.col("leader").alias("b")).distinct().join(members.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), ["key", "b"])
-    pairs = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"))
+    candidates = open_.select(F.col("id").alias("a"), "b").where("a <> b")
+    done = full.select("key", F.col("b").alias("id"))
     links: DataFrame | None = None
     tried: DataFrame | None = None
     label: DataFrame | None = None
-    done = leaders.select("key", F.col("b").alias("id"))
     turn = 0
     while True:
-        todo = pairs.join(staged(leaders, "leaders"), "key").where(F.col("a") != F.col("b")).where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-        if label is not None:
-            todo = todo.where("la <> lb")
-        todo = todo.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        todo = candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tried is not None:
             todo = todo.join(tried, ["a", "b"], "left_anti")
-        todo = staged(todo, "pairs")
+        todo = staged(todo, "pairs", light=True)
         found = staged(verified(todo, texts, least), "links")
         tried = todo if tried is None else tried.unionByName(todo)
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        if label is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            label = components(links)
         turn += 1
 
-        labelled = open_.select("key", "id", "n").join(staged(done, "done"), ["key", "id"], "left_anti").join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-        labelled = staged(labelled, "labelled")
+        labelled = open_.select("key", "id").join(done, ["key", "id"], "left_anti").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        labelled = staged(labelled, "labelled", light=True)
         # retired members have met the whole bucket; what is left is open while it spans components
-        several = staged(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "several")
-        open_ = staged(labelled.join(several, "key"), "open")
+        several = staged(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "several", light=True)
+        open_ = staged(labelled.join(several, "key"), "open", light=True)
         if open_.isEmpty():
             break
-        chosen = open_.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(LEADERS)).alias("seat")).agg(F.min(F.struct("id", "n", "label")).alias("m"))
-        leaders = staged(chosen.select("key", F.col("m.id").alias("b"), F.col("m.n").alias("nb"), F.col("m.label").alias("lb")), "seats")
-        pairs = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        seats = min(MOST_LEADERS, LEADERS * 4 ** (turn - 1))
+        chosen = open_.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(seats)).alias("seat")).agg(F.min(F.struct("id", "label")).alias("m"))
+        leaders = staged(chosen.select("key", F.col("m.id").alias("b"), F.col("m.label").alias("lb")), "seats", light=True)
+        candidates = open_.select("key", F.col("id").alias("a"), F.col("label").alias("la")).join(leaders, "key").where("la <> lb")
         done = leaders.select("key", F.col("b").alias("id"))
 
-    named = staged(sets.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("same", F.coalesce("label", "rep").alias("class_id")), "classes")
+    named = staged(sets.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("same", F.coalesce("label", "rep").alias("class_id")), "classes", light=True)
     placed = known.select("id", "same").join(named, "same").select(F.col("id").alias(id_col), "class_id")
     alone = made.where("same is null or id is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"))
     return placed.unionByName(alone)

@@ -17,6 +17,9 @@ Links come from candidates of the bands, each verified on whole texts:
 3. buckets that still hold several components go on in rounds.  Each round
    takes a number of members of each such bucket, compares them with all
    members of other components, and retires them, until no bucket is open.
+   Before that, shingles found in one open document alone are counted: what
+   is left of a document bounds all its intersections, and pairs whose bound
+   is below the similarity are never formed.
 
 So every pair of a bucket is either compared or found connected, a bucket
 never emits all of its pairs, and there is no cap.  A pair at similarity 0.8
@@ -191,6 +194,27 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def bounds(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id``, ``n`` (its shingles) and ``u``: those of them that another of these documents has too.
+
+    Whatever two of these documents share, each of them shares; so ``u`` bounds
+    every intersection.  Shingles of one document alone are counted by two
+    aggregations, each combined before its shuffle, without a join.
+    """
+    kind = dict(texts.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column("id").to_pylist(), b.column("text")):
+                h = shingles(text.as_py())[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), b.schema.field("id").type), pa.array(h)], ["id", "h"])
+
+    elements = texts.join(ids.distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, h bigint")
+    alone = elements.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = elements.groupBy("id").agg(F.count("*").alias("n"))
+    return sizes.join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``label`` (the least id of its component) for every end of (a, b) edges.
 
@@ -249,17 +273,23 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             label = components(links)
         turn += 1
 
-        labelled = open_.select("key", "id").join(done, ["key", "id"], "left_anti").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        bounded = [c for c in ("n", "u") if c in open_.columns]
+        labelled = open_.select("key", "id", *bounded).join(done, ["key", "id"], "left_anti").join(label, "id", "left").select("key", "id", *bounded, F.coalesce("label", "id").alias("label"))
         labelled = staged(labelled, "labelled", light=True)
         # retired members have met the whole bucket; what is left is open while it spans components
         several = staged(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "several", light=True)
         open_ = staged(labelled.join(several, "key"), "open", light=True)
         if open_.isEmpty():
             break
+        if not bounded:
+            # no partner is left for a document of which too little is found in any other open one
+            room = staged(bounds(texts, open_.select("id")), "bounds", light=True).where(F.col("u") >= least * F.col("n") - 1e-6)
+            open_ = staged(open_.join(room, "id"), "open", light=True)
         seats = min(MOST_LEADERS, LEADERS * 4 ** (turn - 1))
-        chosen = open_.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(seats)).alias("seat")).agg(F.min(F.struct("id", "label")).alias("m"))
-        leaders = staged(chosen.select("key", F.col("m.id").alias("b"), F.col("m.label").alias("lb")), "seats", light=True)
-        candidates = open_.select("key", F.col("id").alias("a"), F.col("label").alias("la")).join(leaders, "key").where("la <> lb")
+        chosen = open_.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(seats)).alias("seat")).agg(F.min(F.struct("id", "label", "n", "u")).alias("m"))
+        leaders = staged(chosen.select("key", F.col("m.id").alias("b"), F.col("m.label").alias("lb"), F.col("m.n").alias("nb"), F.col("m.u").alias("ub")), "seats", light=True)
+        most = F.least("u", "ub")
+        candidates = open_.join(leaders, "key").where((F.col("label") != F.col("lb")) & (most >= least * (F.col("n") + F.col("nb") - most) - 1e-6)).select(F.col("id").alias("a"), "b")
         done = leaders.select("key", F.col("b").alias("id"))
 
     named = staged(sets.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("same", F.coalesce("label", "rep").alias("class_id")), "classes", light=True)

@@ -74,6 +74,15 @@ def test_edge_rows_of_near_duplicates(spark, edge, nothing):
     assert dart_minhash.near_duplicate_classes(nothing).count() == 0
 
 
+def test_bounds_hold_every_intersection(spark):
+    r = random.Random(12)
+    texts = [(i, " ".join(r.choice("abc") for _ in range(r.randint(3, 12)))) for i in range(40)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    sets = {i: set(dart_minhash.shingles(t)[0].tolist()) for i, t in texts if i < 30}
+    got = {x.id: (x.n, x.u) for x in dart_minhash.bounds(df, df.where("id < 30").select("id")).collect()}
+    assert got == {i: (len(s), sum(any(h in t for j, t in sets.items() if j != i) for h in s)) for i, s in sets.items()}
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_agreement_estimates_similarity(weighted):
     r = np.random.default_rng(2)

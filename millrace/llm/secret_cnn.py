@@ -3,7 +3,9 @@
 Base spans come from fixed patterns and always stay.  The network, written in
 numpy, looks at every candidate: each token of at least ``LEAST`` characters
 from the alphabet of keys that mixes letters and digits and isn't inside a
-base span, together with ``AROUND`` characters on either side.  It is trained
+base span, together with ``AROUND`` characters on either side.  A candidate longer
+than a window holds is seen whole by overlapping windows, the most probable of
+which counts.  It is trained
 on labelled findings drawn by a seeded rule (keys of several shapes in the
 contexts they leak in; against them dates, numbers, names, paths, hashes of
 cited things and plain words), its outputs are calibrated by temperature on a
@@ -33,6 +35,8 @@ from millrace.llm.spans import Cover
 
 LEAST, AROUND, WIDTH = 16, 24, 96
 RECALL, SURE = 0.98, 0.9
+#: Windows judged at once, which bounds the memory that long candidates take.
+MOST_WINDOWS = 4096
 SEED, FINDINGS = 7, 3000
 KINDS = ("assign", "access", "hex")
 NETWORK = "cnn"
@@ -74,6 +78,17 @@ def window(text: str, start: int, end: int) -> str:
     return text[max(0, start - AROUND) : start].rjust(AROUND, "\0") + text[start : max(end, start + WIDTH - 2 * AROUND)][: WIDTH - 2 * AROUND] + text[end : end + AROUND].ljust(AROUND, "\0")
 
 
+def windows_of(text: str, start: int, end: int) -> Iterator[str]:
+    """Windows that together see the whole candidate: one where it fits, else one every ``AROUND`` characters and one at its end."""
+    room = WIDTH - 2 * AROUND
+    if end - start <= room:
+        yield window(text, start, end)
+        return
+    for k in range(start, end - room, AROUND):
+        yield window(text, k, k + room)
+    yield window(text, end - room, end)
+
+
 def codes(windows: list[str]) -> np.ndarray:
     """Character classes of each window; upper case has a plane of its own."""
     out = np.zeros((len(windows), WIDTH, 2), np.int64)
@@ -236,18 +251,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, extra, windows, owner = [], [], [], []
+            base, windows, owner, sure = [], [], [], set()
+
+            def judge() -> None:
+                sure.update(o for o, p in zip(owner, net.probability(windows)) if p >= net.threshold)
+                windows.clear()
+                owner.clear()
+
             for i, t in enumerate(b.column(text_col)):
                 text = t.as_py() or ""
                 base.append(base_spans(text))
                 for a, e in candidates(text, base[-1]):
-                    windows.append(window(text, a, e))
-                    owner.append((i, a, e))
-            for (i, a, e), p in zip(owner, net.probability(windows)):
-                if p >= net.threshold:
-                    extra.append((i, a, e))
+                    for w in windows_of(text, a, e):
+                        windows.append(w)
+                        owner.append((i, a, e))
+                        if len(windows) == MOST_WINDOWS:
+                            judge()
+            judge()
             spans = [list(s) for s in base]
-            for i, a, e in extra:
+            for i, a, e in sure:
                 spans[i].append((NETWORK, a, e))
             order = {k: n for n, k in enumerate((*KINDS, NETWORK))}
             spans = [sorted(s, key=lambda x: (x[1], order[x[0]])) for s in spans]

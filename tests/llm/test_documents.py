@@ -145,6 +145,18 @@ def test_secret_rows(spark, edge, nothing):
     assert secret_cnn.scan(edge).count() == edge.count() and secret_cnn.scan(nothing).count() == 0
 
 
+def test_a_key_anywhere_in_a_long_candidate(spark):
+    path, key = "main/docs/guide/section/chapter/overview/of/the/whole/product/", "Zx8Kq2Lm9Pw4Rt7Yb3Nc6Vd1"
+    tokens = [path + "page7", path + key, path + key + "/" + path + "page7", path * 40 + key]
+    texts = [f"see file {t} and then go on" for t in tokens]
+    got = {r.doc_id: r.spans for r in secret_cnn.scan(frame(spark, texts)).collect()}
+    assert got == {0: "", **{i: f"cnn:9:{9 + len(tokens[i])}" for i in (1, 2, 3)}}
+    for n in range(16, 300):
+        parts = list(secret_cnn.windows_of("a" * 30 + "7" * n + "b" * 30, 30, 30 + n))
+        assert all(len(p) == secret_cnn.WIDTH or n < 48 for p in parts)
+        assert sum(p.count("7") for p in parts) >= n and parts[0].startswith("a" * 24) and parts[-1].rstrip("\0").endswith("b" * 24)
+
+
 def plain_personal(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]

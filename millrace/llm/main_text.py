@@ -6,7 +6,14 @@ of stop words of the page's own language: good, bad, or ambiguous (short, or
 neither clearly prose nor clearly boilerplate).  In the second pass each
 ambiguous block takes the label of the nearest decided block, first of those
 in the same article, then of the page; where both sides are equally near and
-disagree, the block is bad unless it stands in the article.
+disagree, the block is bad unless it stands in the article.  Where no block of
+the page is good by itself, the ambiguous ones are: those of at least ``SHORT``
+characters, or all of more than one letter if there are none.  Where the stop
+words of no listed language fit the page, length and link density decide alone.
+
+Class and id names mark boilerplate, but a marked element is lifted, and what
+it holds is judged like the rest, if it holds the main element or outweighs
+what is not marked (see ``_lift``).
 
 Good blocks are joined in page order by one space; white space inside a block
 becomes one space and character references are decoded.  Nothing is capped.
@@ -54,6 +61,10 @@ MARKS = frozenset(
     " footer header masthead topbar cookie cookies consent gdpr notice notices alert disclaimer comment comments commentlist reply replies respond disqus discussion share sharing social related recommended teaser"
     " newsletter subscribe subscription signup login popup modal overlay pagination pager paging toolbar copyright legal skip hidden".split()
 )
+# Those of them that a wrapper of the whole page bears for what stands beside the text.
+BESIDE = frozenset("ad ads sidebar sidebars widget widgets nav navbar navigation menu menus header masthead topbar toolbar banner banners share sharing social".split())
+# First words of names that say what an element has or lacks, not what it is.
+HAVING = frozenset("has have with without no".split())
 # Words in class or id names that mark the main column.
 COLUMN = frozenset("article content main post entry story".split())
 
@@ -70,6 +81,8 @@ class Block:
     text: str
     linked: int
     outside: bool
+    #: number of the innermost marked element around it; 0 for none
+    mark: int
     #: number of the article (or, failing that, main) element around it; 0 for none
     article: int
     main: int
@@ -80,31 +93,43 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _marked(raw: str) -> bool | None:
-    """Whether a start tag's attributes call it boilerplate or hidden; None: the main column."""
+@dataclass
+class Mark:
+    """An element that a class or id name calls boilerplate."""
+
+    names: frozenset[str]
+    #: number of the marked element around it; 0 for none
+    parent: int
+    main: bool = False
+
+
+def _marked(raw: str) -> bool | frozenset[str] | None:
+    """Whether a start tag's attributes hide it; the names that mark it; None: the main column."""
     a = _attributes(raw)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
         return True
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I):
         return True
-    names = {w.lower() for k in ("class", "id") if k in a for w in _NAME.findall(a[k])}
-    return not names.isdisjoint(MARKS) or (None if a.get("role", "").lower() == "main" or not names.isdisjoint(COLUMN) else False)
+    parts = [[w.lower() for w in _NAME.findall(x)] for k in ("class", "id") if k in a for x in a[k].split()]
+    names = frozenset(w for x in parts if x and x[0] not in HAVING for w in x)
+    return names & MARKS or (None if a.get("role", "").lower() == "main" or not names.isdisjoint(COLUMN) else False)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order, each with its place."""
+def blocks_of(page: str) -> tuple[list[Block], list[Mark]]:
+    """The page's blocks of text in order, each with its place, and its marked elements; the first stands for none."""
     found: list[Block] = []
+    marks = [Mark(frozenset(), 0)]
     parts: list[str] = []
     linked, in_link, number, heading = 0, 0, 0, False
-    #: open containers: tag, outside, article, main
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    #: open containers: tag, outside and mark, article, main
+    stack: list[tuple[str, tuple[bool, int], int, int]] = [("", (False, 0), 0, 0)]
 
     def close_block() -> None:
         nonlocal linked, heading
         if parts:
             if text := " ".join("".join(parts).split()):
-                _, outside, article, main = stack[-1]
-                found.append(Block(text, linked, outside, article, main, heading))
+                _, (outside, mark), article, main = stack[-1]
+                found.append(Block(text, linked, outside, mark, article, main, heading))
             parts.clear()
         linked, heading = 0, False
 
@@ -153,36 +178,105 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if block and stack[-1][0] == "p" or tag == "body" and stack[-1][0] == "head" or tag == "li" and stack[-1][0] == "li":
             is_open[stack.pop()[0]] -= 1
-        _, outside, article, main = stack[-1]
+        _, (outside, mark), article, main = stack[-1]
         marked = _marked(attributes) if attributes and not outside and tag not in ("html", "body") else False
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         column = tag == "main" or marked is None and not main and tag not in INLINE
-        hides = outside or bool(marked) or tag in OUTSIDE or tag == "header" and not article
+        hides = outside or marked is True or tag in OUTSIDE or tag == "header" and not article
+        within = mark
+        if isinstance(marked, frozenset) and marked and not hides:
+            marks.append(Mark(marked, mark))
+            within = len(marks) - 1
+        if not hides and (tag == "main" or "main" in attributes and _attributes(attributes).get("role", "").lower() == "main"):
+            marks[within].main = True
         if tag == "article" and not hides or column:
             number += 1
-        if block or hides != outside or tag == "span":
-            if hides != outside and not block:
+        place = (hides, within)
+        if block or place != (outside, mark) or tag == "span":
+            if place != (outside, mark) and not block:
                 close_block()
             is_open[tag] += 1
-            stack.append((tag, hides, number if tag == "article" and not hides and not article else article, number if column and not hides else main))
+            stack.append((tag, place, number if tag == "article" and not hides and not article else article, number if column and not hides else main))
     add(page[at:])
     close_block()
-    return found
+    return found, marks
 
 
 def stop_counts(words: list[str]) -> dict[str, int]:
     return {k: sum(w in s for w in words) for k, s in _STOPS.items()}
 
 
-def label(blocks: list[Block]) -> list[bool]:
-    """Both passes: whether each block is main text."""
-    words = [_WORD.findall(b.text.lower()) for b in blocks]
-    total = dict.fromkeys(_STOPS, 0)
+def _language(blocks: list[Block], words: list[list[str]]) -> frozenset[str] | None:
+    """Stop words of the page's language; None if those of none fit its unlinked blocks of at least ``SHORT`` characters."""
+    total, prose, number = dict.fromkeys(_STOPS, 0), dict.fromkeys(_STOPS, 0), 0
     for b, w in zip(blocks, words):
         if not b.outside:
-            for k, n in stop_counts(w).items():
+            counts = stop_counts(w)
+            long = len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)
+            number += len(w) * long
+            for k, n in counts.items():
                 total[k] += n
-    stops = _STOPS[max(total, key=lambda k: total[k])]
+                prose[k] += n * long
+    best = max(total, key=lambda k: total[k])
+    return None if number and max(prose.values()) < MANY_STOPS * number else _STOPS[best]
+
+
+def _lift(blocks: list[Block], marks: list[Mark], words: list[list[str]]) -> None:
+    """Blocks under marks that hold become outside; elements with equal names are lifted together.
+
+    A mark that holds the main element is lifted.  Of the others the heaviest
+    is, with those around it: one of names in ``BESIDE`` if it outweighs the
+    unmarked text, or half of it where no article but its own is to be seen;
+    one of other names only if no unmarked text is dense, and if there is none
+    at all or it holds an article that outweighs it.  Weight is the length of
+    unlinked blocks that are in an article or main column or dense.
+    """
+    if len(marks) == 1:
+        return
+    stops = _language(blocks, words)
+    own, loose = [0] * len(marks), 0
+    framed = [False] * len(marks)
+    for b, w in zip(blocks, words):
+        size = len(b.text)
+        if b.outside or b.linked > LINKED * size:
+            continue
+        loose += size if not b.mark else 0
+        framed[b.mark] |= b.article > 0
+        dense = size >= SHORT and (stops is None or sum(x in stops for x in w) >= FEW_STOPS * len(w))
+        own[b.mark] += size if dense or b.article or b.main else 0
+    lifted = [not k or m.main for k, m in enumerate(marks)]
+    for k in range(len(marks) - 1, 0, -1):
+        lifted[marks[k].parent] |= lifted[k]
+    if not any(lifted[1:]):
+        weight: dict[frozenset[str], int] = Counter()
+        article: set[frozenset[str]] = set()
+        for k, m in enumerate(marks[1:], 1):
+            weight[m.names] += own[k]
+            if framed[k]:
+                article.add(m.names)
+
+        def may(names: frozenset[str]) -> bool:
+            w = weight[names]
+            if names <= BESIDE:
+                return w > own[0] or names in article and not framed[0] and 2 * w > own[0]
+            return not own[0] and w > 0 and (not loose or names in article and w > loose)
+
+        best = max((n for n in weight if may(n)), key=lambda n: (weight[n], sorted(n)), default=None)
+        for k in range(len(marks) - 1, 0, -1):
+            lifted[k] |= marks[k].names == best and own[k] > 0
+            lifted[marks[k].parent] |= lifted[k]
+    shown = [True] * len(marks)
+    for k, m in enumerate(marks[1:], 1):
+        shown[k] = lifted[k] and shown[m.parent]
+    for b in blocks:
+        b.outside |= not shown[b.mark]
+
+
+def label(blocks: list[Block], marks: list[Mark]) -> list[bool]:
+    """Both passes: whether each block is main text."""
+    words = [_WORD.findall(b.text.lower()) for b in blocks]
+    _lift(blocks, marks, words)
+    stops = _language(blocks, words)
     place = [0 if b.outside else b.article for b in blocks]
     if not any(place):
         place = [0 if b.outside else b.main for b in blocks]
@@ -191,7 +285,7 @@ def label(blocks: list[Block]) -> list[bool]:
     first = []
     for b, w, p in zip(blocks, words, place):
         size = len(b.text)
-        density = sum(x in stops for x in w) / len(w) if w else 0.0
+        density = FEW_STOPS if stops is None else sum(x in stops for x in w) / len(w) if w else 0.0
         if b.outside or framed and not p or b.linked > LINKED * size:
             first.append(BAD)
         elif "©" in b.text[:3] and size < LONG:
@@ -205,6 +299,11 @@ def label(blocks: list[Block]) -> list[bool]:
         else:
             first.append(BAD)
 
+    if GOOD not in first:
+        unsure = [i for i, x in enumerate(first) if x == AMBIGUOUS]
+        for i in [i for i in unsure if len(blocks[i].text) >= SHORT] or [i for i in unsure if place[i] or sum(map(len, words[i])) > 1]:
+            first[i] = GOOD
+
     def decided(order: range) -> list[int | None]:
         """For each block the last decided one before it in this order, in the same article or else on the page."""
         out: list[int | None] = [None] * len(blocks)
@@ -237,8 +336,8 @@ def label(blocks: list[Block]) -> list[bool]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
-    return " ".join(b.text for b, good in zip(blocks, label(blocks)) if good)
+    blocks, marks = blocks_of(page)
+    return " ".join(b.text for b, good in zip(blocks, label(blocks, marks)) if good)
 
 
 def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

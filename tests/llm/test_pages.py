@@ -34,6 +34,38 @@ def test_pages_without_text(page):
     assert main_text.main_text(page) == ""
 
 
+PROSE = "It was the best of the times and it was the worst of the times, and all that we had was in the hands of those who were with us."
+POLISH = "Było to najlepsze ze wszystkich lat, a zarazem najgorsze, gdyż każdy miał przed sobą wszystko i każdy miał przed sobą pustkę."
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='content-sidebar-wrap'><article><p>{}</p></article><div class=sidebar><p>{side}</p></div></div>",
+    "<div class='has-sidebar'><article><p>{}</p></article></div>",
+    "<article class='post has-comments'><p>{}</p></article><div class=comments><article>{side} {side} {side}</article></div>",
+    "<article class='post comments-open'><p>{}</p></article>",
+    "<main class='sidebar-left'><p>{}</p></main><div>{side}</div>",
+    "<div id=sidebar-layout><div class=nav-wrap><p>{}</p></div></div>",
+    "<p>{}</p><div class=comments><p>{side}</p><p>{side}</p></div><div class=cookie-notice>{side} {side}</div>",
+    "<article><p>{}</p></article><div class=sidebar><p>{side} {side} {side}</p></div>",
+])
+def test_marks_do_not_hide_the_text(page):
+    text = f"{PROSE} {PROSE}"
+    assert main_text.main_text("<div><a href=a>Home</a></div>" + page.format(text, side=PROSE.replace("times", "days"))) == text
+    assert main_text.main_text(f"<div style='display:none'><article>{text}</article></div>") == ""
+
+
+def test_prose_of_other_languages():
+    nav = "<ul><li><a href=a>Start</a><li><a href=b>Kontakt</a></ul>"
+    for text in (POLISH, f"{POLISH} {POLISH}", "今天天气很好，我们一起去公园散步，看见许多人在湖边唱歌跳舞。" * 8):
+        assert main_text.main_text(f"<body>{nav}<div><p>{text}</p><p>{text}</p></div>{nav}") == f"{text} {text}"
+
+
+def test_pages_of_short_paragraphs():
+    nav = "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>"
+    for around in ("", nav):
+        assert main_text.main_text(f"{around}<p>The first line.</p><p>And the second one.</p><p><a href=x>More of it</a></p>") == "The first line. And the second one."
+
+
 def test_unclosed_tags_and_references():
     assert main_text.main_text("<article><p>a<b>b<p>c &eacute;&#233;&#xe9; &lt;p&gt;<br>d") == "ab c ééé <p> d"
 

@@ -2,7 +2,9 @@
 
 One model per language, all of the same order, estimated from a bounded sample
 of labelled documents (at most ``TRAIN_DOCS`` documents and ``TRAIN_CHARS``
-characters a language, those with the least hash of their id).  For each order
+characters a language, those with the least hash of their id; of a document the
+first ``1 / PARTS`` of these characters at most, so that a long one leaves room
+for others).  For each order
 the n-grams of all languages share one sorted array of 64-bit hashes; beside it
 stand, for every language, the interpolated log probability of the last
 character and the weight that its context leaves to the next lower order.  A
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import keep, schema_with
 
 ORDER = 4
-TRAIN_DOCS, TRAIN_CHARS = 400, 500_000
+TRAIN_DOCS, TRAIN_CHARS, PARTS = 400, 500_000, 20
 ACCEPT = 0.999
 UNDETERMINED = "und"
 #: Characters scored together.
@@ -215,7 +217,7 @@ def remainder(id_col: str) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_docs: int, most_chars: int) -> list[tuple[str, str]]:
-    """(language, text) pairs: labelled documents outside the held-out third, least hash first."""
+    """(language, text) pairs: labelled documents outside the held-out third, least hash first, long ones by their start."""
     usable = keep(docs, id_col, text_col, lang_col).where((remainder(id_col) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not sizes:
@@ -225,8 +227,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     by = Window.partitionBy(lang_col).orderBy("_draw", id_col)
     chosen = (
         usable.withColumn("_draw", draw).where(F.col("_draw") < share)
+        .withColumn(text_col, F.substring(text_col, 1, max(1, most_chars // PARTS)))
         .withColumns({"_row": F.row_number().over(by), "_chars": F.sum(F.length(text_col)).over(by.rowsBetween(Window.unboundedPreceding, 0))})
-        .where((F.col("_row") <= most_docs) & ((F.col("_chars") <= most_chars) | (F.col("_row") == 1)))
+        .where((F.col("_row") <= most_docs) & (F.col("_chars") <= most_chars))
         .orderBy(lang_col, "_row")
     )
     rows = chosen.select(lang_col, text_col).toArrow()

@@ -267,6 +267,20 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97 and all(r.accepted for r in rows)
 
 
+@pytest.mark.parametrize("long", [(), (0,), range(40)])
+def test_long_documents_leave_room_in_the_training_sample(spark, long):
+    """Whatever its place in the order of hashes, a long document costs at most its part of the budget."""
+    rows = [(i, "ab " * (70_000 if k in long else 20), "en", "s", 0) for k, i in enumerate(sorted(range(40), key=lambda i: i % 7))]
+    docs = spark.createDataFrame(rows, DOCS)
+    usable = docs.where(langid_kn.remainder("doc_id") != 1).count()
+    for most in (200_000, 20_000):
+        got = langid_kn.training_sample(docs, "doc_id", "text", "lang", 400, most)
+        assert len(got) == min(usable, langid_kn.PARTS if len(long) == 40 else usable)
+        assert sum(len(t) for _, t in got) <= most and max(len(t) for _, t in got) <= max(60, most // langid_kn.PARTS)
+    every = spark.createDataFrame([(i, "ab " * (70_000 if i % 10 == 0 else 20), "en", "s", 0) for i in range(60)], DOCS)
+    assert len(langid_kn.training_sample(every, "doc_id", "text", "lang", 400, 200_000)) == every.where(langid_kn.remainder("doc_id") != 1).count()
+
+
 def test_labels_of_the_held_out_third_are_not_used(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     spoilt = docs.withColumn("lang", F.when(langid_kn.remainder("doc_id") == 1, "xx").otherwise(F.col("lang")))

@@ -183,6 +183,34 @@ def test_repeated_numbers_share_a_label_across_the_document():
     assert alone == []
 
 
+@pytest.mark.parametrize("ahead", [0, 20, 40])
+def test_a_label_reaches_every_repeat(ahead):
+    field = pii_crf.fitted()
+    bare = " or 1.243.555.5526 and"
+    text = bare * ahead + " ring +1 (243) 555-5526 " + bare * (40 - ahead)
+    ((base, more),) = pii_crf.find_all([text], field)
+    assert len(base) == 1 and [(k, text[a:b]) for k, a, b in more] == [("crf_phone", "1.243.555.5526")] * 40
+
+
+def test_messages_settle_as_on_the_exact_chain():
+    """Bare repeats far behind an announced one have the exact marginals of their skip chain; other documents change nothing."""
+    field = pii_crf.fitted()
+    field = pii_crf.Field(field.node, np.zeros_like(field.chain), field.skip)
+    graph = pii_crf.Graph([], [], [], [], [])
+    text = "phone: 243-555-5526" + " or 243-555-5526 and" * 30
+    pii_crf.add_document(graph, 0, text, [])
+    u, w = field.unary(graph), field.skip
+    up, down = [np.ones(5)], [np.ones(5)]
+    for k in range(len(u) - 1):
+        up.append((x := (up[-1] * np.exp(u[k] - u[k].max())) @ np.exp(w)) / x.max())
+        down.append((x := np.exp(w) @ (down[-1] * np.exp(u[-1 - k] - u[-1 - k].max()))) / x.max())
+    want = np.array([a * b * np.exp(v - v.max()) for a, b, v in zip(up, down[::-1], u)])
+    got = field.marginals(graph)
+    assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=2e-3)
+    pii_crf.add_document(graph, 1, "ring 777-888-9999 or 777-888-9999", [])
+    assert (field.marginals(graph)[: len(got)] == got).all()
+
+
 def test_field_on_drawn_documents():
     field, hit, total, wrong = pii_crf.fitted(), 0, 0, 0
     for text, spans in pii_crf.drawn_documents(200, seed=77):

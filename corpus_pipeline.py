@@ -5,8 +5,10 @@ is written as Parquet and read again as the next one's ``docs``.  Every stage
 works on all rows that its predecessor kept.
 
 1. language: documents whose language is rejected or undetermined go;
-2. near_duplicates: of each class of near duplicates the least id stays (of
-   repeated rows of that id, one); rows without an id stay;
+2. near_duplicates: of each class of near duplicates the row with the least id
+   stays, those without an id last; texts that share an id are compared like
+   others. Of rows with the same id and text one stays; rows without id and
+   words all stay;
 3. decontaminate: documents that contain a benchmark window go;
 4. personal_data: spans of personal data are masked, ``n_chars`` follows;
 5. encode: every text becomes token ids.
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 from millrace.llm import bpe, dart_minhash, decontaminate, langid_kn, pii_crf
 from millrace.llm.common import packed, staged, table
 
+#: A character that makes a word of the near duplicates' shingles.
+WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid_kn.identify(packed(docs, "doc_id", "text"), langid_kn.fit(docs), carry=("row",))
@@ -30,9 +35,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = dart_minhash.near_duplicate_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(WORD)
+    aside = F.col("doc_id").isNull() & wordless
+    place = F.xxhash64("doc_id", F.md5(F.col("text").cast("binary")))  # the same for the same id and text
+    rows = docs.where(~aside).select(place.alias("place"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    classes = dart_minhash.near_duplicate_classes(rows.select("place", F.col("row.text").alias("text")), "place").distinct()
+    ids = rows.select("place", F.col("row.doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("m")
+    stay = classes.join(ids, "place").groupBy("class_id").agg(first).select("m.place")
+    return rows.join(stay, "place", "left_semi").dropDuplicates(["place"]).select("row.*").unionByName(docs.where(aside))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,18 @@ def test_decisions_take_effect(spark, edge, folder):
     assert 9 not in ids(clean) and clean.count() == edge.count() - 1
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    word = lambda k: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{k}x" for i in range(60))
+    a, b, c, d = map(word, "abcd")
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, c), (None, c), (None, d), (None, d), (None, d + " more"), (4, "..."), (4, "..."), (4, "!"), (5, None), (None, None), (None, "..."), (None, "...")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in stage("near_duplicates")(spark, docs, "").collect()), key=repr)
+    one = [x for x in got if x in ((None, d), (None, d + " more"))]
+    assert len(one) == 1
+    assert sorted(set(got) - set(one), key=repr) == sorted([(1, a), (1, b), (3, c), (4, "..."), (4, "!"), (5, None), (None, None), (None, "...")], key=repr)
+    assert len(got) == 10 and got.count((None, "...")) == 2
+
+
 def test_whole_run(spark, folder, nothing):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(len(r.token_ids) == r.n_tokens for r in rows)

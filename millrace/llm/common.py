@@ -1,8 +1,8 @@
 """Helpers that the operators of this subpackage share.
 
 Work folders live below ``spark.checkpoint.dir``: it is the one folder that
-the driver and all executors see.  Only when the session leaves it unset (as
-in tests on one machine) is a temporary folder made and set.
+the driver and all executors see.  Only when the session leaves it unset and
+runs in one process (as in tests) is a temporary folder made and set.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,12 +20,17 @@ from pyspark.sql import types as T
 
 #: Rows per Arrow batch are left to the session; texts are handled one by one.
 _SWEPT: set[str] = set()
+#: Where the tables of ``staged`` lie.
+_STAGED: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -66,7 +72,17 @@ def staged(df: DataFrame, name: str, light: bool = False) -> DataFrame:
         df = df.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _STAGED[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables that no frame will read any more; others are left as they are."""
+    for table in tables:
+        ref, path = _STAGED.pop(id(table), (None, ""))
+        if ref is not None and ref() is table:
+            _sweep(table.sparkSession, path)
 
 
 def schema_with(df: DataFrame, names: list[str], more: str) -> T.StructType:

@@ -83,6 +83,59 @@ def test_bounds_hold_every_intersection(spark):
     assert got == {i: (len(s), sum(any(h in t for j, t in sets.items() if j != i) for h in s)) for i, s in sets.items()}
 
 
+def test_differing_bits_never_exceed_differing_members(spark):
+    r = np.random.default_rng(8)
+    rows, want = [], []
+    for _ in range(60):
+        a = np.unique(r.integers(0, 2**63, int(r.integers(1, 300))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.9], r.integers(0, 2**63, int(r.integers(0, 1 + len(a) // 5))).astype(np.uint64)]))
+        rows.append((len(rows), dart_minhash.bitmap(a).tolist(), dart_minhash.bitmap(b).tolist()))
+        want.append(len(np.setxor1d(a, b)))
+    df = spark.createDataFrame(rows, "id int, a array<bigint>, b array<bigint>").where(F.abs(F.log2(F.size("a")) - F.log2(F.size("b"))) <= 1)
+    got = {x.id: x.d for x in df.select("id", dart_minhash.differing(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert len(got) > 50 and any(len(a) != len(b) for i, a, b in rows if i in got)
+    assert all(0.7 * want[i] - 2 <= d <= want[i] for i, d in got.items())
+
+
+def test_texts_that_share_an_id_keep_their_links(spark):
+    word = lambda k: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{k}x" for i in range(60))
+    rows = [(5, word("z")), (5, word("a")), (7, word("z") + " more"), (9, word("a") + " more"), (None, word("z")), (None, word("q"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted([(r.doc_id, r.class_id) for r in dart_minhash.near_duplicate_classes(docs).collect()], key=repr)
+    assert got == sorted([(5, 5), (5, 5), (7, 5), (9, 5), (None, 5), (None, None)], key=repr)
+
+
+def test_weighted_classes_equal_brute_force(spark):
+    r = random.Random(9)
+    texts = []
+    for _ in range(14):
+        line = " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 99)}" for _ in range(8))
+        body = " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 999)}" for _ in range(r.randint(10, 60)))
+        texts += [f"{body} " + f"{line} " * k for k in r.sample([1, 2, 6, 8, 9, 30], 3)]
+
+    def bag(t):
+        w = t.split()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    bags, label = [bag(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                    label[i] = label[j] = min(label[i], label[j])
+    got = {x.doc_id: x.class_id for x in dart_minhash.near_duplicate_classes(frame(spark, texts), weighted=True).collect()}
+    assert [got[i] for i in range(len(texts))] == label and 14 < len(set(label)) < len(texts)
+
+
+def test_large_sets_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "DEALT", 10)
+    monkeypatch.setattr(dart_minhash, "HEAVY", 3)
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 20}") for i in range(200)], "i int, k string")
+    right = left.groupBy("k").agg(F.count("*").alias("size"), F.min("i").alias("v"))
+    got = {(x.i, x.v) for x in dart_minhash.sized_join(left, right, "k").collect()}
+    assert got == {(i, 1 if i % 2 else i % 20) for i in range(200)}
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_agreement_estimates_similarity(weighted):
     r = np.random.default_rng(2)

@@ -37,13 +37,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     wordless = F.col("text").isNull() | ~F.col("text").rlike(WORD)
     aside = F.col("doc_id").isNull() & wordless
-    place = F.xxhash64("doc_id", F.md5(F.col("text").cast("binary")))  # the same for the same id and text
-    rows = docs.where(~aside).select(place.alias("place"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    classes = dart_minhash.near_duplicate_classes(rows.select("place", F.col("row.text").alias("text")), "place").distinct()
-    ids = rows.select("place", F.col("row.doc_id").alias("id")).distinct()
+    placed = dart_minhash.placed_rows(docs.where(~aside), "doc_id", "text", carry=True)
     first = F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("m")
-    stay = classes.join(ids, "place").groupBy("class_id").agg(first).select("m.place")
-    return rows.join(stay, "place", "left_semi").dropDuplicates(["place"]).select("row.*").unionByName(docs.where(aside))
+    stay = dart_minhash.classes(placed.drop("row")).groupBy("class").agg(first).select("m.place")
+    return placed.join(stay, "place", "left_semi").dropDuplicates(["place"]).select("row.*").unionByName(docs.where(aside))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,6 +85,11 @@ def release(*tables: DataFrame | None) -> None:
             _sweep(table.sparkSession, path)
 
 
+def spread(spark: SparkSession, units: int, per_task: int) -> int:
+    """Tasks for so many units of work: enough for every core, and for ``per_task`` units each at most."""
+    return max(1, min(int(units), spark.sparkContext.defaultParallelism), -(-int(units) // per_task))
+
+
 def schema_with(df: DataFrame, names: list[str], more: str) -> T.StructType:
     """The fields of these columns of ``df``, and those of a DDL string."""
     return T.StructType([*df.select(*(F.col(f"`{c}`") for c in names)).schema, *T.StructType.fromDDL(more)])

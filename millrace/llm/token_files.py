@@ -8,7 +8,8 @@ one small row per block.
 
 Defined results: an empty document counts 0 tokens; ids after the last
 separator form a last document of their own; an empty file holds none; a file
-whose size is no multiple of the id width raises.
+whose size is no multiple of the id width raises.  Repeated rows are documents of
+their own; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keep, shared_dir, staged, work_path
+from millrace.llm.common import keep, shared_dir, spread, staged, work_path
 
 #: Bytes of a block; a task holds one block at a time.
 BLOCK_BYTES = 8 << 20
 #: Texts gathered before a write.
 WRITE_BYTES = 4 << 20
+#: Blocks that one task scans, and files that one task asks for their sizes, one after another.
+BLOCKS_PER_TASK, FILES_PER_TASK = 8, 64
 
 
 def _encoding(path: str, pattern: str):
@@ -107,11 +110,11 @@ def count_tokens(files: DataFrame, folder: str, eod: int, dtype: str = "<u2", bl
                 ends = np.flatnonzero(ids == eod) + at // width
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([size // width], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([ends[-1] if len(ends) else None], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(ends, pa.int64()))], ["file", "at", "tokens", "n_ends", "last_end", "ends"])
 
-    blocks = (
-        files.select("file").distinct().mapInArrow(sizes, "file string, size bigint").where("size > 0")
-        .select("file", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(block).cast("bigint"))).alias("at"))
-        .repartition("file", "at")
-    )
+    # counts are given, for rows of a few bytes would otherwise be merged into one task
+    names = staged(files.select("file").distinct(), "token-names", light=True)
+    sized = staged(names.repartition(-(-names.count() // FILES_PER_TASK) or 1, "file").mapInArrow(sizes, "file string, size bigint").where("size > 0"), "token-sizes", light=True)
+    n = sized.agg(F.sum(F.ceil(F.col("size") / block))).first()[0] or 1
+    blocks = sized.select("file", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(block).cast("bigint"))).alias("at")).repartition(spread(files.sparkSession, n, BLOCKS_PER_TASK), "file", "at")
     found = staged(blocks.mapInArrow(scan, "file string, at bigint, tokens bigint, n_ends bigint, last_end bigint, ends array<bigint>"), "token-blocks")
 
     earlier = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)

@@ -104,6 +104,21 @@ def test_documents_across_blocks(spark, block):
     assert {tuple(r) for r in token_files.count_tokens(files, folder, 9, block_bytes=block).select("file", "ordinal", "first_token", "n_tokens").collect()} == want
 
 
+def test_many_tasks_scan_one_file(spark, monkeypatch):
+    from pyarrow import fs
+
+    folder, tables = work_path(spark, "flat"), {}
+    store, top = fs.FileSystem.from_uri(folder)
+    store.create_dir(top, recursive=True)
+    with store.open_output_stream(f"{top}/x.bin") as f:
+        f.write(b"\1\0\1\0\1\0\2\0" * 500)
+    real = token_files.staged
+    monkeypatch.setattr(token_files, "staged", lambda df, name, **more: tables.setdefault(name, real(df, name, **more)))
+    got = token_files.count_tokens(spark.createDataFrame([("x.bin",)], "file string"), folder, 2, block_bytes=100)
+    assert got.where("n_tokens = 3").count() == got.count() == 500
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and len(tables["token-blocks"].inputFiles()) > 2
+
+
 def test_a_cut_off_file_is_an_error(spark):
     from pyarrow import fs
 

@@ -13,7 +13,8 @@ are always responses.
 Defined results: a null payload is empty; rows without an id may be revisits
 but never the response that others refer to, unless no equal row has an id, in
 which case all of them are responses; rows that repeat the response's id and
-payload are responses too.
+payload are responses too.  An id may be of any type that casts to a string
+and back; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged, work_path
+from millrace.llm.common import spread, staged, work_path
 
 #: Payloads below this many bytes are never revisits.
 SMALL = 1000
 #: Bytes of an archive that one range read may span, and the gap worth reading over.
 RANGE_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
+#: Ranges that one task reads, one after another.
+RANGES_PER_TASK = 16
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 1
@@ -52,8 +56,8 @@ def _member(record: bytes) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-def _name(page) -> str:
-    return f"<urn:x-page:{page}>" if page is not None else f"<urn:uuid:{uuid.uuid4()}>"
+def _name(page: str | None) -> str:
+    return f"<urn:x-page:{quote(page, safe=str())}>" if page is not None else f"<urn:uuid:{uuid.uuid4()}>"
 
 
 def _uri(url: str | None) -> str:
@@ -107,7 +111,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
         "warc-owners",
     )
     joined = rows.select("*", *key).join(owners, ["digest", "bytes"], "left")
-    todo = joined.select("page_id", "url", "html", F.when(~F.col("owner").eqNullSafe(F.col("page_id")), F.col("owner")).alias("refers_to"))
+    other = F.when(~F.col("owner").eqNullSafe(F.col("page_id")), F.col("owner"))
+    todo = joined.select("page_id", "url", "html", F.col("page_id").cast("string").alias("name"), other.cast("string").alias("refers_to"))
     id_type = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
                 sink.write(info)
                 at += len(info)
             places = []
-            for page, url, html, other in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").cast(pa.binary()), batch.column("refers_to").to_pylist()):
+            for page, url, html, other in zip(batch.column("name").to_pylist(), batch.column("url").to_pylist(), batch.column("html").cast(pa.binary()), batch.column("refers_to").to_pylist()):
                 packed, digest = page_record(page, url, html.as_py(), other, date)
                 sink.write(packed)
                 places.append((at, len(packed), digest, "response" if other is None else "revisit"))
@@ -159,12 +164,15 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False, rang
     raises.  Only index rows are shuffled, by file and range.
     """
     id_type = dict(index.dtypes).get("page_id", "bigint")
-    ranges = index.groupBy("file", F.floor(F.col("offset") / range_bytes).alias("range")).agg(F.collect_list(F.struct("offset", "length")).alias("places")).select("file", "places")
+    # the count is given, for index rows of a few bytes would otherwise be merged into one task
+    n = (index.agg(F.sum("length")).first()[0] or 0) // range_bytes + 1
+    ranges = index.select("file", F.floor(F.col("offset") / range_bytes).alias("range"), "offset", "length").repartition(spread(index.sparkSession, n, RANGES_PER_TASK), "file", "range")
+    ranges = ranges.groupBy("file", "range").agg(F.collect_list(F.struct("offset", "length")).alias("places")).select("file", "places")
     names = ["page_id", "url", "file", "offset", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * with_payload
 
-    def number(name: str | None):
+    def page(name: str | None):
         kind, _, value = (name or "").strip("<>").rpartition(":")
-        return int(value) if kind == "urn:x-page" else None
+        return unquote(value) if kind == "urn:x-page" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
@@ -181,14 +189,13 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False, rang
                             if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                                 raise ValueError(f"{file} at {at}: the payload has another digest")
                             size = len(payload) if kind == "response" else int(http.rpartition(b"Content-Length: ")[2])
-                            row = (number(fields["warc-record-id"]), fields["warc-target-uri"], file, at, kind, size, digest, number(fields.get("warc-refers-to")))
+                            row = (page(fields["warc-record-id"]), fields["warc-target-uri"], file, at, kind, size, digest, page(fields.get("warc-refers-to")))
                             out.append((*row, payload if kind == "response" else None) if with_payload else row)
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    schema = "page_id bigint, url string, file string, offset bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * with_payload
-    found = ranges.mapInArrow(run, schema)
-    return found.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)}) if id_type != "bigint" else found
+    schema = "page_id string, url string, file string, offset bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to string" + ", payload binary" * with_payload
+    return ranges.mapInArrow(run, schema).withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

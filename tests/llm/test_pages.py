@@ -5,6 +5,7 @@ import html
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import main_text, warc_index
 from millrace.llm.common import work_path
@@ -112,12 +113,29 @@ def test_selected_records_come_back_whole(spark):
     assert {r.page_id: bytes(r.payload).decode() for r in got.collect()} == {i: f"<p>{i} " + "y" * i for i in range(0, 50, 7)}
 
 
+def test_many_tasks_read_the_archives(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    folder = work_path(spark, "warc")
+    index = warc_index.write_archives(pages, folder)
+    records = warc_index.read_records(index, folder, range_bytes=1000)
+    assert records.count() == 400 and records.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_ids_of_other_types_and_repeated_rows(spark):
+    long = "<p>" + "word after word " * 200_000
+    rows = [("a>b\r\nX: y", BIG), ("é:7", BIG), ("é:7", BIG), ("z", SMALL), (None, SMALL), ("l", long), ("l", long)]
+    got = warc_index.archive_round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string")).collect()
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=repr)
+    owner = {BIG: "é:7", long: "l"}
+    assert got == sorted([(i, len(h), "revisit" if owner.get(h, i) != i else "response", o if (o := owner.get(h, i)) != i else None) for i, h in rows], key=repr)
+
+
 def test_ranges_coalesce_over_small_gaps():
     assert warc_index.coalesce([(30, 5), (0, 10), (12, 8)], gap=2) == [(0, 20, [(0, 10), (12, 8)]), (30, 35, [(30, 5)])]
 
 
 def test_records_are_standard_members():
-    packed, digest = warc_index.page_record(3, "http://x/", b"body", None, "2020-01-01T00:00:00Z")
+    packed, digest = warc_index.page_record("3", "http://x/", b"body", None, "2020-01-01T00:00:00Z")
     fields, http, payload = warc_index.parse_record(packed)
     assert packed[:2] == b"\x1f\x8b" and payload == b"body" and digest == hashlib.sha1(b"body").hexdigest()
     assert fields["warc-type"] == "response" and http.startswith(b"HTTP/1.1 200")

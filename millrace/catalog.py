@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.functions import arrays, numeric, text, tokens
-from millrace.operators import batches, cache, checkpoints, conversion, metrics, scores, shards, splits, validate
+from millrace.operators import batches, cache, checkpoints, conversion, metrics, scores, shards, splits, staging, validate
+from millrace.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-VALIDATION_SHARE, BASE_VOCAB, BUDGET, CHUNK = 0.05, 32_000, 60_000_000, 16
+VALIDATION_SHARE, BASE_VOCAB, BUDGET, CHUNK = 0.05, 32_000, 1_000_000_000, 16
 KHMER_SAMPLES = [
-    (-1, "ខ្ញុំមាន $10 នៅឆ្នាំ 2026។"), (-2, "ថ្ងៃទី 5 ខែមករា ឆ្នាំ 2026"), (-3, "05/01/2026"), (-4, "៛5000"), (-5, "20000 រៀល"),
-    (-6, "2026"), (-7, "1000000"), (-8, "0"), (-9, "x5 12 3.14, 10km 096 -7 1,000 7%"), (-10, "៛5។ok"), (-11, "លេខ ០៩៦ ៣៣៣ ៤៤៤"), (-12, ""),
+    (-1, "តម្លៃ $37 ក្នុងឆ្នាំ 1998 ។"), (-2, "ថ្ងៃទី 17 ខែសីហា ឆ្នាំ 2031"), (-3, "28-11/1975"), (-4, "៛ 812.50"), (-5, "640,000 រៀល"),
+    (-6, "83"), (-7, "7000300"), (-8, "00"), (-9, "ab7 44 2.71, 15cm 008 -3 6,500 12%"), (-10, "៛9។yes"), (-11, "លេខ ០១២ ៤៥៦ ៧៨៩"), (-12, ""),
 ]
 _VALUES = ", ".join(f"({i}, '{t}')" for i, t in KHMER_SAMPLES)
 
@@ -198,6 +199,104 @@ def decimal_words(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.decimal_words(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("words"))
 
 
+_PRICE = "split_part(o_totalprice::DECIMAL(18, 2)::VARCHAR, '.', {})"
+_MONTH = f"{_sql_list(text.MONTHS)}[month(o_orderdate::DATE)]"
+
+
+@query(f"""SELECT o_orderkey, 'due ' || {_sql_words(_PRICE.format(1))} || '{text.DOLLAR}' || '{text.POINT}' || array_to_string(list_transform(string_split({_PRICE.format(2)}, ''), lambda d: {_sql_list(text.DIGIT_WORDS)}[d::INT + 1]), '')
+    || ' by {text.DAY}' || {_sql_words("day(o_orderdate::DATE)::VARCHAR")} || ' {text.MONTH}' || {_MONTH} || ' {text.YEAR}' || {_sql_words("year(o_orderdate::DATE)::VARCHAR")}
+    || ' or ' || {_sql_words("o_custkey::VARCHAR")} || '{text.RIEL} for ' || {_sql_words("o_orderkey::VARCHAR")} || ', not 5km' AS normalized FROM orders""")
+def normalize_amounts(spark, sf_dir):
+    """Dollars, a date, riel and a plain number in one text per order; the SQL builds the words on its own."""
+    d = F.col("o_orderdate").cast("date")
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    raw = F.concat(F.lit("due  $"), price, F.lit(" by "), F.date_format(d, "d/M/yyyy"), F.lit("\tor ៛"), F.col("o_custkey").cast("string"), F.lit(" for "), F.translate(F.col("o_orderkey").cast("string"), "0123456789", text.KHMER_DIGITS), F.lit(", not 5km "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.normalize(raw).alias("normalized"))
+
+
+#: Characters of the added vocabulary in the next queries, with ids from 3 on; the first two are reserved ids.
+_CHARS = "កខគឃងចឆជឈញដឋឌឍណតថទធនបផពភមយរលវសហឡអ"
+_CHAR_IDS = {c: 3 + i for i, c in enumerate(_CHARS)}
+_MIXED = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_VALUES}))"
+
+
+def _mixed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(spark.createDataFrame(KHMER_SAMPLES, "doc_id bigint, text string"))
+
+
+def _mixed_ids():
+    return tokens.encode_mixed(F.col("text"), F.create_map(*(F.lit(x) for kv in _CHAR_IDS.items() for x in kv)), BASE_VOCAB)
+
+
+@query(f"""SELECT doc_id, len(ids) AS n_ids, sha256(array_to_string(ids, ',')) AS ids_sha256, len(list_filter(ids, lambda i: i >= {BASE_VOCAB})) AS n_added FROM (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[\u1780-\u17FF\u19E0-\u19FF]+|[^\u1780-\u17FF\u19E0-\u19FF]+'),
+    lambda r: CASE WHEN unicode(r) BETWEEN 6016 AND 6143 OR unicode(r) BETWEEN 6624 AND 6655
+        THEN list_transform(list_filter(list_transform(string_split(r, ''), lambda c: coalesce(nullif(instr('{_CHARS}', c), 0) + 2, 1)), lambda i: i > 4), lambda i: i + {BASE_VOCAB})
+        ELSE list_transform(regexp_extract_all(hex(encode(r)), '..'), lambda h: ('0x' || h)::BIGINT + 3) END)) AS ids FROM {_MIXED})""")
+def mixed_encode(spark, sf_dir):
+    rows = _mixed(spark, sf_dir).select("doc_id", tokens.checked_ids(_mixed_ids(), tokens.vocabulary_total(BASE_VOCAB)).alias("ids"))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.size(F.filter("ids", lambda i: tokens.is_extended(i, BASE_VOCAB))).cast("bigint").alias("n_added"))
+
+
+@query(f"""SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, ''), lambda c: NOT (unicode(c) BETWEEN 6016 AND 6143 OR unicode(c) BETWEEN 6624 AND 6655) OR instr('{_CHARS[2:]}', c) > 0), '')) AS text_sha256 FROM {_MIXED}""")
+def mixed_decode(spark, sf_dir):
+    """Mixed ids back to text; added characters without an id, or with a reserved one, are gone."""
+    chars = F.create_map(*(F.lit(x) for c, i in _CHAR_IDS.items() for x in (i, c)))
+    ids = _mixed(spark, sf_dir).select("doc_id", _mixed_ids().alias("ids"))
+    return ids.select("doc_id", F.sha2(tokens.decode_mixed(F.col("ids"), chars, BASE_VOCAB), 256).alias("text_sha256"))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal, 'x/' || c_custkey || '.flac' AS relpath, (c_custkey * 8 + 16000)::BIGINT AS num_samples FROM customer")
+def list_scan(spark, sf_dir):
+    """Customers written as a sample list below a header line, and read by its reader."""
+    path = staging.scratch(spark, "list")
+    k = F.col("c_custkey")
+    lines = table(spark, sf_dir, "customer").select(k.cast("bigint").alias("at"), F.concat(F.lit("x/"), k.cast("string"), F.lit(".flac\t"), (k * 8 + 16_000).cast("string")).alias("value"))
+    lines.unionAll(spark.createDataFrame([(-1, "/root")], "at bigint, value string")).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return files.sample_list(spark, path).select(F.col("ordinal").cast("bigint").alias("ordinal"), "relpath", F.col("num_samples").cast("bigint").alias("num_samples"))
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def manifest_scan(spark, sf_dir):
+    """Rows written as a JSON manifest and read back with a declared schema."""
+    path = staging.scratch(spark, "manifest")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    sinks.manifest(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id <= 700")
+def step_cap(spark, sf_dir):
+    return metrics.capped_steps(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", 700)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20")
+def last_lines(spark, sf_dir):
+    return metrics.last_lines(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def preview(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("less"))
+    return metrics.preview(rows, "less", "o_orderkey").drop("less")
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '#0*([0-9]+)', '-\\1') AS line FROM customer")
+def patched_lines(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.patched(F.col("c_name"), "#0*([0-9]+)", "-$1").alias("line"))
+
+
+@query("SELECT event_id, value < coalesce(min(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS improved FROM events")
+def best_overall(spark, sf_dir):
+    """One global order over ranges, without a window in one task."""
+    return metrics.best_so_far(table(spark, sf_dir, "events"), "value", "event_id").select("event_id", "improved")
+
+
+@query("SELECT event_id, step FROM (SELECT event_id, step, lag(step) OVER (ORDER BY event_id) AS before FROM (SELECT event_id, event_id // 100 % 5 AS step FROM events) WHERE step > 0) WHERE step IS DISTINCT FROM before")
+def new_steps_overall(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", (F.floor(F.col("event_id") / 100) % 5).alias("step"))
+    return metrics.new_steps(rows, "step", "event_id").select("event_id", "step")
+
+
 @query()
 def normalize_text(spark, sf_dir):
     """Rows only: the five passes use lookbehind, which DuckDB's expressions lack; tests hold a plain model against it."""
@@ -213,10 +312,10 @@ _FOLD = f"""w(i, clip_id, bytes, shard, used) AS (
 
 
 def _planned(spark, sf_dir):
-    return shards.plan_shards(manifest_view(spark, sf_dir).select("clip_id", F.least("duration_seconds", F.lit(1000.0)).alias("duration_seconds")), BUDGET, 50_400.0)
+    return shards.plan_shards(manifest_view(spark, sf_dir).select("clip_id", "duration_seconds"), BUDGET, 50_400.0)
 
 
-_PLAN_SQL = f"WITH RECURSIVE {MANIFEST_SQL.replace('n_chars / 15.0::DOUBLE', 'least(n_chars / 15.0::DOUBLE, 1000.0)')}, {_ORDERED}, {_FOLD}"
+_PLAN_SQL = f"WITH RECURSIVE {MANIFEST_SQL}, {_ORDERED}, {_FOLD}"
 
 
 @query(f"{_PLAN_SQL} SELECT clip_id, bytes, shard FROM w")
@@ -241,12 +340,27 @@ def shard_clip_ids(spark, sf_dir):
     return shards.shard_clips(_planned(spark, sf_dir)).select("index", F.array_join("clip_ids", ",").alias("clip_ids"))
 
 
+@query(f"""{_PLAN_SQL} SELECT w.shard AS "index", (row_number() OVER (PARTITION BY w.shard ORDER BY sha256(clip_id), clip_id) - 1)::INT AS place, clip_id, m.sample_rate, s.split
+    FROM w JOIN m USING (clip_id) JOIN s USING (clip_id) QUALIFY m.sample_rate = 24000""")
+def shard_samples(spark, sf_dir):
+    view = manifest_view(spark, sf_dir)
+    found = shards.shard_samples(shards.shard_clips(_planned(spark, sf_dir)), view.where("sample_rate = 24000").select("clip_id", "sample_rate"), splits.assign_splits(view, VALIDATION_SHARE))
+    return found.select("index", "place", "clip_id", "sample_rate", "split")
+
+
 @query(f"WITH {MANIFEST_SQL} SELECT clip_id, row_number() OVER (ORDER BY sha256(clip_id), clip_id) - 1 AS place FROM m")
 def stable_order(spark, sf_dir):
     rows = manifest_view(spark, sf_dir).select("clip_id", F.sha2("clip_id", 256).alias("h"))
     return batches.ordinals(rows, "h", "clip_id", name="place").select("clip_id", "place")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_comment_bytes, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS place FROM (SELECT *, octet_length(encode(l_returnflag || l_linestatus)) AS l_comment_bytes FROM lineitem)")
+def ordinals_payload(spark, sf_dir):
+    """Global ordinals of rows that carry columns beside the order's."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", F.octet_length(F.concat("l_returnflag", "l_linestatus")).alias("l_comment_bytes"))
+    return batches.ordinals(rows, "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", name="place").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_comment_bytes", "place")
+
+
 _LAST = "SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
 
 
@@ -333,9 +447,18 @@ SCHEDULES = [
 def lr_schedule(spark, sf_dir):
     for s in SCHEDULES:
         numeric.check_schedule(*s[2:5])
-    stages = spark.createDataFrame(SCHEDULES, schemas.SCHEDULE)
-    steps = spark.range(40_001).withColumnRenamed("id", "step")
-    return steps.crossJoin(F.broadcast(stages)).select("step", "experiment_id", "param_group", numeric.learning_rate(F.col("step")).alias("lr"))
+    groups = F.array(*(F.struct(F.lit(e).alias("experiment_id"), F.lit(g).alias("param_group")) for e, g, *_ in SCHEDULES))
+    steps = spark.range(40_001).select(F.col("id").alias("step"), F.inline(groups))
+    return metrics.scheduled_rates(steps, spark.createDataFrame(SCHEDULES, schemas.SCHEDULE)).select("step", "experiment_id", "param_group", "lr")
+
+
+@query("""SELECT event_id, round(CASE WHEN s <= 2000 THEN a + (s::DOUBLE / 2000) * (p - a) WHEN s <= 10000 THEN p WHEN s <= 35000 THEN p + ((s - 10000)::DOUBLE / 25000) * (z - p) ELSE z END * 1e9, 3) AS nano_lr
+    FROM (SELECT event_id, event_id * 37 % 40000 AS s, 'EXP00' || (user_id % 3 + 1) AS e, CASE WHEN event_id % 2 = 0 THEN 'lora' ELSE 'khmer_embedding' END AS g FROM events)
+    JOIN (VALUES """ + ", ".join(f"('{e}', '{g}', {a}::DOUBLE, {p}::DOUBLE, {z}::DOUBLE)" for e, g, _, _, _, a, p, z in SCHEDULES) + ") t(e, g, a, p, z) USING (e, g)")
+def lr_lookup(spark, sf_dir):
+    k = F.col("event_id")
+    steps = table(spark, sf_dir, "events").select(k, (k * 37 % 40_000).alias("step"), F.concat(F.lit("EXP00"), (F.col("user_id") % 3 + 1).cast("string")).alias("experiment_id"), F.when(k % 2 == 0, "lora").otherwise("khmer_embedding").alias("param_group"))
+    return metrics.scheduled_rates(steps, spark.createDataFrame(SCHEDULES, schemas.SCHEDULE)).select("event_id", F.round(F.col("lr") * 1e9, 3).alias("nano_lr"))
 
 
 @query("SELECT event_id, value < coalesce(min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS improved FROM events")
@@ -405,7 +528,7 @@ def mask_gather(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k, F.concat_ws(",", arrays.gather_labels(F.array(k % 10, c % 10), F.array(c, k), 3, 6).cast("array<string>")).alias("labels"))
 
 
-@query("SELECT l_orderkey, l_linenumber, ((2000 * n + 16000) // 32000) / 1000 AS duration_seconds FROM (SELECT l_orderkey, l_linenumber, l_partkey * 8 + 16000 AS n FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, printf('%.3f', n / 16000.0::DOUBLE)::DOUBLE AS duration_seconds FROM (SELECT l_orderkey, l_linenumber, l_partkey * 8 + 16000 AS n FROM lineitem)")
 def durations(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numeric.duration_seconds(F.col("l_partkey") * 8 + 16_000, F.lit(16_000)).alias("duration_seconds"))
 
@@ -448,7 +571,7 @@ def weight_spread(spark, sf_dir):
 
 
 @query("""SELECT 'omni_' || (CASE WHEN c_custkey % 5 = 0 THEN 'dev' ELSE 'train' END) || '_' || replace(c_name, '#', '_') AS clip_id, c_mktsegment AS text, CASE WHEN c_custkey % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
-    '/audio/x/' || replace(c_name, '#', '_') || '.flac' AS audio_path, ((2000 * (c_custkey * 8 + 16000) + 16000) // 32000) / 1000 AS duration_seconds, 16000 AS sample_rate, CASE WHEN c_custkey % 3 = 0 THEN 'spk' || c_nationkey END AS speaker, 'customers' AS source
+    '/audio/x/' || replace(c_name, '#', '_') || '.flac' AS audio_path, printf('%.3f', (c_custkey * 8 + 16000) / 16000.0::DOUBLE)::DOUBLE AS duration_seconds, 16000 AS sample_rate, CASE WHEN c_custkey % 3 = 0 THEN 'spk' || c_nationkey END AS speaker, 'customers' AS source
     FROM customer WHERE c_custkey % 10 <> 7 AND c_custkey % 4 <> 0""")
 def manifest_conversion(spark, sf_dir):
     k = F.col("c_custkey")
@@ -498,7 +621,7 @@ def stream_new_steps(spark, sf_dir):
     static = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet")
     steps = stream.select("user_id", (F.floor(F.col("event_id") / 100) % 5).alias("step"), "event_id")
-    out, log = shards.scratch(spark, "steps"), shards.scratch(spark, "steps-log")
+    out, log = staging.scratch(spark, "steps"), staging.scratch(spark, "steps-log")
     watch.run_available(watch.new_steps(steps, "user_id", "step", "event_id"), log, watch.idempotent(out))
     return spark.read.parquet(out).select("user_id", "step", "event_id")
 

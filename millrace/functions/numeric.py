@@ -36,9 +36,23 @@ def available_bytes(total: int, model: int = MODEL_BYTES, overhead: int = OVERHE
 
 
 def duration_seconds(samples: Column, rate: Column) -> Column:
-    """Samples over rate to three places, halves up, in integers: no binary rounding enters."""
-    doubled = samples.cast("bigint") * 2000 + rate
-    return (doubled - doubled % (rate * 2)) / (rate * 2) / 1000
+    """Samples over rate as a double, rounded to three places by its exact binary value.
+
+    The quotient lies on the same side of a midpoint as the fraction, unless the
+    fraction is a midpoint.  Then the double's 53 bits are compared with the
+    midpoint in whole numbers, and a true tie goes to the even place.
+    """
+    n, r = samples.cast("bigint"), rate.cast("bigint")
+    quotient = n.cast("double") / r.cast("double")
+    below = ((n * 1000 - F.pmod(n * 1000, r)) / r).cast("bigint")
+    left = F.pmod(n * 1000, r) * 2 - r
+    shift = (53 - F.floor(F.log2(quotient))).cast("int")
+    whole = lambda c: c.cast("decimal(20,0)")
+    bits = whole((quotient * F.pow(F.lit(2.0), shift)).cast("bigint")) * 2000
+    middle = whole(below * 2 + 1) * whole(F.call_function("shiftleft", F.lit(1).cast("bigint"), shift))
+    # below two milliseconds the shift would pass 62; both midpoints there round up
+    up = F.when(left != 0, left > 0).when(quotient < 0.002, True).when(bits != middle, bits > middle).otherwise(below % 2 == 1)
+    return F.when(up, below + 1).otherwise(below) / 1000
 
 
 def byte_rate(bytes_: Column, seconds: Column) -> Column:

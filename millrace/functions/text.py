@@ -152,6 +152,11 @@ def normalize(text: Column) -> Column:
     return F.when(text.rlike(DIGIT), clean_space(plain_numbers(currency(dates(ready))))).otherwise(clean_space(text))
 
 
+def patched(line: Column, pattern: str, replacement: str) -> Column:
+    """A line with every match of a pattern replaced; ``$1`` names a group."""
+    return F.regexp_replace(line, pattern, replacement)
+
+
 def conditional_normalize(text: Column, is_normalized: bool) -> Column:
     """Texts that are declared normal already pass unchanged."""
     return text if is_normalized else normalize(text)

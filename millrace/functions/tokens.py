@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,11 @@ def script_runs(text: Column) -> Column:
 
 def byte_ids(text: Column, vocab_size: int = 32000) -> Column:
     """UTF-8 bytes as ids: 3 + byte, at most the last id. One linear pass over the hex form."""
-    return F.transform(F.filter(F.split(F.hex(F.encode(text, "UTF-8")), r"(?<=\G..)"), lambda h: h != ""), lambda h: F.least(F.conv(h, 16, 10).cast("int") + BYTE_OFFSET, F.lit(vocab_size - 1)))
+
+    def half(pair: Column, place: int) -> Column:
+        return F.instr(F.lit("0123456789ABCDEF"), F.substring(pair, place, 1)) - 1
+
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.least(half(h, 1) * 16 + half(h, 2) + BYTE_OFFSET, F.lit(vocab_size - 1)))
 
 
 def byte_text(ids: Column) -> Column:
@@ -96,30 +103,83 @@ def no_collision(base_size: int, added: int = KHMER_SIZE) -> bool:
     return added > 0 and base_size >= 0 and not set(range(base_size, base_size + added)) & set(range(0, base_size))
 
 
-def encode_mixed(text: Column, khmer_ids: Column, base_size: int) -> Column:
-    """Ids of a mixed text: bytes for other runs, a character map (char to id) for Khmer runs.
+#: An encoder of a slot: a column of string arrays to one of id arrays, one for each string.
+Encoder = Callable[[Column], Column]
+
+
+def byte_encoder(vocab_size: int = 32000) -> Encoder:
+    """The native stand-in for a base encoder."""
+    return lambda chunks: F.transform(chunks, lambda c: byte_ids(c, vocab_size))
+
+
+def char_encoder(ids: Column) -> Encoder:
+    """The native stand-in for an added encoder: a map from character to id."""
+    one = lambda c: F.coalesce(F.try_element_at(ids, c), F.lit(UNKNOWN))
+    return lambda chunks: F.transform(chunks, lambda t: F.transform(F.filter(F.split(t, ""), lambda c: c != ""), one))
+
+
+def python_encoder(encode: Callable[[str], list[int]]) -> Encoder:
+    """Any encoder in Python, in Arrow batches; it is shipped to the executors as it is."""
+
+    @F.pandas_udf("array<array<int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda ts: None if ts is None else [list(encode(t)) for t in ts])
+
+    return run
+
+
+def python_decoder(decode: Callable[[list[int]], str]) -> Callable[[Column], Column]:
+    """The inverse slot: a column of id arrays' arrays to one of string arrays."""
+
+    @F.pandas_udf("array<string>")
+    def run(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda rows: None if rows is None else [decode([int(i) for i in r]) for r in rows])
 
-    Reserved ids of the character map are dropped, the rest moves behind the
-    base ids.
+    return run
+
+
+def encode_with(text: Column, base: Encoder, added: Encoder, base_size: int) -> Column:
+    """Ids of a mixed text by two encoders: Khmer runs by ``added``, all others by ``base``.
+
+    Reserved ids of the added encoder are dropped, the rest moves behind the
+    base ids.  Runs alternate, so each encoder gets its runs as one array and
+    run ``i`` is number ``i // 2`` of its own.
     """
+    runs = script_runs(text)
+    own = lambda kind: F.transform(F.filter(runs, lambda r: r["kind"] == kind), lambda r: r["chunk"])
+    both = F.struct(runs.alias("runs"), added(own("khmer")).alias("khmer"), base(own("other")).alias("other"))
+
+    def joined(x: Column) -> Column:
+        def run(r: Column, i: Column) -> Column:
+            at = F.floor(i / 2).cast("int")
+            return F.when(r["kind"] == "khmer", F.transform(drop_reserved(F.get(x["khmer"], at)), lambda k: k + base_size)).otherwise(F.get(x["other"], at))
 
-    def run(r: Column) -> Column:
-        own = F.transform(F.filter(F.split(r["chunk"], ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(khmer_ids, c), F.lit(UNKNOWN)))
-        return F.when(r["kind"] == "khmer", F.transform(drop_reserved(own), lambda i: i + base_size)).otherwise(byte_ids(r["chunk"], base_size))
+        return F.flatten(F.transform(x["runs"], run))
 
-    return F.flatten(F.transform(script_runs(text), run))
+    return let(both, joined)
+
+
+def encode_mixed(text: Column, khmer_ids: Column, base_size: int) -> Column:
+    """Ids of a mixed text by the native stand-ins: bytes, and a character map (char to id) for Khmer runs."""
+    return encode_with(text, byte_encoder(base_size), char_encoder(khmer_ids), base_size)
 
 
 def id_runs(ids: Column, base_size: int) -> Column:
-    """Consecutive ids of one part as structs of ``khmer`` and ``ids``, in one linear fold."""
+    """Consecutive ids of one part as structs of ``khmer`` and ``ids``: the places where the part changes, then a slice for each."""
+
+    def split(row: Column) -> Column:
+        def changes(i: Column, k: Column) -> Column:
+            return F.when((k == 0) | (is_extended(i, base_size) != is_extended(F.get(row, k - 1), base_size)), k)
 
-    def add(state: Column, i: Column) -> Column:
-        khmer = is_extended(i, base_size)
-        last = F.try_element_at(state, F.lit(-1))
-        grown = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.struct(khmer.alias("khmer"), F.concat(last["ids"], F.array(i)).alias("ids"))))
-        return F.when((F.size(state) > 0) & (last["khmer"] == khmer), grown).otherwise(F.concat(state, F.array(F.struct(khmer.alias("khmer"), F.array(i).alias("ids")))))
+        def between(places: Column) -> Column:
+            return F.transform(places, lambda at, k: F.struct(
+                is_extended(F.get(row, at), base_size).alias("khmer"),
+                F.slice(row, at + 1, F.coalesce(F.get(places, k + 1), F.size(row)) - at).alias("ids"),
+            ))
 
-    return F.aggregate(ids, F.lit([]).cast("array<struct<khmer:boolean,ids:array<int>>>"), add)
+        return let(F.filter(F.transform(row, changes), lambda k: k.isNotNull()), between)
+
+    return let(ids, split)
 
 
 def decode_runs(tokens: DataFrame, key: str, pos: str, id_: str, base_size: int) -> DataFrame:
@@ -135,10 +195,24 @@ def decode_runs(tokens: DataFrame, key: str, pos: str, id_: str, base_size: int)
     return runs.withColumn("run", F.row_number().over(Window.partitionBy(key).orderBy("first_pos")) - 1).select(key, "run", "khmer", "first_pos", "n_ids")
 
 
-def decode_mixed(ids: Column, khmer_chars: Column, base_size: int) -> Column:
-    """The text of mixed ids; ``khmer_chars`` maps added ids to characters."""
+def decode_with(ids: Column, base: Callable[[Column], Column], added: Callable[[Column], Column], base_size: int) -> Column:
+    """The text of mixed ids by two decoders of id arrays; the inverse of ``encode_with``.
+
+    With Python decoders the ids must come from a table: Spark does not evaluate
+    a Python slot over the outcome of another in one projection.
+    """
+    runs = id_runs(ids, base_size)
+    own = lambda khmer: F.transform(F.filter(runs, lambda r: r["khmer"] == khmer), lambda r: F.transform(r["ids"], lambda i: i - base_size) if khmer else r["ids"])
+    both = F.struct(runs.alias("runs"), added(own(True)).alias("khmer"), base(own(False)).alias("other"))
 
-    def one(r: Column) -> Column:
-        return F.when(r["khmer"], F.array_join(F.transform(r["ids"], lambda i: F.coalesce(F.try_element_at(khmer_chars, i - base_size), F.lit(""))), "")).otherwise(byte_text(r["ids"]))
+    def joined(x: Column) -> Column:
+        at = lambda i: F.floor(i / 2).cast("int")
+        return F.array_join(F.transform(x["runs"], lambda r, i: F.when(r["khmer"], F.get(x["khmer"], at(i))).otherwise(F.get(x["other"], at(i)))), "")
 
-    return let(id_runs(ids, base_size), lambda runs: F.array_join(F.transform(runs, one), ""))
+    return let(both, joined)
+
+
+def decode_mixed(ids: Column, khmer_chars: Column, base_size: int) -> Column:
+    """The text of mixed ids by the native stand-ins; ``khmer_chars`` maps added ids to characters."""
+    one = lambda i: F.coalesce(F.try_element_at(khmer_chars, i), F.lit(""))
+    return decode_with(ids, lambda rows: F.transform(rows, byte_text), lambda rows: F.transform(rows, lambda r: F.array_join(F.transform(r, one), "")), base_size)

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from millrace.functions import arrays
+from millrace.operators.staging import staged
+
+
+def earlier() -> WindowSpec:
+    """The parts before one; a window over one row a part."""
+    return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def batch_number(order: Column, size: int) -> Column:
@@ -13,20 +23,30 @@ def batch_number(order: Column, size: int) -> Column:
     return F.floor(order / size).cast("bigint")
 
 
+def ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with ``_part`` and ``_inner``, their range and their place in it.
+
+    They are written once: a second reading of the exchange could draw other
+    range bounds, and so other places.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return staged(dealt.withColumns({"_part": F.spark_partition_id(), "_inner": F.monotonically_increasing_id() % (1 << 33)}), "ranges")
+
+
 def ordinals(rows: DataFrame, *order: str, by: tuple[str, ...] = (), name: str = "ordinal") -> DataFrame:
     """A 0-based row number in the given order.
 
-    Without ``by`` the order is global: rows are range-partitioned and sorted,
-    numbered inside each partition, and shifted by the sizes of the partitions
-    before it, so no task sees more than its own part.
+    Without ``by`` the order is global: rows are dealt by ranges and sorted,
+    numbered inside each part, and shifted by the sizes of the parts before it,
+    so no task sees more than its own part.
     """
     if by:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_inner": F.monotonically_increasing_id() % (1 << 33)})
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before")
+    dealt = ranged(rows, *order)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier()), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inner")).select(*rows.columns, name)
 
 
 def pad_batches(rows: DataFrame, batch: str, ids: str, labels: str, multiple: int = 1, most: int | None = None) -> DataFrame:
@@ -48,6 +68,11 @@ def pad_batches(rows: DataFrame, batch: str, ids: str, labels: str, multiple: in
     }).drop("_longest")
 
 
+def collated(rows: DataFrame, batch: str, collate: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Each batch through a collating function of the caller's; a batch is as large as its batch number makes it."""
+    return rows.groupBy(batch).applyInPandas(collate, schema)
+
+
 def rank_rows(rows: DataFrame, key: str, ranks: int, rank: int, seed: int = 0, epoch: int = 0) -> DataFrame:
     """One rank's share of the rows, disjoint from all others; it changes with the epoch."""
     return rows if ranks <= 1 else rows.where(F.pmod(F.xxhash64(key, F.lit(seed + epoch)), F.lit(ranks)) == rank)

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numeric import AUDIO_BYTES_PER_SECOND, audio_bytes
+from millrace.operators.staging import scratch
 
 #: Clips of one range partition at most, on average.
 PARTITION_CLIPS = 1_000_000
@@ -45,8 +46,7 @@ def plan_shards(clips: DataFrame, budget: int, rate: float = AUDIO_BYTES_PER_SEC
     place = F.row_number().over(Window.partitionBy("part").orderBy("hash", "clip_id")) - 1
     ordered = sized.withColumn("part", part).withColumn("place", place)
     if parts > 1:
-        if path is None:
-            path = scratch(spark, "shards")
+        path = path or scratch(spark, "shards")
         ordered.write.partitionBy("part").parquet(path)
         ordered = spark.read.parquet(path)
     starts: list[tuple[int, int, int]] = [(0, 0, 0)]
@@ -63,7 +63,7 @@ def plan_shards(clips: DataFrame, budget: int, rate: float = AUDIO_BYTES_PER_SEC
         used, begun = next((r.used for r in rows if r.start < 0), used), begun or any(r.n for r in rows)
     # one row per shard: the shard of a clip is the last one that began at or before it
     begins = spark.createDataFrame(starts, "part int, place bigint, shard int")
-    marked = ordered.select("clip_id", "bytes", "part", "place").join(F.broadcast(begins), ["part", "place"], "left")
+    marked = ordered.select("clip_id", "bytes", "part", "place").join(begins, ["part", "place"], "left")
     inside = F.max("shard").over(Window.partitionBy("part").orderBy("place"))
     before = F.broadcast(spark.createDataFrame([(p, max([s for q, _, s in starts if q < p], default=0)) for p in range(parts)], "part int, carried int"))
     return marked.withColumn("inside", inside).join(before, "part").select("clip_id", "bytes", F.coalesce("inside", "carried").alias("shard"))
@@ -96,6 +96,15 @@ def shard_clips(planned: DataFrame) -> DataFrame:
     return planned.groupBy(F.col("shard").alias("index")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.sha2("clip_id", 256).alias("h"), "clip_id"))), lambda x: x["clip_id"]).alias("clip_ids"), F.sum("bytes").alias("total_audio_bytes"))
 
 
+def shard_samples(shards: DataFrame, samples: DataFrame, splits: DataFrame) -> DataFrame:
+    """The samples of each shard, in the shard's order, with their split; ids without a sample or a split fall out.
+
+    ``shards``: index, clip_ids; ``samples``: clip_id and more; ``splits``: clip_id, split.
+    """
+    ids = shards.select("index", F.posexplode("clip_ids").alias("place", "clip_id"))
+    return ids.join(samples, "clip_id").join(splits.select("clip_id", "split"), "clip_id")
+
+
 def pending(shards: DataFrame, progress: DataFrame) -> DataFrame:
     """Shards that are not complete. ``progress``: ``shard_index``."""
     return shards.join(progress.select(F.col("shard_index").alias("index")), "index", "left_anti")
@@ -104,12 +113,3 @@ def pending(shards: DataFrame, progress: DataFrame) -> DataFrame:
 def complete(progress: DataFrame, done: DataFrame) -> DataFrame:
     """Progress with more shards added; adding twice changes nothing. In order of the index."""
     return progress.select("shard_index").unionByName(done.select("shard_index")).distinct().orderBy("shard_index")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens
-from millrace.functions.text import SPACE
+from millrace.functions.text import SPACE, let
 
 # Limits of a valid clip.
 MOST_CHARS, LEAST_CHARS = 500, 1
@@ -14,11 +14,13 @@ LEAST_SECONDS, MOST_SECONDS = 0.3, 30.0
 SAMPLE_RATE = 24_000
 
 
-def reason(ids: Column | None = None, vocab_size: int | None = None, found: Column | None = None, sample_rate: int | None = SAMPLE_RATE) -> Column:
+def reason(ids: Column | None = None, vocab_size: int | None = None, found: Column | None = None, sample_rate: int | None = SAMPLE_RATE, normalized: Column | None = None, base_size: int | None = None) -> Column:
     """The first rule a manifest row breaks; null for a valid row.
 
-    ``found`` says whether the audio file exists (null: not checked); ``ids``
-    are the text's token ids, null where the tokenizer failed.  Texts are
+    ``found`` says whether the audio file exists (null: not checked);
+    ``normalized`` is the text after normalising, null where that failed;
+    ``ids`` are the text's token ids, null where the tokenizer failed; with
+    ``base_size`` each id must belong to just one of the two parts.  Texts are
     measured as they come, in code points.
     """
     text, c = F.col("text"), F.col
@@ -32,16 +34,23 @@ def reason(ids: Column | None = None, vocab_size: int | None = None, found: Colu
         (c("duration_seconds") > MOST_SECONDS, F.lit("audio_too_long")),
         (c("sample_rate") != sample_rate if sample_rate is not None else F.lit(False), F.concat(F.lit("unexpected_sample_rate_"), c("sample_rate").cast("string"))),
     ]
-    if ids is not None:
-        checks += [
-            (ids.isNull(), F.lit("tokenizer_failed")),
-            (F.size(ids) == 0, F.lit("empty_token_ids")),
-            (~tokens.ids_in_range(ids, vocab_size), F.lit("invalid_token_id_range")),
-        ]
+    if normalized is not None:
+        checks.append((normalized.isNull(), F.lit("normalize_failed")))
     out = F.when(*checks[0])
     for condition, name in checks[1:]:
         out = out.when(condition, name)
-    return out
+    if ids is None:
+        return out
+
+    def by_ids(i: Column) -> Column:
+        found = F.when(i.isNull(), "tokenizer_failed").when(F.size(i) == 0, "empty_token_ids")
+        if vocab_size is not None:
+            found = found.when(~tokens.ids_in_range(i, vocab_size), "invalid_token_id_range")
+        if base_size is not None:
+            found = found.when(F.exists(i, lambda k: tokens.is_extended(k, base_size) == tokens.is_original(k, base_size)), "vocabulary_collision")
+        return found
+
+    return out.otherwise(let(ids, by_ids))
 
 
 def validate(manifest: DataFrame, **checks) -> DataFrame:
@@ -49,19 +58,24 @@ def validate(manifest: DataFrame, **checks) -> DataFrame:
     return manifest.select(F.coalesce("clip_id", F.lit("<unknown>")).alias("clip_id"), reason(**checks).alias("reason"))
 
 
+def _tally(validated: DataFrame, order: str) -> DataFrame:
+    """A row for each reason (null: valid) with its count and first row; the totals beside it come from these few rows."""
+    whole = Window.partitionBy()
+    by_reason = validated.groupBy("reason").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return by_reason.withColumns({"total": F.sum("n").over(whole), "ok": F.sum(F.when(F.col("reason").isNull(), F.col("n")).otherwise(0)).over(whole)})
+
+
 def summary(validated: DataFrame, order: str = "clip_id") -> DataFrame:
     """Rows by reason with total and valid counts; most frequent first, ties by first appearance."""
-    by_reason = validated.groupBy("reason").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    total = validated.agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull()).alias("ok"))
-    return by_reason.where("reason is not null").crossJoin(F.broadcast(total)).select("reason", "n", "total", "ok", "first").orderBy(F.desc("n"), "first").drop("first")
+    return _tally(validated, order).where("reason is not null").orderBy(F.desc("n"), "first").select("reason", "n", "total", "ok")
 
 
 def report(validated: DataFrame, order: str = "clip_id") -> DataFrame:
     """The summary as text: ``ok/total`` and one indented line for each reason."""
-    totals = validated.agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull()).alias("ok"))
-    reasons = validated.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    lines = reasons.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", F.format_string("  %s: %d", "reason", "n").alias("line")))).alias("lines"))
-    return totals.crossJoin(lines).select(F.array_join(F.concat(F.array(F.format_string("%d/%d valid", "ok", "total")), F.transform("lines", lambda x: x["line"])), "\n").alias("report"))
+    line = F.when(F.col("reason").isNotNull(), F.struct((-F.col("n")).alias("less"), "first", F.format_string("  %s: %d", "reason", "n").alias("line")))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    head = F.format_string("%d/%d valid", F.coalesce(F.max("ok"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0)))
+    return _tally(validated, order).agg(F.array_join(F.concat(F.array(head), lines), "\n").alias("report"))
 
 
 def usable(manifest: DataFrame, **checks) -> DataFrame:

@@ -25,8 +25,8 @@ def make_splits(spark: SparkSession, manifest: str, out: str, validation_share:
     return splits.split_counts(spark.read.json(out))
 
 
-def convert_manifest(spark: SparkSession, root: str, out: str, sample_rate: int, source: str) -> DataFrame:
-    """Sample lists and transcripts below ``root`` as one manifest, and its totals."""
+def convert_manifest(spark: SparkSession, root: str, out: str, sample_rate: int, source: str, speakers: str = "data/ddd_speaker_ids.json") -> DataFrame:
+    """Sample lists and transcripts below ``root`` as one manifest, and its totals; ``speakers`` is a file below ``root`` and may be missing."""
     samples, lines = None, None
     for name in conversion.SPLIT_NAMES:
         s = files.sample_list(spark, f"{root}/{name}.tsv").withColumn("split", F.lit(name))
@@ -34,7 +34,7 @@ def convert_manifest(spark: SparkSession, root: str, out: str, sample_rate: int,
         samples, lines = (s, t) if samples is None else (samples.unionByName(s), lines.unionByName(t))
     audio_root = f"{root}/audio"
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(audio_root).select(F.regexp_extract("path", r".*/audio/(.*)", 1).alias("relpath"))
-    rows = conversion.convert(samples, lines, files.speakers(spark, f"{root}/data/speaker_ids.json"), listed, audio_root, sample_rate, source)
+    rows = conversion.convert(samples, lines, files.speakers(spark, f"{root}/{speakers}"), listed, audio_root, sample_rate, source)
     sinks.manifest(rows, out)
     return splits.manifest_totals(spark.read.schema(rows.schema).json(out))
 
@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     jobs = parser.add_subparsers(dest="job", required=True)
     add = lambda name, *args: [p := jobs.add_parser(name), [p.add_argument(a, **k) for a, k in args]]
     add("make-splits", ("manifest", {}), ("out", {}), ("--validation-share", {"type": float, "default": 0.02}))
-    add("convert-manifest", ("root", {}), ("out", {}), ("--sample-rate", {"type": int, "default": 16_000}), ("--source", {"default": "asr"}))
+    add("convert-manifest", ("root", {}), ("out", {}), ("--sample-rate", {"type": int, "default": 16_000}), ("--source", {"default": "asr"}), ("--speakers", {"default": "data/ddd_speaker_ids.json"}))
     add("plan-precompute", ("manifest", {}), ("--disk-gb", {"type": float, "default": 20.0}), ("--progress", {"default": "progress.json"}))
     add("validate-manifest", ("manifest", {}), ("--split", {}))
     add("normalize-sentences", ("sentences", {}), ("out", {}))

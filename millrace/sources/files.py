@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -259,10 +259,15 @@ def packed_sentences(spark: SparkSession, path: str, pattern: str = "*.{protos,p
     return _decoded(_binary(spark, path, pattern), decode, schema)
 
 
+def listed_order(path: Column) -> list[Column]:
+    """Files of the longer suffix by path, then those of the shorter one."""
+    return [F.when(path.endswith(".protos"), 0).otherwise(1), path]
+
+
 def with_codes(items: DataFrame, most: int | None = None) -> DataFrame:
     """Sentences that have semantics, in order of file, item and place; with ``most``, the first so many."""
     rows = items.select("file", "item", F.posexplode("sentences").alias("place", "sentence")).where(F.size("sentence.semantics") > 0).select("file", "item", "place", "sentence.*")
-    return rows if most is None else rows.orderBy("file", "item", "place").limit(most)
+    return rows if most is None else rows.orderBy(*listed_order(F.col("file")), "item", "place").limit(most)
 
 
 def load_config(path: str) -> dict:

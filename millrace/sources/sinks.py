@@ -1,4 +1,4 @@
-"""Writers.  Tables go through Spark's committers; single JSON documents through a rename."""
+"""Writers.  Tables go through Spark's committers; single JSON documents through a replacing move."""
 
 from __future__ import annotations
 
@@ -6,23 +6,30 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.files import exists, hadoop_path
 
 
+def replace_file(spark: SparkSession, part: str, path: str) -> None:
+    """Move a file over another in one step of the store; a reader finds the old one or the new one."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    source, target = fs.Path(part), hadoop_path(spark, path)[1].makeQualified(fs.Path(path))
+    options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    options[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(hadoop_path(spark, part)[1].makeQualified(source), target, options)
+
+
 def write_document(spark: SparkSession, path: str, data) -> None:
-    """One JSON document, whole or not at all: written beside its place, then renamed."""
-    target, store = hadoop_path(spark, path)
-    part, _ = hadoop_path(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    """One JSON document, whole or not at all: written beside its place, then moved over it in one step."""
+    name = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    part, store = hadoop_path(spark, name)
     out = store.create(part, True)
     out.write(bytearray(json.dumps(data, ensure_ascii=False, indent=2).encode()))
-    out.hsync() if hasattr(out, "hsync") else None
+    out.hsync()
     out.close()
-    store.delete(target, False)
-    if not store.rename(part, target):
-        raise OSError(f"could not move to {path}")
+    replace_file(spark, name, path)
 
 
 def manifest(rows: DataFrame, path: str, by_split: bool = False) -> None:
@@ -35,6 +42,17 @@ def cache_index(index: DataFrame, path: str) -> None:
     index.repartition("clip_id").sortWithinPartitions("clip_id").write.mode("overwrite").parquet(path)
 
 
+def cache_index_document(index: DataFrame, path: str) -> None:
+    """The keyed cache as one JSON document that maps each key to its entry without the key.
+
+    For interchange; one document holds all entries, so it is for indexes that
+    the driver can hold. Entries come in order of the key.
+    """
+    spark = index.sparkSession
+    rows = index.orderBy("clip_id").select("clip_id", F.to_json(F.struct(*(c for c in index.columns if c != "clip_id"))).alias("entry"))
+    write_document(spark, path, {r.clip_id: json.loads(r.entry) for r in rows.toLocalIterator()})
+
+
 def progress(spark: SparkSession, done: DataFrame, path: str) -> None:
     """Completed shard numbers, sorted; one number per shard comes to the driver."""
     write_document(spark, path, {"completed_shard_indices": sorted(r[0] for r in done.select("shard_index").distinct().collect())})
@@ -52,19 +70,40 @@ def codes(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def restored(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there, after a replacement that broke off between its two moves was taken back."""
+    target, store = hadoop_path(spark, path)
+    old, _ = hadoop_path(spark, f"{path}.old")
+    if not store.exists(target) and store.exists(old):
+        store.rename(old, target)
+    return store.exists(target)
+
+
 def verified(rows: DataFrame, path: str, required: tuple[str, ...] = ()) -> None:
-    """A table that takes its place only after it was read back with its columns and rows."""
+    """A table that takes its place only after it was read back with its columns and as many rows as were written.
+
+    The table before it is moved aside, not deleted, until the new one stands;
+    ``restored`` takes it back if the job ends in between.
+    """
     spark = rows.sparkSession
     part = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-    rows.write.parquet(part)
+    written = Observation()
+    rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(part)
     back = spark.read.parquet(part)
     if lost := set(required or rows.columns) - set(back.columns):
         raise ValueError(f"columns lost: {sorted(lost)}")
-    back.count()
+    if (n := back.count()) != written.get["n"]:
+        raise ValueError(f"{written.get['n']} rows written, {n} read back")
     target, store = hadoop_path(spark, path)
-    store.delete(target, True)
+    old, _ = hadoop_path(spark, f"{path}.old")
+    if restored(spark, path):
+        store.delete(old, True)
+        if not store.rename(target, old):
+            raise OSError(f"could not move {path} aside")
     if not store.rename(hadoop_path(spark, part)[0], target):
+        restored(spark, path)
         raise OSError(f"could not move to {path}")
+    store.delete(old, True)
 
 
 def save_best(spark: SparkSession, state: DataFrame, path: str, loss: float, best: float) -> float:

@@ -102,5 +102,14 @@ def count_batches(stream: DataFrame, key: str, value: str, size: int) -> DataFra
 
 
 def cycled(spark: SparkSession, rows: DataFrame, rounds: int) -> DataFrame:
-    """A bounded stand-in for an endless iterator: the rows ``rounds`` times with their round."""
-    return rows.crossJoin(F.broadcast(spark.range(rounds).withColumnRenamed("id", "round")))
+    """The rows ``rounds`` times with their round."""
+    return rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))) if rounds > 0 else rows.withColumn("round", F.lit(0)).limit(0)
+
+
+def endless(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows again and again as an unbounded stream: one round for each batch, until the query stops.
+
+    The source emits one number for each batch; a round is the join of that one row with the table.
+    """
+    rounds = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    return rounds.select(F.col("value").alias("round")).join(rows)

@@ -108,9 +108,12 @@ def test_learning_rates(spark):
         numeric.check_schedule(5, 4, 6)
 
 
-def test_durations_halves_up(spark):
-    rows = spark.createDataFrame([(24, 16000), (8, 16000), (7, 16000), (16000, 16000)], "n bigint, r int")
-    assert [r.d for r in rows.select(numeric.duration_seconds(F.col("n"), F.col("r")).alias("d")).collect()] == [0.002, 0.001, 0.0, 1.0]
+def test_durations_round_by_their_binary_value(spark):
+    """Every half millisecond up to 20 seconds at three rates, and lengths between them."""
+    values_ = [(k * r // 2000, r) for r in (16_000, 24_000, 48_000) for k in range(1, 40_001, 2)] + [(n, r) for r in (16_000, 22_050, 44_100) for n in range(0, 200_000, 97)] + [(0, 16_000), (10**12 + 8, 16_000)]
+    rows = spark.createDataFrame(values_, "n bigint, r int")
+    got = rows.select("n", "r", numeric.duration_seconds(F.col("n"), F.col("r")).alias("d")).collect()
+    assert [x for x in got if x.d != round(x.n / x.r, 3)] == []
 
 
 def test_cache(spark):
@@ -171,6 +174,72 @@ def test_global_ordinals(spark):
     assert values(batches.ordinals(rows, "v")) == [(i, i) for i in sorted(range(500), key=lambda i: repr((i, i)))]
 
 
+def test_global_order_with_other_columns(spark):
+    """A million rows with a payload: each place once, in order; the same for what is carried over ranges."""
+    rows = spark.range(1_000_000, numPartitions=16).select((F.xxhash64("id") % 1_000_003).alias("v"), F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    placed = batches.ordinals(rows, "v", "k")
+    got = placed.agg(F.count_distinct("ordinal").alias("n"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.count_if(F.sha2(F.col("k").cast("string"), 256) != F.col("payload")).alias("torn")).first()
+    assert tuple(got) == (1_000_000, 0, 999_999, 0) and placed.columns == ["v", "k", "payload", "ordinal"]
+    assert placed.orderBy("ordinal").limit(50).select("v").collect() == rows.orderBy("v", "k").limit(50).select("v").collect()
+    few = spark.range(3000).select("id", (F.floor(F.col("id") / 700) % 3).alias("step"), F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.abs(F.col("id") - 1500).cast("double")).alias("v"), F.timestamp_seconds(F.col("id") * F.col("id")).alias("ts"))
+    everything = few.withColumn("all", F.lit(0))
+    for find in (lambda d, *by: metrics.best_so_far(d, "v", "id", *by), lambda d, *by: metrics.new_steps(d, "step", "id", *by), lambda d, *by: metrics.elapsed(d, "ts", *by)):
+        assert values(find(few).drop("v", "ts")) == values(find(everything, "all").drop("all", "v", "ts"))
+
+
+def test_encoder_slots(spark):
+    texts = [(0, "ខ្ញុំ ok ស"), (1, "plain"), (2, ""), (3, "៛5។ok"), (4, None)]
+    rows = spark.createDataFrame(texts, "i int, t string")
+    base, added = tokens.python_encoder(lambda t: [7 + ord(c) for c in t]), tokens.python_encoder(lambda t: [1] + [ord(c) - 6000 for c in t])
+    enc = rows.select("i", tokens.encode_with(F.col("t"), base, added, 32_000).alias("ids"))
+    khmer = lambda c: "\u1780" <= c <= "\u17ff" or "\u19e0" <= c <= "\u19ff"
+    assert values(enc) == [(i, None if t is None else [32_000 + ord(c) - 6000 if khmer(c) else 7 + ord(c) for c in t]) for i, t in texts]
+    back = spark.createDataFrame(enc.collect(), enc.schema).select("i", tokens.decode_with(F.col("ids"), tokens.python_decoder(lambda r: "".join(chr(i - 7) for i in r)), tokens.python_decoder(lambda r: "".join(chr(i + 6000) for i in r)), 32_000))
+    assert values(back) == texts
+    mixed = rows.select("i", tokens.encode_with(F.col("t"), tokens.byte_encoder(32_000), added, 32_000).alias("ids")).where("i = 3").first().ids
+    assert mixed == [32_000 + ord("៛") - 6000, 3 + ord("5"), 32_000 + ord("។") - 6000, 3 + ord("o"), 3 + ord("k")]
+
+
+def test_collating_slot(spark):
+    rows = spark.createDataFrame([(0, 5), (0, 7), (1, 9)], "batch int, n int")
+    assert values(batches.collated(rows, "batch", lambda d: d.groupby("batch", as_index=False).agg(longest=("n", "max")), "batch int, longest int")) == [(0, 7), (1, 9)]
+
+
+def test_id_runs_of_long_arrays(spark):
+    import time
+
+    began = time.time()
+    rows = spark.range(2).select(F.transform(F.sequence(F.lit(0), F.lit(63_999)), lambda i: (i * 7919 % 40_000).cast("int")).alias("ids"))
+    got = rows.select(tokens.id_runs(F.col("ids"), 32_000).alias("r")).select(F.size("r").alias("n"), F.aggregate("r", F.lit(0), lambda s, x: s + F.size(x["ids"])).alias("total")).collect()
+    ids = [i * 7919 % 40_000 >= 32_000 for i in range(64_000)]
+    assert [tuple(x) for x in got] == [(1 + sum(a != b for a, b in zip(ids, ids[1:])), 64_000)] * 2
+    assert time.time() - began < 30
+
+
+def test_samples_of_a_shard(spark):
+    shard = spark.createDataFrame([(0, ["b", "a", "x"]), (1, ["c"])], "index int, clip_ids array<string>")
+    samples = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "clip_id string, n int")
+    names = spark.createDataFrame([("a", "train"), ("b", "validation")], "clip_id string, split string")
+    assert values(shards.shard_samples(shard, samples, names).select("index", "place", "clip_id", "n", "split")) == [(0, 0, "b", 2, "validation"), (0, 1, "a", 1, "train")]
+
+
+def test_a_missing_schedule_is_an_error(spark):
+    stages = spark.createDataFrame([("E", "lora", 2000, 10000, 35000, 5e-5, 1e-4, 1e-5)], schemas.SCHEDULE)
+    steps = spark.createDataFrame([("E", "lora", 2000), ("F", "lora", 5)], "experiment_id string, param_group string, step int")
+    assert metrics.scheduled_rates(steps.limit(1), stages).first().lr == 1e-4
+    with pytest.raises(Exception, match="no schedule for F, lora"):
+        metrics.scheduled_rates(steps, stages).collect()
+
+
+def test_later_outcomes_of_validation(spark):
+    m = spark.createDataFrame([("c", "text", "a", 3.0, 24000)], "clip_id string, text string, audio_path string, duration_seconds double, sample_rate int")
+    one = lambda **k: validate.validate(m, **k).first().reason
+    assert one(normalized=F.lit(None).cast("string"), ids=F.array()) == "normalize_failed"
+    assert one(normalized=F.col("text"), ids=F.lit(None).cast("array<int>")) == "tokenizer_failed"
+    assert one(ids=F.array(F.lit(5), F.lit(-1)), base_size=32_000) == "vocabulary_collision"
+    assert one(ids=F.array(F.lit(5), F.lit(33_000)), vocab_size=40_000, base_size=32_000) is None
+
+
 def test_ranks_are_disjoint(spark):
     rows = spark.range(100).withColumnRenamed("id", "k")
     parts = [{r.k for r in batches.rank_rows(rows, "k", 3, i, seed=1, epoch=2).collect()} for i in range(3)]

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import schemas
 from millrace.plans import jobs
 from millrace.sources import files, sinks
 from millrace.streaming import watch
@@ -113,6 +114,46 @@ def test_verified_writes(spark, tmp_path):
     assert sinks.remove(spark, f"{tmp_path}/t") and not sinks.remove(spark, f"{tmp_path}/t")
 
 
+def test_a_replacement_that_broke_off(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int")
+    sinks.verified(df, f"{tmp_path}/t")
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert sinks.restored(spark, f"{tmp_path}/t") and spark.read.parquet(f"{tmp_path}/t").count() == 1
+    sinks.verified(df.unionAll(df), f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and not sinks.restored(spark, f"{tmp_path}/none")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_documents_are_replaced(spark, tmp_path):
+    for value in (1, 2):
+        sinks.write_document(spark, f"{tmp_path}/d.json", {"v": value})
+        assert json.loads((tmp_path / "d.json").read_text()) == {"v": value}
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith(".tmp")]
+    index = spark.createDataFrame([("b", "t", 1.5, 16000, "train", "v1"), ("a", None, 2.0, 16000, "train", "v1")], schemas.CACHE_INDEX)
+    sinks.cache_index_document(index, f"{tmp_path}/i.json")
+    data = json.loads((tmp_path / "i.json").read_text())
+    assert list(data) == ["a", "b"] and "clip_id" not in data["b"] and data["b"]["text"] == "t"
+    assert sorted(map(tuple, files.cache_index(spark, f"{tmp_path}/i.json").select("clip_id", "duration_seconds").collect())) == [("a", 2.0), ("b", 1.5)]
+
+
+def test_file_order(spark):
+    rows = spark.createDataFrame([("b.proto",), ("c.protos",), ("a.proto",), ("d.protos",)], "f string")
+    assert [r.f for r in rows.orderBy(*files.listed_order(F.col("f"))).collect()] == ["c.protos", "d.protos", "a.proto", "b.proto"]
+
+
+def test_an_endless_stream(spark, tmp_path):
+    seen = []
+    query = watch.watch(watch.endless(spark, spark.range(3)), f"{tmp_path}/log", lambda batch, n: seen.append((n, batch.count(), batch.select("round").distinct().count())), every="0 seconds")
+    import time
+
+    for _ in range(300):
+        if len(seen) >= 3:
+            break
+        time.sleep(0.1)
+    query.stop()
+    assert [x[1:] for x in seen[:3]] == [(3, 1)] * 3
+
+
 def test_jobs(spark, tmp_path, capsys):
     put(tmp_path / "m.json", json.dumps([{"clip_id": f"c{i}", "text": "t" * (600 * (i % 2) + 1), "audio_path": "a", "duration_seconds": 2.0, "sample_rate": 24000} for i in range(40)]))
     assert sum(r.n for r in jobs.make_splits(spark, f"{tmp_path}/m.json", f"{tmp_path}/s", 0.3).collect()) == 40
@@ -134,7 +175,7 @@ def test_conversion_job(spark, tmp_path):
         for i in range(n):
             if (split, i) != ("train", 1):
                 put(tmp_path / "audio" / split / f"u{i}.wav", b"x")
-    put(tmp_path / "data" / "speaker_ids.json", json.dumps({"0": ["s"]}))
+    put(tmp_path / "data" / "ddd_speaker_ids.json", json.dumps({"0": ["s"]}))
     totals = jobs.convert_manifest(spark, f"{tmp_path}", f"{tmp_path}/out", 16000, "src").first()
     assert (totals.clips, totals.train, totals.validation, totals.with_speaker) == (4, 2, 2, 2)
 

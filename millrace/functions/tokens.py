@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,16 +129,6 @@ def python_encoder(encode: Callable[[str], list[int]]) -> Encoder:
     return run
 
 
-def python_decoder(decode: Callable[[list[int]], str]) -> Callable[[Column], Column]:
-    """The inverse slot: a column of id arrays' arrays to one of string arrays."""
-
-    @F.pandas_udf("array<string>")
-    def run(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda rows: None if rows is None else [decode([int(i) for i in r]) for r in rows])
-
-    return run
-
-
 def encode_with(text: Column, base: Encoder, added: Encoder, base_size: int) -> Column:
     """Ids of a mixed text by two encoders: Khmer runs by ``added``, all others by ``base``.
 
@@ -195,24 +186,30 @@ def decode_runs(tokens: DataFrame, key: str, pos: str, id_: str, base_size: int)
     return runs.withColumn("run", F.row_number().over(Window.partitionBy(key).orderBy("first_pos")) - 1).select(key, "run", "khmer", "first_pos", "n_ids")
 
 
-def decode_with(ids: Column, base: Callable[[Column], Column], added: Callable[[Column], Column], base_size: int) -> Column:
-    """The text of mixed ids by two decoders of id arrays; the inverse of ``encode_with``.
+def decode_with(ids: Column, base: Callable[[list[int]], str], added: Callable[[list[int]], str], base_size: int) -> Column:
+    """The text of mixed ids by two decoders in Python, run by run in Arrow batches; the inverse of ``encode_with``.
 
-    With Python decoders the ids must come from a table: Spark does not evaluate
-    a Python slot over the outcome of another in one projection.
+    The ids come from a table: Spark does not evaluate a Python slot over
+    another's outcome behind array functions in one projection.
     """
-    runs = id_runs(ids, base_size)
-    own = lambda khmer: F.transform(F.filter(runs, lambda r: r["khmer"] == khmer), lambda r: F.transform(r["ids"], lambda i: i - base_size) if khmer else r["ids"])
-    both = F.struct(runs.alias("runs"), added(own(True)).alias("khmer"), base(own(False)).alias("other"))
 
-    def joined(x: Column) -> Column:
-        at = lambda i: F.floor(i / 2).cast("int")
-        return F.array_join(F.transform(x["runs"], lambda r, i: F.when(r["khmer"], F.get(x["khmer"], at(i))).otherwise(F.get(x["other"], at(i)))), "")
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        def text(row) -> str | None:
+            if row is None:
+                return None
+            runs = groupby((int(i) for i in row), lambda i: i >= base_size)
+            return "".join(added([i - base_size for i in r]) if khmer else base(list(r)) for khmer, r in runs)
 
-    return let(both, joined)
+        return rows.map(text)
+
+    return run(ids)
 
 
 def decode_mixed(ids: Column, khmer_chars: Column, base_size: int) -> Column:
     """The text of mixed ids by the native stand-ins; ``khmer_chars`` maps added ids to characters."""
-    one = lambda i: F.coalesce(F.try_element_at(khmer_chars, i), F.lit(""))
-    return decode_with(ids, lambda rows: F.transform(rows, byte_text), lambda rows: F.transform(rows, lambda r: F.array_join(F.transform(r, one), "")), base_size)
+
+    def one(r: Column) -> Column:
+        return F.when(r["khmer"], F.array_join(F.transform(r["ids"], lambda i: F.coalesce(F.try_element_at(khmer_chars, i - base_size), F.lit(""))), "")).otherwise(byte_text(r["ids"]))
+
+    return let(id_runs(ids, base_size), lambda runs: F.array_join(F.transform(runs, one), ""))

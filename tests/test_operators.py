@@ -194,7 +194,7 @@ def test_encoder_slots(spark):
     enc = rows.select("i", tokens.encode_with(F.col("t"), base, added, 32_000).alias("ids"))
     khmer = lambda c: "\u1780" <= c <= "\u17ff" or "\u19e0" <= c <= "\u19ff"
     assert values(enc) == [(i, None if t is None else [32_000 + ord(c) - 6000 if khmer(c) else 7 + ord(c) for c in t]) for i, t in texts]
-    back = spark.createDataFrame(enc.collect(), enc.schema).select("i", tokens.decode_with(F.col("ids"), tokens.python_decoder(lambda r: "".join(chr(i - 7) for i in r)), tokens.python_decoder(lambda r: "".join(chr(i + 6000) for i in r)), 32_000))
+    back = spark.createDataFrame(enc.collect(), enc.schema).select("i", tokens.decode_with(F.col("ids"), lambda r: "".join(chr(i - 7) for i in r), lambda r: "".join(chr(i + 6000) for i in r), 32_000))
     assert values(back) == texts
     mixed = rows.select("i", tokens.encode_with(F.col("t"), tokens.byte_encoder(32_000), added, 32_000).alias("ids")).where("i = 3").first().ids
     assert mixed == [32_000 + ord("៛") - 6000, 3 + ord("5"), 32_000 + ord("។") - 6000, 3 + ord("o"), 3 + ord("k")]

@@ -11,15 +11,16 @@ the page is good by itself, the ambiguous ones are: those of at least ``SHORT``
 characters, or all of more than one letter if there are none.  Where the stop
 words of no listed language fit the page, length and link density decide alone.
 
-Class and id names mark boilerplate, but a marked element is lifted, and what
-it holds is judged like the rest, if it holds the main element or outweighs
-what is not marked (see ``_lift``).
+Forms, and class and id names, mark boilerplate, but a marked element is lifted,
+and what it holds is judged like the rest, if it holds the main element or
+outweighs what is not marked (see ``_lift``).
 
 Good blocks are joined in page order by one space; white space inside a block
 becomes one space and character references are decoded.  Nothing is capped.
 
 Defined results: a null or empty page, or one without a good block, has an
-empty text of 0 characters.  Unclosed tags end with what contains them; an
+empty text of 0 characters.  Repeated rows give repeated results; columns
+beside the named ones are not read, whatever their names.  Unclosed tags end with what contains them; an
 unclosed comment, script or style runs to the page's end.
 """
 
@@ -50,7 +51,7 @@ STOP_WORDS = {
 }
 # Elements that start a block, and elements whose text is never content.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-OUTSIDE = frozenset("head nav footer aside form menu dialog button select noscript template svg math object canvas audio video label fieldset datalist".split())
+OUTSIDE = frozenset("head nav footer aside menu dialog button select noscript template svg math object canvas audio video label fieldset datalist".split())
 RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 INLINE = frozenset("span b i em strong u small font abbr cite code time mark".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -184,8 +185,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[Mark]]:
         column = tag == "main" or marked is None and not main and tag not in INLINE
         hides = outside or marked is True or tag in OUTSIDE or tag == "header" and not article
         within = mark
-        if isinstance(marked, frozenset) and marked and not hides:
-            marks.append(Mark(marked, mark))
+        names = (marked if isinstance(marked, frozenset) else frozenset()) | ({"form"} if tag == "form" else set())
+        if names and not hides:
+            marks.append(Mark(frozenset(names), mark))
             within = len(marks) - 1
         if not hides and (tag == "main" or "main" in attributes and _attributes(attributes).get("role", "").lower() == "main"):
             marks[within].main = True
@@ -288,7 +290,7 @@ def label(blocks: list[Block], marks: list[Mark]) -> list[bool]:
         density = FEW_STOPS if stops is None else sum(x in stops for x in w) / len(w) if w else 0.0
         if b.outside or framed and not p or b.linked > LINKED * size:
             first.append(BAD)
-        elif "©" in b.text[:3] and size < LONG:
+        elif size < LONG and ("©" in b.text[:3] or b.text[:9].lower() == "copyright"):
             first.append(BAD)
         elif size < SHORT:
             first.append(AMBIGUOUS)

@@ -48,6 +48,12 @@ POLISH = "Było to najlepsze ze wszystkich lat, a zarazem najgorsze, gdyż każd
     "<div id=sidebar-layout><div class=nav-wrap><p>{}</p></div></div>",
     "<p>{}</p><div class=comments><p>{side}</p><p>{side}</p></div><div class=cookie-notice>{side} {side}</div>",
     "<article><p>{}</p></article><div class=sidebar><p>{side} {side} {side}</p></div>",
+    "<form id=aspnetForm><ul><li><a href=x>News</a></ul><div id=content><p>{}</p></div><input name=q></form>",
+    "<form id=aspnetForm><article><p>{}</p></article><div class=sidebar>{side}</div></form>",
+    "<article><p>{}</p><form><p>{side}</p></form></article>",
+    "<div class=share-price-story><p>{}</p></div><div>Copyright of all of us, with all rights</div>",
+    "<article class=legal-analysis><p>{}</p></article>",
+    "<div class=hidden-gems><p>{}</p></div>",
 ])
 def test_marks_do_not_hide_the_text(page):
     text = f"{PROSE} {PROSE}"
@@ -71,6 +77,16 @@ def test_unclosed_tags_and_references():
     assert main_text.main_text("<article><p>a<b>b<p>c &eacute;&#233;&#xe9; &lt;p&gt;<br>d") == "ab c ééé <p> d"
 
 
+def test_rows_of_any_kind(spark):
+    long = PROSE + " " + "And so it was with all of those who were in it. " * 20_000
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "", ""), (None, "x", f"<p>{long}</p>")]
+    pages = spark.createDataFrame([(*r, "clash", 5) for r in rows], "page_id bigint, url string, html string, text string, n_chars int")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in main_text.extract(pages).collect()), key=repr)
+    texts = {PAGE: TEXT, None: "", "": "", f"<p>{long}</p>": long.strip()}
+    assert got == sorted([(i, u, texts[h], len(texts[h])) for i, u, h in rows], key=repr)
+    assert main_text.extract(pages.limit(0)).count() == 0 and main_text.extract(pages).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_all_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
 

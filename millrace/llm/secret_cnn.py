@@ -7,10 +7,10 @@ base span, together with ``AROUND`` characters on either side.  A candidate long
 than a window holds is seen whole by overlapping windows, the most probable of
 which counts.  It is trained
 on labelled findings drawn by a seeded rule (keys of several shapes in the
-contexts they leak in; against them dates, numbers, names, paths, hashes of
-cited things and plain words), its outputs are calibrated by temperature on a
-held-out part, and its threshold is ``SURE``, or lower where that is needed to
-find ``RECALL`` of the held-out secrets.
+contexts they leak in; against them dates, numbers, names, paths, file
+names and plain words), its outputs are calibrated by temperature on a held-out
+part, and its threshold is ``SURE``, or lower where that is needed to find
+``RECALL`` of the secrets of another held-out part.
 
 Defined results: a null or empty text has no spans.  Spans count code points,
 the end exclusive.  Spans of different kinds may overlap; those of the network
@@ -37,8 +37,10 @@ LEAST, AROUND, WIDTH = 16, 24, 96
 RECALL, SURE = 0.98, 0.9
 #: Windows judged at once, which bounds the memory that long candidates take.
 MOST_WINDOWS = 4096
-SEED, FINDINGS = 7, 3000
+SEED, FINDINGS = 7, 5000
 KINDS = ("assign", "access", "hex")
+#: Fixed value: what stands before the data of a file embedded in a URL.
+EMBEDDED = ";base64,"
 NETWORK = "cnn"
 
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -66,11 +68,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that mix letters and digits and touch no base span."""
+    """Tokens that mix letters and digits, touch no base span and aren't the data of an embedded file."""
     if not _DIGIT.search(text):
         return []
     covered = Cover([(a, b) for _, a, b in taken])
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not covered.touches(*m.span())]
+    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not text.endswith(EMBEDDED, 0, m.start()) and not covered.touches(*m.span())]
 
 
 def window(text: str, start: int, end: int) -> str:
@@ -161,14 +163,19 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     letters, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     syllables = [a + b for a in ("th", "en", "er", "le", "qu", "ch", "re", "al", "st", "mo", "ta", "ion") for b in ("an", "e", "ou", "ti", "er", "os", "ment", "")]
     draw = lambda pool, n: "".join(r.choice(pool) for _ in range(n))
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    onsets, vowels, codas = "b c d f g h j k l m n p r s t v w y z bl br ch cl cr dr fl fr gl gr pl pr qu sc sh sk sp st str th tr tw wh".split(), "a e i o u a e i o ea oo ai ou ee".split(), "n r s t l m d k p x ck ct ng nt rd rk rm rt sh ss st th".split() + [""] * 12
+    spoken = lambda: "".join(r.choice(onsets) + r.choice(vowels) + r.choice(codas) for _ in range(r.randint(1, 3)))
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4))) if r.random() < 0.4 else spoken()
     prose = lambda: " ".join(word() for _ in range(r.randint(3, 9)))
 
     def secret() -> str:
         return r.choice((
             lambda: draw(letters + upper + digits, r.randint(20, 48)),
             lambda: draw(letters + upper + digits + "+/", r.randint(28, 60)) + r.choice(("", "=", "==")),
-            lambda: r.choice(("sk", "pk", "ghp", "glpat", "xoxb", "key", "live")) + r.choice("_-") + draw(letters + upper + digits, r.randint(20, 40)),
+            lambda: r.choice(("sk", "pk", "ghp", "glpat", "xoxb", "key", "live", "hf", "npm", "dop_v1", "sk_live", "rk_test")) + r.choice("_-") + draw(letters + upper + digits, r.randint(20, 40)),
+            lambda: r.choice(("xoxb", "xapp", "pat", word())) + f"-{draw(digits, r.randint(9, 12))}-{draw(digits, r.randint(9, 12))}-" + draw(letters + upper + digits, r.randint(20, 30)),
+            lambda: r.choice(("ghp_", "pat-", "", "")) + draw("abcdef" + digits, r.randint(6, 14)) + draw(upper + digits, r.randint(2, 6)) + draw(letters + digits, r.randint(12, 24)),
+            lambda: r.choice(("AIza", "AC", "SG", "ya29")) + draw(letters + upper + digits + "_-", r.randint(24, 40)),
             lambda: draw(upper + digits, r.randint(20, 32)),
             lambda: "eyJ" + draw(letters + upper + digits + "_-", r.randint(24, 50)),
         ))()
@@ -178,13 +185,21 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
             lambda: word() + "".join(word().title() for _ in range(r.randint(2, 4))) + str(r.randint(1, 999)),
             lambda: f"{word()}-{word()}-{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
             lambda: f"{word()}/{word()}/{word()}{r.randint(1, 99)}/{word()}",
+            lambda: "/".join(word() for _ in range(r.randint(3, 7))) + "/" + "".join(word().title() for _ in range(r.randint(1, 3))) + str(r.randint(1, 99)) + r.choice(("", "Test", "Impl")),
+            lambda: r.choice(("win32", "x86", "arm64", "v2", "h264", "utf8", "sha256", "mp3", word() + str(r.randint(1, 30)))) + "".join(r.choice("-_") + r.choice((word, word, lambda: str(r.randint(1, 99))))() for _ in range(r.randint(2, 5))),
+            lambda: f"{r.randint(1, 9999)}{''.join(word() for _ in range(r.randint(3, 5)))}".upper(),
             lambda: f"{word()}_{word()}_{word()}_v{r.randint(1, 40)}",
             lambda: f"{draw(digits, 8)}-{draw(digits, 4)}-{draw(digits, 4)}-{draw(digits, 4)}-{draw(digits, 12)}a",
             lambda: f"{r.randint(1, 28)}{word().title()}{r.randint(1900, 2030)}{word()}{word()}",
             lambda: f"page{r.randint(1, 99)}of{r.randint(100, 999)}{word()}{word()}{word()}",
             lambda: f"{word()}{word()}{word()}{draw(digits, r.randint(1, 3))}",
-            lambda: f"ISBN-{draw(digits, 3)}-{draw(digits, 10)}-{word()}",
+            lambda: f"{r.choice(('ISBN', 'ISSN', 'DOI', 'EAN', 'RFC'))}-{draw(digits, 3)}-{draw(digits, r.randint(6, 10))}-{word()}",
             lambda: (word() + word() + word()).upper() + draw(digits, r.randint(1, 4)),
+            lambda: f"{r.choice(('IMG', 'VID', 'DSC', 'Screenshot', 'PXL'))}{r.choice(('', '_', '-'))}{draw(digits, 8)}{r.choice(('', '_', '-', 'WA'))}{draw(digits, r.randint(3, 6))}{r.choice(('', word(), 'final2', '-copy', '_edited1'))}",
+            lambda: f"//{word()}/{word()}/{r.randint(2000, 2030)}/{r.randint(10, 12)}/{word()}-{word()}-{word()}",
+            lambda: f"{word()}-{word()}-{r.randint(1, 30)}-{r.randint(0, 9)}-{r.randint(0, 99)}-{r.choice(('beta', 'alpha', 'rc', 'release'))}{r.randint(1, 9)}",
+            lambda: f"{draw('0123456789abcdef', 8)}-{draw('0123456789abcdef', 4)}-4{draw('0123456789abcdef', 3)}-{r.choice('89ab')}{draw('0123456789abcdef', 3)}-{draw('0123456789abcdef', 12)}",
+            lambda: f"{draw(upper, 2)}{draw(digits, r.randint(12, 20))}",
         ))()
 
     rows = []
@@ -203,16 +218,20 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
 
 
 @lru_cache(maxsize=1)
-def trained(seed: int = SEED, rounds: int = 6, dim: int = 12, filters: int = 32, size: int = 5, hidden: int = 24) -> Network:
+def trained(seed: int = SEED, rounds: int = 10, dim: int = 12, filters: int = 32, size: int = 5, hidden: int = 24) -> Network:
     """A network fitted by Adam on the labelled findings, calibrated and given its threshold."""
     rows = labelled_findings(seed=seed)
-    x, y = codes([window(t, a, b) for t, a, b, _ in rows]), np.array([g for *_, g in rows], float)
+    # a long token is seen in several windows in use, so here too; each counts by itself
+    parts = [(w, g) for t, a, b, g in rows for w in windows_of(t, a, b)]
+    x, y = codes([w for w, _ in parts]), np.array([g for _, g in parts], float)
     r = np.random.default_rng(seed)
     init = lambda *shape: r.normal(0, np.sqrt(2 / shape[0]), shape)
     net = Network(r.normal(0, 0.3, (_CODES, dim)), init(size * dim, filters), np.zeros(filters), init(filters, hidden), np.zeros(hidden), init(hidden, 1), np.zeros(1))
     net.embed[0] = 0
-    held = np.arange(len(y)) % 4 >= 2
-    held &= np.arange(len(y)) >= len(y) // 2
+    # the last quarter is held out: one half of it for the temperature, the other for the threshold
+    held = np.arange(len(y)) >= 3 * len(y) // 4
+    first_half = held & (np.arange(len(y)) % 4 < 2)
+    other_half = held & ~first_half
     train = np.flatnonzero(~held)
     first, second, step = {}, {}, 0
     for _ in range(rounds):
@@ -225,14 +244,14 @@ def trained(seed: int = SEED, rounds: int = 6, dim: int = 12, filters: int = 32,
                 first[name] = 0.9 * first.get(name, 0) + 0.1 * g
                 second[name] = 0.999 * second.get(name, 0) + 0.001 * g * g
                 getattr(net, name)[...] -= 0.003 * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-    z = net.forward(x[held])[0]
+    z = net.forward(x[first_half])[0]
 
     def loss(t: float) -> float:
-        return float(np.logaddexp(0, np.where(y[held] > 0, -z, z) / t).mean())
+        return float(np.logaddexp(0, np.where(y[first_half] > 0, -z, z) / t).mean())
 
     net.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
-    p = 1 / (1 + np.exp(-z / net.temperature))
-    net.threshold = min(SURE, float(np.quantile(p[y[held] > 0], 1 - RECALL)))
+    p = 1 / (1 + np.exp(-net.forward(x[other_half])[0] / net.temperature))
+    net.threshold = min(SURE, float(np.quantile(p[y[other_half] > 0], 1 - RECALL)))
     return net
 
 

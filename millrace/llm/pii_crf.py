@@ -2,12 +2,15 @@
 
 Base spans come from fixed patterns and always stay.  The field's nodes are the
 number-like and address-like chunks of a document, base matches among them,
-whose labels are observed.  Neighbouring chunks are linked in a chain, and
-chunks with equal or similar content (the same last seven digits, the same
-name before an @) share a skip potential, each with the one before it and with
-the nearest observed one (those before it first), however far apart.  Loopy
-message passing then makes labels consistent across the whole document: a bare
-number is a phone number where the same digits stand elsewhere behind a +.
+whose labels are observed.  Address-like chunks are those that spell the sign
+or the dots out, such as ``name (at) host [dot] org``.  Neighbouring chunks are
+linked in a chain, and chunks with equal or similar content (the same last
+seven digits, the same first seven of nine or more behind a country code or
+not, the same name before an @ or its like) share a skip potential, each with
+the one before it and with the nearest observed one (those before it first),
+however far apart.  Loopy message passing then makes labels consistent across
+the whole document: a bare number is a phone number where the same digits
+stand elsewhere behind a +.
 Messages of a document pass until none changes by ``SETTLED``, or ``PASSES``
 times and two times more for every skip link of the document.
 
@@ -38,7 +41,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SURE = 0.9
 PASSES, SETTLED = 64, 1e-4
-SEED, DRAWN = 11, 600
+SEED, DRAWN, RIDGE = 11, 1200, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -47,6 +50,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
 _CHUNK = re.compile(r"(?<![^\W_])[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9])++")
+_SIGN = re.compile(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s)[A-Za-z0-9-]++)++", re.I)
+_SPELLED = re.compile(r"[\[({<]|\sdot\s", re.I)
 _BEFORE = re.compile(r"([^\W\d_]+)\W{0,4}\Z")
 # Words that announce a kind.
 CUES = {
@@ -103,7 +109,33 @@ class Graph:
     skip: list[tuple[int, int]]
 
 
-_FEATURES = ["bias", "at", "plus", "paren", "dots3", "luhn", "few", "d7", "d8_12", "d13_19", "d13_19_luhn", "many", "grouped", "hyphen", *(f"cue_{k}" for k in KINDS), "tail555"]
+def spelled_addresses(text: str) -> list[tuple[int, int]]:
+    """Address-like chunks: a name, a spelled sign, and a host whose dots may be spelled. Leftmost, without overlap."""
+    found: list[tuple[int, int]] = []
+    end = 0
+    for m in _SIGN.finditer(text):
+        first = m.start()
+        while first > end and text[first - 1] in _LOCAL:
+            first -= 1
+        if first < m.start() and (host := _HOST.match(text, m.end())):
+            found.append((first, host.end()))
+            end = host.end()
+    return found
+
+
+def keys_of(chunk: str) -> list[str]:
+    """What a chunk has in common with similar ones; the first key is the nearer likeness."""
+    if "@" in chunk:
+        return [chunk.partition("@")[0].lower()]
+    if sign := _SIGN.search(chunk):
+        return [chunk[: sign.start()].lower()]
+    d = _digits(chunk)
+    if len(d) < 9:
+        return [d[-7:]]
+    return [d[-7:], "head " + d.lstrip("0")[-10:][:7]]
+
+
+_FEATURES = ["bias", "at", "spelled", "plain_at", "plus", "paren", "dots3", "luhn", "few", "d7", "d8_12", "d13_19", "d13_19_luhn", "many", "grouped", "hyphen", *(f"cue_{k}" for k in KINDS), "tail555"]
 _INDEX = {f: i for i, f in enumerate(_FEATURES)}
 
 
@@ -114,6 +146,8 @@ def _features(text: str, a: int, b: int) -> list[int]:
     names = ["bias"]
     if "@" in s:
         names.append("at")
+    elif _SIGN.search(s):
+        names.append("spelled" if _SPELLED.search(s) else "plain_at")
     else:
         names += ["plus"] * s.startswith("+") + ["paren"] * ("(" in s) + ["dots3"] * (s.count(".") == 3) + ["grouped"] * (" " in s) + ["hyphen"] * ("-" in s)
         names.append("few" if n < 7 else "d7" if n == 7 else "d8_12" if n < 13 else "d13_19" if n < 20 else "many")
@@ -133,29 +167,37 @@ def add_document(graph: Graph, doc: int, text: str, base: list[tuple[str, int, i
         for m in _CHUNK.finditer(text):  # a chunk that a letter follows is part of a word or code
             if len(_digits(m[0])) >= 7 and not text[m.end() : m.end() + 1].isalnum() and not taken.touches(m.start(), m.end()):
                 chunks.append((m.start(), m.end(), -1))
+    if "at" in text or "AT" in text or "At" in text:
+        taken = Cover([(a, b) for a, b, _ in chunks])
+        chunks += [(a, b, -1) for a, b in spelled_addresses(text) if not taken.touches(a, b)]
     last: dict[str, int] = {}
     known: dict[str, int] = {}
     waiting: dict[str, list[int]] = {}
-    before = -1
-    for a, b, seen in sorted(chunks):
+    before, end = -1, -1
+    for a, b, seen in sorted(chunks, key=lambda c: (c[0], c[2] < 0, c[1])):
+        if seen < 0 and a < end:  # two readings of the same place; the first one stands
+            continue
+        end = max(end, b)
         node = len(graph.features)
         graph.features.append(_features(text, a, b))
         graph.observed.append(seen)
         graph.spans.append((doc, a, b))
         if before >= 0:
             graph.chain.append((before, node))
-        s = text[a:b]
-        key = s.partition("@")[0].lower() if "@" in s else _digits(s)[-7:]
-        if key in last:
-            graph.skip.append((last[key], node))
-        if seen >= 0:
-            graph.skip += [(x, node) for x in waiting.pop(key, []) if x != last[key]]
-            known[key] = node
-        elif key not in known:
-            waiting.setdefault(key, []).append(node)
-        elif known[key] != last[key]:
-            graph.skip.append((known[key], node))
-        last[key], before = node, node
+        linked = set()
+        for key in keys_of(text[a:b]):
+            if key in last:
+                linked.add((last[key], node))
+            if seen >= 0:
+                linked |= {(x, node) for x in waiting.pop(key, [])}
+                known[key] = node
+            elif key not in known:
+                waiting.setdefault(key, []).append(node)
+            elif known[key] != last[key]:
+                linked.add((known[key], node))
+            last[key] = node
+        graph.skip += sorted(linked)
+        before = node
 
 
 @dataclass
@@ -232,6 +274,8 @@ def drawn_documents(count: int = DRAWN, seed: int = SEED) -> list[tuple[str, lis
             if kind == "phone":
                 area, mid, tail = draw(3), draw(3), draw(4)
                 pieces.append((kind, f"+{r.randint(1, 99)} ({area}) {mid}-{tail}"))
+                if r.random() < 0.25:  # another line of the same house
+                    pieces.append((kind, r.choice((f"{area}-{mid}-{draw(4)}", f"({area}) {mid} {draw(4)}"))))
                 if r.random() < 0.6:
                     pieces.append((kind, r.choice((f"({area}) {mid}-{tail}", f"{area}-{mid}-{tail}", f"{area}{mid}{tail}", f"{area} {mid} {tail}"))))
                 if r.random() < 0.4:
@@ -239,11 +283,15 @@ def drawn_documents(count: int = DRAWN, seed: int = SEED) -> list[tuple[str, lis
             elif kind == "card":
                 pieces.append((kind, card(True)))
             elif kind == "email":
-                pieces.append((kind, f"{word()}.{draw(2)}@{word()}.example.com"))
+                name, host = f"{word()}.{draw(2)}", f"{word()}.example"
+                spelled = lambda: r.choice((f"{name} (at) {host}.com", f"{name}[at]{host.replace('.', '[dot]')}[dot]org", f"{name} at {host.replace('.', ' dot ')} dot net", f"{name} <at> {host}.com"))
+                pieces.append((kind, f"{name}@{host}.com" if r.random() < 0.6 else spelled()))
+                if r.random() < 0.5:
+                    pieces.append((kind, r.choice((spelled(), f"{name} at {host}.com", f"{name} at {host}.com"))))
             elif kind == "ip":
                 pieces.append((kind, ".".join(str(r.randint(0, 255)) for _ in range(4))))
             else:
-                pieces.append((kind, r.choice((lambda: card(False), lambda: draw(r.randint(7, 22)), lambda: f"{draw(4)}-{draw(2)}-{draw(2)} {draw(2)}", lambda: f"{draw(3)} {draw(3)} {draw(3)}", lambda: f"{draw(4)}-{draw(4)}", lambda: ".".join(str(r.randint(256, 999)) for _ in range(4))))()))
+                pieces.append((kind, r.choice((lambda: card(False), lambda: draw(r.randint(7, 22)), lambda: f"{draw(4)}-{draw(2)}-{draw(2)} {draw(2)}", lambda: f"{draw(3)} {draw(3)} {draw(3)}", lambda: f"{draw(4)}-{draw(4)}", lambda: ".".join(str(r.randint(256, 999)) for _ in range(4)), lambda: f"{word()} at {word()}.example"))()))
         r.shuffle(pieces)
         text, spans = "", []
         for kind, s in pieces:
@@ -258,7 +306,7 @@ def drawn_documents(count: int = DRAWN, seed: int = SEED) -> list[tuple[str, lis
 
 
 @lru_cache(maxsize=1)
-def fitted(seed: int = SEED, steps: int = 300) -> Field:
+def fitted(seed: int = SEED, steps: int = 600) -> Field:
     """Weights by gradient ascent on the pseudo-likelihood of drawn documents."""
     graph, truth = Graph([], [], [], [], []), []
     for doc, (text, spans) in enumerate(drawn_documents(seed=seed)):
@@ -281,10 +329,10 @@ def fitted(seed: int = SEED, steps: int = 300) -> Field:
             np.add.at(z, ends[k][:, 1], y[ends[k][:, 0]] @ w)
             np.add.at(z, ends[k][:, 0], y[ends[k][:, 1]] @ w.T)
         gap = y - _softmax(z)
-        node += 2.0 * (x.T @ gap / n - 0.0005 * node)
+        node += 2.0 * (x.T @ gap / n - RIDGE * node)
         for k, w in pair.items():
             a, b = ends[k][:, 0], ends[k][:, 1]
-            w += 2.0 * ((y[a].T @ gap[b] + gap[a].T @ y[b]) / n - 0.0005 * w)
+            w += 2.0 * ((y[a].T @ gap[b] + gap[a].T @ y[b]) / n - RIDGE * w)
     return Field(node, pair["chain"], pair["skip"])
 
 
@@ -298,7 +346,7 @@ def find_all(texts: list[str], field: Field, sure: float = SURE) -> list[tuple[l
     for doc, text in enumerate(texts):
         base = base_spans(text)
         out.append((base, []))
-        if base or _ANY_DIGIT.search(text):
+        if base or _ANY_DIGIT.search(text) or spelled_addresses(text):
             add_document(graph, doc, text, base)
     p = field.marginals(graph)
     for (doc, a, b), seen, q in zip(graph.spans, graph.observed, p):

@@ -2,8 +2,8 @@
 
 One model per language, all of the same order, estimated from a bounded sample
 of labelled documents (at most ``TRAIN_DOCS`` documents and ``TRAIN_CHARS``
-characters a language, those with the least hash of their id; of a document the
-first ``1 / PARTS`` of these characters at most, so that a long one leaves room
+characters a language, those with the least hash of their id, of at most
+``MOST_LANGUAGES`` languages; of a document the first ``1 / PARTS`` of these characters at most, so that a long one leaves room
 for others).  For each order
 the n-grams of all languages share one sorted array of 64-bit hashes; beside it
 stand, for every language, the interpolated log probability of the last
@@ -36,6 +36,8 @@ from millrace.llm.common import keep, schema_with
 
 ORDER = 4
 TRAIN_DOCS, TRAIN_CHARS, PARTS = 400, 500_000, 20
+#: Languages that are learnt at most: those with the most documents.
+MOST_LANGUAGES = 500
 ACCEPT = 0.999
 UNDETERMINED = "und"
 #: Characters scored together.
@@ -106,13 +108,21 @@ def _grams(texts: list[np.ndarray], order: int) -> list[Counts]:
     return out
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted hash in a sorted array, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 @dataclass
 class Model:
     languages: list[str]
     order: int
-    #: by order: sorted hashes, log probabilities and log weights, a column for each language
+    #: by order: sorted hashes and log probabilities, a column for each language
     keys: list[np.ndarray] = field(default_factory=list)
     logp: list[np.ndarray] = field(default_factory=list)
+    #: by order: sorted hashes of contexts (a text's start among them) and the log weights they leave to the order below
+    contexts: list[np.ndarray] = field(default_factory=list)
     weight: list[np.ndarray] = field(default_factory=list)
     unknown: np.ndarray | None = None
     temperature: float = 1.0
@@ -127,25 +137,20 @@ class Model:
         total = np.zeros((len(places), len(self.languages)), np.float32)
         todo = np.arange(len(places))
         for n in range(self.order, 0, -1):
-            row, known = self._find(n, h[n][places[todo]])
+            row, known = _find(self.keys[n - 1], h[n][places[todo]])
             total[todo[known]] += self.logp[n - 1][row[known]]
             todo = todo[~known]
             if not len(todo):
                 break
             if n > 1:
-                row, known = self._find(n - 1, h[n - 1][places[todo] - 1])
-                total[todo[known]] += self.weight[n - 2][row[known]]
+                row, known = _find(self.contexts[n - 1], h[n - 1][places[todo] - 1])
+                total[todo[known]] += self.weight[n - 1][row[known]]
         total[todo] += self.unknown
         size = np.bincount(owner, minlength=len(texts))
         sums = np.stack([np.bincount(owner, total[:, k], minlength=len(texts)) for k in range(len(self.languages))], axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(size[:, None] > 0, -sums / size[:, None], np.inf), size
 
-    def _find(self, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.keys[n - 1]
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
     def scores(self, entropy: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Winner and score of each row; rows without letters score 0."""
         best = np.argmin(entropy, axis=1)
@@ -166,11 +171,11 @@ def estimate(samples: dict[str, list[np.ndarray]], order: int = ORDER, discount:
     model = Model(names, order)
     symbols = len(np.unique(np.concatenate([grams[k][0].keys for k in names]))) + 1
     uniform = -np.log(symbols)
-    wide = lambda n: np.full((len(model.keys[n]), len(names)), 0.0)
     for n in range(order):
         model.keys.append(np.unique(np.concatenate([grams[k][n].keys for k in names])))
-        model.logp.append(wide(n))
-        model.weight.append(wide(n))
+        model.contexts.append(np.unique(np.concatenate([grams[k][n].context for k in names])))
+        model.logp.append(np.zeros((len(model.keys[n]), len(names))))
+        model.weight.append(np.zeros((len(model.contexts[n]), len(names))))
     model.unknown = np.zeros(len(names), np.float32)
     for j, k in enumerate(names):
         for n in range(order):
@@ -188,8 +193,7 @@ def estimate(samples: dict[str, list[np.ndarray]], order: int = ORDER, discount:
                 model.unknown[j] = left[0] + uniform
                 lower = np.full(len(model.keys[0]), left[0] + uniform)
             else:
-                at = np.searchsorted(model.keys[n - 1], contexts)
-                model.weight[n - 1][at, j] = left
+                model.weight[n][np.searchsorted(model.contexts[n], contexts), j] = left
                 lower = _lower(model, grams, names, n, j)
             own = np.searchsorted(model.keys[n], g.keys)
             p = np.exp(lower)
@@ -205,10 +209,7 @@ def _lower(model: Model, grams: dict[str, list[Counts]], names: list[str], n: in
     _, first = np.unique(keys, return_index=True)
     context = np.concatenate([grams[k][n].context for k in names])[first]
     suffix = np.concatenate([grams[k][n].suffix for k in names])[first]
-    row = np.searchsorted(model.keys[n - 1], context).clip(0, len(model.keys[n - 1]) - 1)
-    known = model.keys[n - 1][row] == context
-    weight = np.where(known, model.weight[n - 1][row, j], 0.0)
-    return weight + model.logp[n - 1][np.searchsorted(model.keys[n - 1], suffix), j]
+    return model.weight[n][np.searchsorted(model.contexts[n], context), j] + model.logp[n - 1][np.searchsorted(model.keys[n - 1], suffix), j]
 
 
 def remainder(id_col: str) -> Column:
@@ -219,7 +220,7 @@ def remainder(id_col: str) -> Column:
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_docs: int, most_chars: int) -> list[tuple[str, str]]:
     """(language, text) pairs: labelled documents outside the held-out third, least hash first, long ones by their start."""
     usable = keep(docs, id_col, text_col, lang_col).where((remainder(id_col) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return []
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * most_docs / n)))), F.col(lang_col))

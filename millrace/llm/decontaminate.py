@@ -10,9 +10,14 @@ begin (positional bound), the window must end within the document (length
 bound), and the words of that stretch are then compared with the window
 (exact verification).
 
-Two passes over the documents, no shuffle of their texts.  The benchmark goes
-to the tasks in parts of at most ``PART_BYTES`` bytes of item text, so what is
-shipped has a fixed bound; a larger benchmark takes one probing pass per part.
+A benchmark of at most ``PART_BYTES`` bytes of item text goes to every task, and
+each document is judged where it is read.  A larger one stays a table: tasks get
+two bit filters of fixed size, one of the rarest words and one of the windows,
+and each document hands on the stretches of words that pass both.  These few are
+joined with the windows by a 128-bit hash and then word by word.  Either way the
+documents are read once for the counts and once for the search, whatever the
+benchmark's size, and what is shipped has a fixed bound; a filter that fills up
+lets more stretches through to the join, and no result changes.
 
 Defined results: A-Z count as a-z; words are runs of ASCII letters, digits and
 all characters beyond ASCII.  A null or wordless text has no words and no
@@ -23,18 +28,22 @@ row, so each keeps its own result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import keep, schema_with, staged
 
 WINDOW = 10
-#: Bytes of item text in one part of the benchmark.
+#: Bytes of item text that are shipped to every task as they are.
 PART_BYTES = 4 << 20
+#: Bits of a filter, windows of a piece of an item, and distinct words that a task holds.
+FILTER_BITS, PIECE, COUNTED = 1 << 26, 4096, 1 << 20
 
 #: A-Z become a-z; ASCII that is neither letter nor digit becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -105,6 +114,137 @@ def word_counts(docs: DataFrame, wanted: list[bytes], text_col: str = "text") ->
     return {wanted[i]: n for i, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist())}
 
 
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """``item`` (the id as a string) and ``raw`` of the items that can have windows."""
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw")).where("item is not null and length(raw) > 0")
+
+
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """Places of 64-bit hashes in a filter of ``FILTER_BITS`` bits."""
+    return (hashes.astype(np.int64).view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def filled(hashes: DataFrame) -> np.ndarray:
+    """A filter of ``FILTER_BITS`` bits, set where one of the hashes falls; tasks hand on their filters by pages that are not empty."""
+    page = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            held[_bits(b.column(0).to_numpy(zero_copy_only=False))] = True
+        pages = [k for k in range(FILTER_BITS // page) if held[k * page : (k + 1) * page].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int32()), pa.array([np.packbits(held[k * page : (k + 1) * page]).tobytes() for k in pages], pa.binary())], ["page", "bits"])
+
+    def union(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in pages:
+            for k, raw in zip(b.column("page").to_pylist(), b.column("bits").to_pylist()):
+                bits = np.frombuffer(raw, np.uint8)
+                held[k] = held[k] | bits if k in held else bits
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["page", "bits"])
+
+    schema = "page int, bits binary"
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in hashes.mapInArrow(run, schema).repartition(8, "page").mapInArrow(union, schema).toLocalIterator():
+        out[r.page * page // 8 : (r.page + 1) * page // 8] |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def all_word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``word`` (a 64-bit hash) and ``n`` of all words; tasks count before the shuffle, a million distinct words at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in held], pa.int64()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for raw in batch.column(0).cast(pa.binary()):
+                held.update(words_of(raw.as_py()))
+                if len(held) > COUNTED:
+                    yield flush()
+        yield flush()
+
+    return keep(docs, text_col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def filed_windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """``item``, ``rare`` (its rarest word's hash), ``stretch`` (its words, joined), ``key`` (their hash), ``at`` and ``size`` of every distinct window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, raw in zip(b.column("item").to_pylist(), b.column("raw").to_pylist()):
+                words = words_of(raw)
+                number = max(1, len(words) - window + 1) if words else 0
+                for first in range(0, number, PIECE):  # a piece has all words of its windows
+                    some = words[first : min(first + PIECE, number) + window - 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([first], pa.int64()), pa.array([some], pa.list_(pa.binary())), pa.array([[_hash(w) for w in some]], pa.list_(pa.int64()))], ["item", "first", "words", "hashes"])
+
+    pieces = staged(items.mapInArrow(cut, "item string, first bigint, words array<binary>, hashes array<bigint>"), "benchmark-pieces")
+    wanted = pieces.select(F.explode("hashes").alias("word")).distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    ranked = pieces.select("item", "first", F.explode(F.array_distinct("hashes")).alias("word")).join(wanted, "word").groupBy("item", "first").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("counts"))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, words, counts in zip(b.column("item").to_pylist(), b.column("words").to_pylist(), b.column("counts").to_pylist()):
+                known, seen = dict(counts), {}
+                for w in windows_of(words, window):
+                    at = min(range(len(w)), key=lambda i: (known[_hash(w[i])], w[i], i))
+                    seen[b" ".join(w)] = (_hash(w[at]), at, len(w))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(seen)), pa.array([r for r, *_ in seen.values()], pa.int64()), pa.array(list(seen), pa.binary()), pa.array(map(_hash, seen), pa.int64()), pa.array([x for _, x, _ in seen.values()], pa.int32()), pa.array([n for *_, n in seen.values()], pa.int32())],
+                    ["item", "rare", "stretch", "key", "at", "size"],
+                )
+
+    joined = pieces.select("item", "first", "words").join(ranked, ["item", "first"]).select("item", "words", "counts")
+    return staged(joined.mapInArrow(file, "item string, rare bigint, stretch binary, key bigint, at int, size int").distinct(), "benchmark-windows")
+
+
+def found_stretches(texts: DataFrame, windows: DataFrame, text_col: str, window: int) -> DataFrame:
+    """``text_key``, ``spans`` (first and end of every stretch that is a window, in turn) and ``item_ids`` of each distinct text that has one."""
+    rare, keys = filled(windows.select("rare")), filled(windows.select("key"))
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most ``window`` of them
+    held = texts.sparkSession.sparkContext.broadcast((rare, keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, keys = held.value
+        known: dict[bytes, bool] = {}
+
+        def passes(bits: np.ndarray, h: int) -> bool:
+            k = (h & ((1 << 64) - 1)) % FILTER_BITS
+            return bool(bits[k >> 3] >> (7 - (k & 7)) & 1)
+
+        for b in batches:
+            out: list[tuple[str, int, int, bytes, int]] = []
+            for key, raw in zip(b.column("text_key").to_pylist(), b.column(text_col).cast(pa.binary())):
+                words = words_of(raw.as_py())
+                for w in set(words).difference(known):
+                    known[w] = passes(rare, _hash(w))
+                tried = set()
+                for p in [i for i, w in enumerate(words) if known[w]]:
+                    for size in sizes:
+                        tried.update((f, size) for f in range(max(0, p - size + 1), min(p, len(words) - size) + 1))
+                for first, size in tried:
+                    stretch = b" ".join(words[first : first + size])
+                    if passes(keys, h := _hash(stretch)):
+                        out.append((key, first, size, stretch, h))
+                if len(known) > COUNTED:
+                    known.clear()
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))], ["text_key", "first", "size", "stretch", "key"])
+
+    candidates = texts.mapInArrow(run, "text_key string, first int, size int, stretch binary, key bigint").distinct()
+    hits = staged(candidates.join(windows.select("key", "stretch", "item"), ["key", "stretch"]).select("text_key", "first", "size", "item"), "benchmark-hits")
+    return hits.groupBy("text_key").agg(F.collect_set(F.struct("first", (F.col("first") + F.col("size")).alias("end"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("item_ids"))
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_hit``, ``item_ids`` (sorted strings) and ``contaminated``.
 
@@ -113,43 +253,43 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, id_col: str =
     """
     names = [id_col, *(c for c in carry if c != id_col)]
     out = keep(docs, *dict.fromkeys([*names, text_col]))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw")).where("item is not null and length(raw) > 0")
+    items = benchmark_items(benchmark)
     size = items.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // part_bytes))
-    whole = [] if text_col in names else [text_col]
-    current = out.withColumns({"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    for part in range(parts):
-        some = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else items
-        rows = some.toArrow()
-        pairs = list(zip(rows["item"].to_pylist(), rows["raw"].to_pylist()))
-        vocabulary = sorted({w for _, raw in pairs for w in words_of(raw)})
-        counts = word_counts(out, vocabulary, text_col) if vocabulary else {}
-        held = docs.sparkSession.sparkContext.broadcast((pairs, counts))
-        last = part == parts - 1
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
-            index = PrefixIndex(*held.value, window)
-            for batch in batches:
-                made = []
-                for raw, old, had in zip(batch.column(text_col).cast(pa.binary()), batch.column("_spans"), batch.column("_items")):
-                    words = words_of(raw.as_py())
-                    spans, found = index.probe(words)
-                    flat = old.as_py()
-                    spans = sorted({*spans, *zip(flat[::2], flat[1::2])})
-                    found |= set(had.as_py())
-                    made.append((len(words), covered(spans), sorted(found), [x for s in spans for x in s]))
-                n, hit, ids, flat = zip(*made) if made else ((),) * 4
-                base = [batch.column(c) for c in names]
-                if last:
-                    yield pa.RecordBatch.from_arrays([*base, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array([h > 0 for h in hit], pa.bool_())], [*names, "n_words", "n_hit", "item_ids", "contaminated"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*base, *(batch.column(c) for c in whole), pa.array(flat, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], [*names, *whole, "_spans", "_items"])
-
-        schema = schema_with(out, names, "n_words bigint, n_hit bigint, item_ids array<string>, contaminated boolean") if last else schema_with(out, names + whole, "_spans array<int>, _items array<string>")
-        current = current.mapInArrow(run, schema)
-        if not last:
-            current = staged(current, "decontaminate-part")
-    return current
+    schema = schema_with(out, names, "n_words bigint, n_hit bigint, item_ids array<string>, contaminated boolean")
+
+    def judged(batch: pa.RecordBatch, made: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
+        n, hit, ids = zip(*made) if made else ((),) * 3
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array([h > 0 for h in hit], pa.bool_())], [*names, "n_words", "n_hit", "item_ids", "contaminated"])
+
+    if size > part_bytes:
+        windows = filed_windows(items, staged(all_word_counts(out, text_col), "word-counts"), window)
+        keyed = out.withColumn("text_key", F.sha2(F.col(text_col).cast("binary"), 256))
+        found = staged(found_stretches(keyed.select("text_key", text_col), windows, text_col, window), "benchmark-found")
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = zip(b.column(text_col).cast(pa.binary()), b.column("spans").to_pylist(), b.column("item_ids").to_pylist())
+                yield judged(b, [(len(words_of(raw.as_py())), covered([(s["first"], s["end"]) for s in spans or []]), ids or []) for raw, spans, ids in rows])
+
+        return keyed.join(found, "text_key", "left").drop("text_key").mapInArrow(tell, schema)
+
+    rows = items.toArrow()
+    pairs = list(zip(rows["item"].to_pylist(), rows["raw"].to_pylist()))
+    vocabulary = sorted({w for _, raw in pairs for w in words_of(raw)})
+    counts = word_counts(out, vocabulary, text_col) if vocabulary else {}
+    held = docs.sparkSession.sparkContext.broadcast((pairs, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = PrefixIndex(*held.value, window)
+        for batch in batches:
+            made = []
+            for raw in batch.column(text_col).cast(pa.binary()):
+                words = words_of(raw.as_py())
+                spans, found = index.probe(words)
+                made.append((len(words), covered(spans), sorted(found)))
+            yield judged(batch, made)
+
+    return out.mapInArrow(run, schema)
 
 
 def with_digest(found: DataFrame) -> DataFrame:

@@ -363,12 +363,32 @@ def test_hits_equal_brute_force(spark, part_bytes):
     assert got == {i: plain_hits(t, items) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("items", [3, 60])
+def test_documents_are_read_three_times_whatever_the_benchmark(spark, items):
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randint(0, 400)}" for _ in range(n))
+    bench = spark.createDataFrame([(i, text(40)) for i in range(items)], "item_id bigint, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = frame(spark, [text(60) for _ in range(50)]).mapInArrow(count, DOCS)
+    assert decontaminate.contaminated_documents(docs, bench, part_bytes=100).count() == 50
+    assert read.value == 150
+
+
 def test_edge_rows_of_decontamination(spark, edge, nothing):
     bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     got = decontaminate.contaminated_documents(edge, bench)
     assert got.count() == edge.count() and [r.doc_id for r in got.where("contaminated").collect()] == [9]
     assert decontaminate.contaminated_documents(nothing, bench).count() == 0
     assert decontaminate.contaminated_documents(edge, bench.limit(0)).where("contaminated").count() == 0
+    large = decontaminate.contaminated_documents(edge, bench, carry=("lang", "row"), part_bytes=1)
+    assert large.count() == edge.count() and [r.doc_id for r in large.where("contaminated").collect()] == [9] and large.columns[:3] == ["doc_id", "lang", "row"]
+    assert decontaminate.contaminated_documents(nothing, bench, part_bytes=1).count() == 0
 
 
 # -- language

@@ -13,9 +13,11 @@ search from the highest order down, divided by their number; the least
 cross-entropy wins.
 
 The score is the winner's posterior under a temperature fitted on calibration
-documents, times a factor below one where even the winner's cross-entropy is
-far above what calibration documents of that length have; the cut-off for
-rejection lets ``ACCEPT`` of the calibration documents pass.
+documents, times the fit: below one where even the winner's cross-entropy is
+far above what calibration documents of that length have.  Rejection goes by
+the fit alone, for a short text may be in any of several learnt languages and
+still be in one of them; its cut-off lets ``ACCEPT`` of the calibration
+documents pass.
 
 Defined results: ``und`` with score 0 for a null text, a text without a
 letter, and where there was nothing to learn from.  Letter case, digits and
@@ -38,7 +40,11 @@ ORDER = 4
 TRAIN_DOCS, TRAIN_CHARS, PARTS = 400, 500_000, 20
 #: Languages that are learnt at most: those with the most documents.
 MOST_LANGUAGES = 500
-ACCEPT = 0.999
+ACCEPT, REJECT = 0.999, 0.3
+#: A text fits up to so many spreads, and nats a character, above the calibration documents.
+SPREADS, MARGIN = 8, 1.0
+#: Share of calibration documents whose label may be wrong; without it a few of them would flatten all scores.
+MISLABELLED = 0.02
 UNDETERMINED = "und"
 #: Characters scored together.
 TOGETHER = 1 << 19
@@ -151,17 +157,19 @@ class Model:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(size[:, None] > 0, -sums / size[:, None], np.inf), size
 
-    def scores(self, entropy: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Winner and score of each row; rows without letters score 0."""
+    def scores(self, entropy: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Winner, score and fit of each row; rows without letters score 0 and fit nothing."""
         best = np.argmin(entropy, axis=1)
         least = entropy[np.arange(len(best)), best]
         with np.errstate(invalid="ignore", over="ignore"):
             gap = (entropy - least[:, None]) * size[:, None] * self.temperature
             posterior = 1 / np.exp(-gap).sum(axis=1)
+            fit = np.ones(len(best))
             if self.mean is not None:
-                excess = least - self.mean[best] - 8 * self.spread[best] / np.sqrt(np.maximum(size, 1)) - 1.0
-                posterior = posterior * np.exp(-2 * np.maximum(excess, 0))
-        return best, np.where(size > 0, np.nan_to_num(posterior), 0.0)
+                excess = least - self.mean[best] - SPREADS * self.spread[best] / np.sqrt(np.maximum(size, 1)) - MARGIN
+                fit = np.exp(-2 * np.maximum(excess, 0))
+        some = size > 0
+        return best, np.where(some, np.nan_to_num(posterior * fit), 0.0), np.where(some, fit, 0.0)
 
 
 def estimate(samples: dict[str, list[np.ndarray]], order: int = ORDER, discount: float = 0.75) -> Model:
@@ -256,13 +264,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         own = entropy[np.arange(len(truth)), truth]
 
         def loss(t: float) -> float:
-            z = -(entropy - entropy.min(axis=1, keepdims=True)) * size[:, None] * t
-            return float(-(z[np.arange(len(truth)), truth] - np.log(np.exp(z).sum(axis=1))).mean())
+            z = np.exp(-(entropy - entropy.min(axis=1, keepdims=True)) * size[:, None] * t)
+            p = z[np.arange(len(truth)), truth] / z.sum(axis=1)
+            return float(-np.log((1 - MISLABELLED) * p + MISLABELLED / len(model.languages)).mean())
 
         model.temperature = min((0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0), key=loss)
-        model.mean = np.array([own[truth == j].mean() if (truth == j).any() else own.mean() for j in range(len(model.languages))])
-        model.spread = np.array([np.sqrt((((own - model.mean[truth]) ** 2) * size)[truth == j].mean()) if (truth == j).any() else np.sqrt((((own - model.mean[truth]) ** 2) * size).mean()) for j in range(len(model.languages))])
-        model.cut = float(min(0.3, np.quantile(model.scores(entropy, size)[1], 1 - ACCEPT)))
+        # medians, so that a few calibration documents in another language widen nothing
+        gap = lambda rows, j: np.median(np.abs(own[rows] - model.mean[j]) * np.sqrt(size[rows])) / 0.6745
+        each = [truth == j if (truth == j).any() else truth >= 0 for j in range(len(model.languages))]
+        model.mean = np.array([np.median(own[rows]) for rows in each])
+        model.spread = np.array([gap(rows, j) for j, rows in enumerate(each)])
+        model.cut = float(min(REJECT, np.quantile(model.scores(entropy, size)[2], 1 - ACCEPT)))
     return model
 
 
@@ -279,16 +291,16 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            found: list[tuple[str, float]] = []
+            found: list[tuple[str, float, bool]] = []
             run_, size = [], 0
 
             def flush(run_: list[np.ndarray]) -> None:
                 if model is None:
-                    found.extend([(UNDETERMINED, 0.0)] * len(run_))
+                    found.extend([(UNDETERMINED, 0.0, False)] * len(run_))
                 elif run_:
                     entropy, n = model.entropies(run_)
-                    best, score = model.scores(entropy, n)
-                    found.extend((model.languages[k] if m else UNDETERMINED, float(s)) for k, s, m in zip(best.tolist(), score, n))
+                    best, score, fit = model.scores(entropy, n)
+                    found.extend((model.languages[k] if m else UNDETERMINED, float(s), f >= model.cut) for k, s, f, m in zip(best.tolist(), score, fit, n))
 
             for t in b.column(text_col):
                 run_.append(x := letters(t.as_py()))
@@ -297,9 +309,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     flush(run_)
                     run_, size = [], 0
             flush(run_)
-            cut = model.cut if model is not None else 0.0
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in names), b.column("_held"), pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([k != UNDETERMINED and s >= cut for k, s in found], pa.bool_())],
+                [*(b.column(c) for c in names), b.column("_held"), pa.array([k for k, *_ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array([k != UNDETERMINED and bool(f) for k, _, f in found], pa.bool_())],
                 [*names, "held_out", "lang_pred", "score", "accepted"],
             )
 

@@ -30,12 +30,9 @@ def script_runs(text: Column) -> Column:
 
 
 def byte_ids(text: Column, vocab_size: int = 32000) -> Column:
-    """UTF-8 bytes as ids: 3 + byte, at most the last id. One linear pass over the hex form."""
-
-    def half(pair: Column, place: int) -> Column:
-        return F.instr(F.lit("0123456789ABCDEF"), F.substring(pair, place, 1)) - 1
-
-    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.least(half(h, 1) * 16 + half(h, 2) + BYTE_OFFSET, F.lit(vocab_size - 1)))
+    """UTF-8 bytes as ids: 3 + byte, at most the last id. Read as Latin-1, each byte is one character."""
+    bytes_ = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    return F.transform(F.filter(bytes_, lambda c: c != ""), lambda c: F.least(F.ascii(c) + BYTE_OFFSET, F.lit(vocab_size - 1)))
 
 
 def byte_text(ids: Column) -> Column:

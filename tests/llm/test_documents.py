@@ -128,6 +128,37 @@ def test_weighted_classes_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == label and 14 < len(set(label)) < len(texts)
 
 
+def test_unlike_members_of_a_bucket_form_few_pairs(spark, monkeypatch):
+    """Copies with so many edits that hardly two of them are similar, though most share buckets."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for at in r.sample(range(150), 4):
+            words[at] = f"x{k}y{at}" if r.random() < 0.5 else f"x{r.randint(0, 3)}y{at}"
+        texts.append(" ".join(words))
+    formed, real = [], dart_minhash.staged
+
+    def watched(df, name, **more):
+        out = real(df, name, **more)
+        if name == "pairs":
+            formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(dart_minhash, "staged", watched)
+    monkeypatch.setattr(dart_minhash, "DEALT", 50)
+    got = {x.doc_id: x.class_id for x in dart_minhash.near_duplicate_classes(frame(spark, texts)).collect()}
+    sets = [frozenset(dart_minhash.shingles(t)[0].tolist()) for t in texts]
+    label = list(range(400))
+    links = [(i, j) for i in range(400) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(20):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert [got[i] for i in range(400)] == label
+    assert len(set(label)) > 100 and sum(formed) < 10 * 400 + 2 * len(links)
+
+
 def test_large_sets_are_joined_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(dart_minhash, "DEALT", 10)
     monkeypatch.setattr(dart_minhash, "HEAVY", 3)

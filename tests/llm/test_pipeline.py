@@ -1,9 +1,13 @@
 """The five stages, one by one and together."""
 
+import re
+
 import corpus_pipeline
+import public_tokenizers
 import pytest
+import tokenizers
 
-from millrace.llm import queries
+from millrace.llm import pii_crf, queries
 
 
 def stage(name):
@@ -56,5 +60,33 @@ def test_whole_run(spark, folder, nothing):
     assert corpus_pipeline.run(spark, folder).count() == 0
 
 
+def test_run_equals_plain_stages(spark):
+    """The rows of the smallest tables by plain code: letters, pairwise sets, window sets, masks, and the tokenizers library."""
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    words = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())
+    rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t)]
+
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for _, t in rows)]
+    label = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    for _ in range(10):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    rows = [r for i, r in enumerate(rows) if label[i] == i]
+
+    ascii_words = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    windows = {tuple(w[i : i + 10]) for w in map(ascii_words, items) for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in windows}
+    rows = [(i, t) for i, t in rows if not any(tuple(w[k : k + n]) in windows for w in [ascii_words(t)] for n in sizes for k in range(len(w) - n + 1))]
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = pii_crf.find_all([t for _, t in rows], pii_crf.fitted())
+    want = {i: library.encode(pii_crf.mask(t, base + more), add_special_tokens=False).ids for (i, t), (base, more) in zip(rows, found)}
+    got = {r.doc_id: r.token_ids for r in corpus_pipeline.run(spark, sf).collect()}
+    assert links and got == want
+
+
 def test_every_operator_has_a_query():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]

@@ -11,7 +11,13 @@ works on all rows that its predecessor kept.
    words all stay;
 3. decontaminate: documents that contain a benchmark window go;
 4. personal_data: spans of personal data are masked, ``n_chars`` follows;
-5. encode: every text becomes token ids.
+5. encode: every text becomes token ids; the id, ``lang`` and ``source`` (where
+   the documents have them) go along.
+
+Defined results: null, empty and letterless texts have no language and go in the
+first stage; texts are processed whole, however long; repeated rows are one
+document after the second stage; empty tables give empty results; extra columns
+stay through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +59,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=("lang", "source"))
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=tuple(c for c in ("lang", "source") if c in docs.columns))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

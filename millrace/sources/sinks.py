@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import wave
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +85,56 @@ def restored(spark: SparkSession, path: str) -> bool:
     return store.exists(target)
 
 
+def wav_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Clips of (``clip_id``, ``sample_rate``, ``channels``: samples from -1 to 1) as 16-bit PCM files; returns clip_id, file and bytes.
+
+    Lazy like any frame: what writes its rows writes the files. A task that runs again replaces them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        for b in batches:
+            files, sizes = [], []
+            for clip, rate, channels in zip(*(b.column(c) for c in ("clip_id", "sample_rate", "channels"))):
+                x = np.array(channels.as_py(), float)
+                held = io.BytesIO()
+                with wave.open(held, "wb") as w:
+                    w.setnchannels(len(x)), w.setsampwidth(2), w.setframerate(rate.as_py())
+                    w.writeframes(np.clip(np.round(x.T * 32768), -32768, 32767).astype("<i2").tobytes())
+                files.append(f"{clip.as_py()}.wav")
+                sizes.append(held.tell())
+                with store.open_output_stream(f"{top}/{files[-1]}", compression=None) as out:
+                    out.write(held.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("clip_id"), pa.array(files, pa.string()), pa.array(sizes, pa.int64())], ["clip_id", "file", "bytes"])
+
+    return rows.select("clip_id", "sample_rate", "channels").mapInArrow(run, f"clip_id {dict(rows.dtypes)['clip_id']}, file string, bytes bigint")
+
+
+def transferred(listed: DataFrame, source: str, target: str, per_task: int = 16) -> DataFrame:
+    """Files copied from one store to another, for fetching and for publishing: ``file`` and ``bytes`` of each.
+
+    ``listed`` has a column ``file`` of paths below ``source``.  Tasks copy in
+    pieces; a file that is already there with the same size is left alone, so a
+    broken transfer goes on where it stopped.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (here, top), (there, base) = fs.FileSystem.from_uri(source), fs.FileSystem.from_uri(target)
+        for b in batches:
+            sizes = []
+            for name in b.column("file").to_pylist():
+                sizes.append(size := here.get_file_info(f"{top}/{name}").size)
+                if there.get_file_info(f"{base}/{name}").size == size:
+                    continue
+                there.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                fs.copy_files(f"{top}/{name}", f"{base}/{name}", source_filesystem=here, destination_filesystem=there, use_threads=False)
+            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(sizes, pa.int64())], ["file", "bytes"])
+
+    names = listed.select("file").distinct()
+    return names.repartition(max(1, -(-names.count() // per_task)), "file").mapInArrow(run, "file string, bytes bigint")
+
+
 def verified(rows: DataFrame, path: str, required: tuple[str, ...] = ()) -> None:
     """A table that takes its place only after it was read back with its columns and as many rows as were written.
 

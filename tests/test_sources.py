@@ -136,6 +136,21 @@ def test_documents_are_replaced(spark, tmp_path):
     assert sorted(map(tuple, files.cache_index(spark, f"{tmp_path}/i.json").select("clip_id", "duration_seconds").collect())) == [("a", 2.0), ("b", 1.5)]
 
 
+def test_audio_round_trip_and_transfer(spark, tmp_path):
+    clips = [("a", 8000, [[0.5, -0.5, 0.25]]), ("b", 16000, [[0.0, 1.0], [-1.0, 0.125]])]
+    rows = spark.createDataFrame(clips, "clip_id string, sample_rate int, channels array<array<double>>")
+    made = sinks.wav_files(rows, f"file://{tmp_path}/in").collect()
+    assert sorted((r.clip_id, r.file, (tmp_path / "in" / r.file).stat().st_size == r.bytes) for r in made) == [("a", "a.wav", True), ("b", "b.wav", True)]
+    back = {r.sample_rate: r.channels for r in files.wav_files(spark, f"{tmp_path}/in").collect()}
+    assert back == {8000: [[0.5, -0.5, 0.25]], 16000: [[0.0, 32767 / 32768], [-1.0, 0.125]]}
+    put(tmp_path / "in" / "deep" / "c.txt", "hi")
+    listed = spark.createDataFrame([("a.wav",), ("b.wav",), ("deep/c.txt",), ("a.wav",)], "file string")
+    for _ in range(2):
+        got = sorted(map(tuple, sinks.transferred(listed, f"file://{tmp_path}/in", f"file://{tmp_path}/out", per_task=1).collect()))
+        assert got == [(n, (tmp_path / "in" / n).stat().st_size) for n in ("a.wav", "b.wav", "deep/c.txt")]
+        assert all((tmp_path / "in" / n).read_bytes() == (tmp_path / "out" / n).read_bytes() for n, _ in got)
+
+
 def test_file_order(spark):
     rows = spark.createDataFrame([("b.proto",), ("c.protos",), ("a.proto",), ("d.protos",)], "f string")
     assert [r.f for r in rows.orderBy(*files.listed_order(F.col("f"))).collect()] == ["c.protos", "d.protos", "a.proto", "b.proto"]

@@ -98,9 +98,10 @@ def byte_tokens(spark, sf_dir):
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
 
 
-@query("SELECT conv_id, turn, text = decode(encode(text)) AS same FROM conversations")
+@query("SELECT conv_id, turn, sha256(text) AS text_sha256 FROM conversations")
 def byte_round_trip(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (tokens.byte_text(tokens.byte_ids(F.col("text"))) == F.col("text")).alias("same"))
+    """Texts to byte ids and back; the SQL digests the texts themselves."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(tokens.byte_text(tokens.byte_ids(F.col("text"))), 256).alias("text_sha256"))
 
 
 @query("SELECT o_orderkey, array_to_string(list_filter([o_orderkey % 7, o_custkey % 9, 4, 5, o_orderkey % 3], lambda i: i > 4), ',') AS kept FROM orders")
@@ -116,11 +117,11 @@ def char_vocab(spark, sf_dir):
     return tokens.char_vocabulary(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
 
 
-@query("SELECT o_orderkey, o_custkey % 8000 + 32000 AS extended, o_custkey % 8000 AS back, true AS is_added, (o_orderkey % 40000) < 32000 AS is_original FROM orders")
+@query("SELECT o_orderkey, o_custkey % 8000 + 32000 AS extended, o_custkey % 8000 AS back, (o_custkey % 40000) >= 32000 AS is_added, (o_orderkey % 40000) < 32000 AS is_original FROM orders")
 def id_offsets(spark, sf_dir):
     ext = tokens.to_extended(F.col("o_custkey") % tokens.KHMER_SIZE, BASE_VOCAB)
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", ext.alias("extended"))
-    return rows.select("o_orderkey", "extended", tokens.from_extended(F.col("extended"), BASE_VOCAB).alias("back"), tokens.is_extended(F.col("extended"), BASE_VOCAB).alias("is_added"), tokens.is_original(F.col("o_orderkey") % 40_000, BASE_VOCAB).alias("is_original"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", ext.alias("extended"))
+    return rows.select("o_orderkey", "extended", tokens.from_extended(F.col("extended"), BASE_VOCAB).alias("back"), tokens.is_extended(F.col("o_custkey") % 40_000, BASE_VOCAB).alias("is_added"), tokens.is_original(F.col("o_orderkey") % 40_000, BASE_VOCAB).alias("is_original"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_partkey >= 100 AS khmer, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem),
@@ -503,7 +504,7 @@ def micro_batch_mean(spark, sf_dir):
     return metrics.micro_batch_means(rows, "ordinal", "value", CHUNK, "user_id").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms, true AS finite, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) < 1e-4 AS silent FROM embeddings")
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms, len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AS finite, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) < 1e-4 AS silent FROM embeddings")
 def rms_check(spark, sf_dir):
     return metrics.audio_check(table(spark, sf_dir, "embeddings"), "embedding", "vec_id").withColumn("rms", F.round("rms", 6))
 
@@ -515,11 +516,11 @@ def mono_mix(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(m, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("SELECT conv_id, turn, [len(string_split(text, ' ')[1:turn + 3]), len(string_split(text, ' ')[1:turn + 3])] AS sizes FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:turn + 3], ' ') || '|' || array_to_string(list_reverse(string_split(text, ' '))[1:turn + 3], ' ') AS codes FROM conversations")
 def trim_codes(spark, sf_dir):
     w = F.split("text", " ", -1)
-    cut = arrays.trim_codes(F.array(w, w), F.col("turn").cast("int") + 3)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(cut, lambda c: F.size(c).cast("bigint")).alias("sizes"))
+    cut = arrays.trim_codes(F.array(w, F.reverse(w)), F.col("turn").cast("int") + 3)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(cut, lambda c: F.array_join(c, " ")), "|").alias("codes"))
 
 
 @query("SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 10 BETWEEN 3 AND 6 THEN o_custkey END, CASE WHEN o_custkey % 10 BETWEEN 3 AND 6 THEN o_orderkey END], lambda x: x IS NOT NULL), ',') AS labels FROM orders")

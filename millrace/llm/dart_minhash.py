@@ -63,7 +63,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
 #: Members of an open bucket that are compared with all others in the first round; later rounds take four times as many, up to the last number.
-LEADERS, MOST_LEADERS = 16, 256
+LEADERS, MOST_LEADERS = 16, 4096
 #: Members of a bucket that one task compares with its leaders.
 DEALT = 20_000
 #: A set of equal documents is joined by broadcast from this share of all documents on; so there are at most as many such sets.

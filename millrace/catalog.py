@@ -358,7 +358,7 @@ def stable_order(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_comment_bytes, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS place FROM (SELECT *, octet_length(encode(l_returnflag || l_linestatus)) AS l_comment_bytes FROM lineitem)")
 def ordinals_payload(spark, sf_dir):
     """Global ordinals of rows that carry columns beside the order's."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", F.octet_length(F.concat("l_returnflag", "l_linestatus")).alias("l_comment_bytes"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", F.octet_length(F.concat("l_returnflag", "l_linestatus")).cast("bigint").alias("l_comment_bytes"))
     return batches.ordinals(rows, "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", name="place").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_comment_bytes", "place")
 
 

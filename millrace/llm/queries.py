@@ -123,6 +123,57 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how like they are."""
+    from millrace.llm.multiset_hash import edit_likeness
+
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
+#: Lanes 0-7 are sums of SHA-256 words of lines, lanes 8-135 sums of signs of word pairs.
+OP13_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+), e AS (
+    SELECT doc_id, n, text, left(text, n - n // 2) || left(coalesce(lead(text) OVER w, first(text) OVER (ORDER BY doc_id DESC)), n // 2) AS edited,
+           coalesce(lead(doc_id) OVER w, first(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id
+    FROM d WINDOW w AS (ORDER BY doc_id DESC)
+), lines AS (
+    SELECT doc_id, side, row_number() OVER () AS i, line
+    FROM (SELECT doc_id, 0 AS side, unnest(string_split(text, chr(10))) AS line FROM e UNION ALL SELECT doc_id, 1, unnest(string_split(edited, chr(10))) FROM e)
+), whole AS (
+    SELECT doc_id, side, k AS lane, ('0x' || substr(sha256(line), 8 * k + 1, 8))::BIGINT AS value FROM lines, (SELECT unnest(range(8)) AS k)
+), words AS (
+    SELECT doc_id, side, string_split(substr(line, 8192 * b + 1, 8192), ' ') AS w
+    FROM (SELECT doc_id, side, line, unnest(range(greatest(1, (length(line) + 8191) // 8192))) AS b FROM lines)
+), pairs AS (
+    SELECT doc_id, side, unnest(list_distinct(list_transform(range(0, len(w) + 1), lambda i: coalesce(w[i], '') || ' ' || coalesce(w[i + 1], '')))) AS pair FROM words
+), signs AS (
+    SELECT doc_id, side, 8 + h % 128 AS lane, CASE WHEN h >= 128 THEN 1 ELSE -1 END AS value FROM (SELECT doc_id, side, ('0x' || substr(md5(pair), 1, 2))::BIGINT AS h FROM pairs)
+), sums AS (
+    SELECT doc_id, side, lane, sum(value)::HUGEINT AS v FROM (SELECT * FROM whole UNION ALL SELECT * FROM signs) GROUP BY ALL
+), lanes AS (
+    SELECT doc_id, side, list(v ORDER BY lane) AS v
+    FROM (SELECT doc_id, side, lane, coalesce(v, 0) AS v FROM (SELECT DISTINCT doc_id, side FROM sums) CROSS JOIN (SELECT unnest(range(136)) AS lane) LEFT JOIN sums USING (doc_id, side, lane))
+    GROUP BY doc_id, side
+), joined AS (
+    SELECT e.doc_id, e.n, e.edited, a.v AS a, b.v AS b, c.v AS c
+    FROM e JOIN lanes a ON a.doc_id = e.doc_id AND a.side = 0 JOIN lanes b ON b.doc_id = e.doc_id AND b.side = 1 JOIN lanes c ON c.doc_id = e.next_id AND c.side = 0
+), dots AS (
+    SELECT *, list_dot_product(a[9:]::DOUBLE[], a[9:]::DOUBLE[]) AS aa, list_dot_product(b[9:]::DOUBLE[], b[9:]::DOUBLE[]) AS bb, list_dot_product(c[9:]::DOUBLE[], c[9:]::DOUBLE[]) AS cc,
+           list_dot_product(a[9:]::DOUBLE[], b[9:]::DOUBLE[]) AS ab, list_dot_product(a[9:]::DOUBLE[], c[9:]::DOUBLE[]) AS ac,
+           list_transform(a[1:8], lambda x: x % 4294967296) AS ia, list_transform(b[1:8], lambda x: x % 4294967296) AS ib, list_transform(c[1:8], lambda x: x % 4294967296) AS ic
+    FROM joined
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+       array_to_string(list_transform(a, lambda x: printf('%08x', ((x % 4294967296 + 4294967296) % 4294967296)::BIGINT)), '') AS fingerprint,
+       array_to_string(list_transform(b, lambda x: printf('%08x', ((x % 4294967296 + 4294967296) % 4294967296)::BIGINT)), '') AS edited_fingerprint,
+       CASE WHEN ia = ib THEN 1.0::DOUBLE WHEN aa + bb = 0 THEN 0.0 ELSE round(greatest(0.0, least(1.0, ab * 2 / (aa + bb))), 6) END AS near_edited,
+       CASE WHEN ia = ic THEN 1.0::DOUBLE WHEN aa + cc = 0 THEN 0.0 ELSE round(greatest(0.0, least(1.0, ac * 2 / (aa + cc))), 6) END AS near_next
+FROM dots
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_main_text": op2_main_text,
@@ -134,9 +185,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op13_fingerprints": OP13_SQL,
 }

@@ -123,6 +123,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent form that each is a variant of."""
+    from millrace.llm.anagram_hash import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, and how like they are."""
     from millrace.llm.multiset_hash import edit_likeness
@@ -185,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_fingerprints": op13_fingerprints,
 }
 

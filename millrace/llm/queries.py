@@ -123,6 +123,43 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    from millrace.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), counts AS (
+    SELECT lang, k, p, count(*)::HUGEINT AS f
+    FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS p FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+    GROUP BY ALL HAVING count(*) >= 100
+), phrases AS (
+    SELECT lang, k, p, f, string_split(p, ' ') AS w FROM counts WHERE k > 1
+), cuts AS (
+    SELECT x.lang, x.p, x.f AS a, c, l.f AS l, r.f AS r, n, 1000 * x.f * n // (l.f * r.f) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM phrases) x JOIN totals USING (lang)
+    JOIN counts l ON l.lang = x.lang AND l.p = array_to_string(w[1 : c], ' ') JOIN counts r ON r.lang = x.lang AND r.p = array_to_string(w[c + 1 :], ' ')
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1
+), inner_ AS (
+    SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS p, max(f) AS longer
+    FROM (SELECT lang, w, f, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM phrases)) GROUP BY ALL
+), stay AS (
+    SELECT * FROM best LEFT JOIN inner_ USING (lang, p) WHERE longer IS NULL OR longer < a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM stay QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) <= 2000
+"""
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the frequent form that each is a variant of."""
     from millrace.llm.anagram_hash import variants
@@ -192,6 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -199,5 +237,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_fingerprints": OP13_SQL,
 }

@@ -15,6 +15,7 @@ their own; extra columns, whatever their names, are not read.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -35,6 +36,27 @@ WRITE_BYTES = 4 << 20
 BLOCKS_PER_TASK, FILES_PER_TASK = 8, 64
 
 
+#: White space that the library's pattern would backtrack through, one stack frame a character.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_SPACE = re.compile(f"{_SPACE}{{1000,}}")
+
+
+def encode_ordinary(encoding, text: str) -> list[int]:
+    """The library's ids of a text of any length.
+
+    A long run of white space is one word up to its last character, which belongs
+    to what follows; the library gets that word as it is, without its pattern.
+    """
+    ids: list[int] = []
+    at = 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def _encoding(path: str, pattern: str):
     import tiktoken
 
@@ -56,7 +78,7 @@ def write_token_files(docs: DataFrame, vocab: str, pattern: str, folder: str, eo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
-        encode = _encoding(vocab, pattern).encode_ordinary
+        encoding = _encoding(vocab, pattern)
         task = TaskContext.get()
         name = f"tokens-{task.partitionId():06d}-{uuid.uuid4().hex[:12]}.bin"
         end, ordinal, sink = np.array([eod], dtype), 0, None
@@ -65,7 +87,7 @@ def write_token_files(docs: DataFrame, vocab: str, pattern: str, folder: str, eo
                 sink = store.open_output_stream(f"{top}/{name}", compression=None)
             held, size = [], 0
             for t in batch.column(text_col):
-                ids = np.array(encode(t.as_py() or ""), dtype)
+                ids = np.array(encode_ordinary(encoding, t.as_py() or ""), dtype)
                 held += (ids, end)
                 size += ids.nbytes
                 if size >= WRITE_BYTES:

@@ -129,3 +129,18 @@ def test_a_cut_off_file_is_an_error(spark):
         f.write(b"\1\0\1")
     with pytest.raises(Exception, match="no multiple"):
         token_files.count_tokens(spark.createDataFrame([("x.bin",)], "file string"), folder, 9).select(F.count("*")).collect()
+
+
+def test_long_white_space(spark):
+    """Runs that overflow the stack of the library's pattern; short ones are cut alike and equal the library."""
+    encoding = token_files._encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    for _ in range(300):
+        parts = [rng.choice([" ", "\n", "\u3000", " \n\t", "\x1c"]) * rng.choice([1, 2, 999, 1000, 1003]) + rng.choice(["", "x", "it's", "12", "é!"]) for _ in range(rng.randint(1, 5))]
+        text = rng.choice(["", "a "]) + "".join(parts)
+        assert token_files.encode_ordinary(encoding, text) == encoding.encode_ordinary(text)
+    texts = ["x" + " " * 5_000_000 + "y", "\n" * 5_000_000, "q" * 5_000_000, ("a " * 1000 + " " * 2000 + "\n") * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in token_files.document_token_counts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, 50256).collect()}
+    long = lambda text: len(encoding._encode_single_piece(text))
+    assert got == {0: 1 + long(" " * 4_999_999) + len(encoding.encode_ordinary(" y")), 1: long("\n" * 5_000_000), 2: long("q" * 5_000_000), 3: len(encoding.encode_ordinary(texts[3]))}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.functions import arrays, numeric, text, tokens
 from millrace.operators import batches, cache, checkpoints, conversion, metrics, scores, shards, splits, staging, validate
-from millrace.sources import files, sinks
+from millrace.sources import archives, files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -256,13 +256,24 @@ def list_scan(spark, sf_dir):
     return files.sample_list(spark, path).select(F.col("ordinal").cast("bigint").alias("ordinal"), "relpath", F.col("num_samples").cast("bigint").alias("num_samples"))
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents")
 def manifest_scan(spark, sf_dir):
-    """Rows written as a JSON manifest and read back with a declared schema."""
+    """Documents written as JSON arrays and read back in blocks that cut through records, strings and escapes."""
     path = staging.scratch(spark, "manifest")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    sinks.manifest(rows, path)
-    return spark.read.schema(rows.schema).json(path)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    sinks.manifest(rows.withColumn("text", F.concat(F.lit('"[{\\\\'), "text")), path)
+    back = files.manifest(spark, path, schema=rows.schema, block_bytes=1 << 16)
+    return back.select("doc_id", "lang", "source", "n_chars", F.sha2(F.substring("text", 6, 1 << 30), 256).alias("text_sha256"))
+
+
+@query("SELECT page_id, octet_length(encode(html)) AS n_bytes, sha256(html) AS html_sha256 FROM pages")
+def archive_scan(spark, sf_dir):
+    """Pages written as tar archives and read back by their index."""
+    path = staging.scratch(spark, "archives")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("member"), F.col("html").alias("content"))
+    archives.write_tar(pages, path)
+    found = archives.tar_members(spark, path, task_bytes=1 << 20)
+    return found.select(F.regexp_extract("member", r"(\d+)\.html", 1).cast("bigint").alias("page_id"), F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("html_sha256"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id <= 700")

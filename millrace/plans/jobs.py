@@ -22,7 +22,7 @@ def make_splits(spark: SparkSession, manifest: str, out: str, validation_share:
     """A manifest with a split column, and the counts by split."""
     assigned = splits.assign_splits(files.raw_manifest(spark, manifest), validation_share)
     sinks.manifest(assigned, out)
-    return splits.split_counts(spark.read.json(out))
+    return splits.split_counts(files.manifest(spark, out, schema=assigned.schema))
 
 
 def convert_manifest(spark: SparkSession, root: str, out: str, sample_rate: int, source: str, speakers: str = "data/ddd_speaker_ids.json") -> DataFrame:
@@ -36,7 +36,7 @@ def convert_manifest(spark: SparkSession, root: str, out: str, sample_rate: int,
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(audio_root).select(F.regexp_extract("path", r".*/audio/(.*)", 1).alias("relpath"))
     rows = conversion.convert(samples, lines, files.speakers(spark, f"{root}/{speakers}"), listed, audio_root, sample_rate, source)
     sinks.manifest(rows, out)
-    return splits.manifest_totals(spark.read.schema(rows.schema).json(out))
+    return splits.manifest_totals(files.manifest(spark, out, schema=rows.schema))
 
 
 def plan_precompute(spark: SparkSession, manifest: str, disk_gb: float, progress: str) -> DataFrame:

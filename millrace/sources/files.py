@@ -6,7 +6,6 @@ import io
 import json
 import os
 import struct
-import tarfile
 import wave
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import schemas
+from millrace.sources import json_arrays
 
 # Fixed value: where lines end in the transcript format.
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -45,15 +45,18 @@ def discover(spark: SparkSession, pattern: str, fallback: str | None = None) ->
     return found[0] if found else fallback
 
 
-def manifest(spark: SparkSession, path: str, split: str | None = None, schema: T.StructType = schemas.MANIFEST) -> DataFrame:
-    """A JSON array of clips; with a split, only its rows."""
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+def manifest(spark: SparkSession, path: str, split: str | None = None, schema: T.StructType = schemas.MANIFEST, place: str | None = None, block_bytes: int = json_arrays.BLOCK_BYTES) -> DataFrame:
+    """JSON arrays of clips, each read by many tasks; with a split, only its rows.
+
+    ``place`` names a column that says where a record stands (file and byte), so ordering by it gives the manifest's order.
+    """
+    rows = json_arrays.records(spark, path, schema, place=place, block_bytes=block_bytes)
     return rows if split is None else rows.where(F.col("split") == split)
 
 
 def raw_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of clips with whatever further fields it has."""
-    return spark.read.json(path, multiLine=True)
+    """JSON arrays of clips with whatever further fields they have."""
+    return json_arrays.records(spark, path, None)
 
 
 def split_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +64,7 @@ def split_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def eval_sentences(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.EVAL_SENTENCE).json(path, multiLine=True)
+    return json_arrays.records(spark, path, schemas.EVAL_SENTENCE)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -88,16 +91,15 @@ def speakers(spark: SparkSession, path: str) -> DataFrame:
     """``ordinal`` and ``names`` of an optional JSON object; none if the file is missing."""
     if not exists(spark, path):
         return spark.createDataFrame([], "ordinal int, names array<string>")
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("ordinal", "names"))
-    return rows.select(F.col("ordinal").cast("int").alias("ordinal"), "names")
+    rows = json_arrays.entries(spark, path, T.ArrayType(T.StringType()), "ordinal")
+    return rows.select(F.col("ordinal").cast("int").alias("ordinal"), F.col("value").alias("names"))
 
 
 def cache_index(spark: SparkSession, path: str) -> DataFrame:
     """Cache records from a JSON object keyed by clip; empty if the file is missing."""
     if not exists(spark, path):
         return spark.createDataFrame([], schemas.CACHE_INDEX)
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", T.MapType(T.StringType(), schemas.CACHE_RECORD))).alias("clip_id", "r"))
-    return rows.select("clip_id", "r.*")
+    return json_arrays.entries(spark, path, schemas.CACHE_RECORD, "clip_id").select("clip_id", "value.*")
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
@@ -159,18 +161,6 @@ def code_tensors(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(_binary(spark, path, "*.npy"), decode, schemas.SEMANTIC_CODES)
 
 
-def tar_members(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
-    """``archive``, ``member`` and ``content`` of the files in tar archives."""
-
-    def decode(name: str, content: bytes):
-        with tarfile.open(fileobj=io.BytesIO(content)) as t:
-            for m in t:
-                if m.isfile():
-                    yield name, m.name, t.extractfile(m).read()
-
-    return _decoded(_binary(spark, path, pattern), decode, T.StructType([T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()), T.StructField("content", T.BinaryType())]))
-
-
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``sample_rate`` and ``channels`` of 16-bit WAV files, samples in [-1, 1)."""
 

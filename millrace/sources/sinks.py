@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,26 @@ def write_document(spark: SparkSession, path: str, data) -> None:
 
 
 def manifest(rows: DataFrame, path: str, by_split: bool = False) -> None:
-    """JSON rows; or Parquet in a folder for each split, so that readers prune."""
-    rows.write.mode("overwrite").partitionBy("split").parquet(path) if by_split else rows.write.mode("overwrite").json(path)
+    """JSON arrays, one a task, which ``files.manifest`` reads; or Parquet in a folder for each split, so that readers prune."""
+    if by_split:
+        rows.write.mode("overwrite").partitionBy("split").parquet(path)
+    else:
+        array_lines(rows).write.mode("overwrite").text(path)
+
+
+def array_lines(rows: DataFrame) -> DataFrame:
+    """The lines of one JSON array for each task: brackets around its rows, commas in front of all but the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for b in batches:
+            if b.num_rows:
+                heads = pa.array([lead] + [","] * (b.num_rows - 1))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(heads, b.column(0), "")], ["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], ["value"])
+
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(run, "value string")
 
 
 def cache_index(index: DataFrame, path: str) -> None:

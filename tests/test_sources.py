@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.plans import jobs
-from millrace.sources import files, sinks
+from millrace.sources import archives, files, sinks
 from millrace.streaming import watch
 
 
@@ -68,7 +68,7 @@ def test_tensors_archives_and_audio(spark, tmp_path):
         info = tarfile.TarInfo("in/x.txt")
         info.size = 2
         t.addfile(info, io.BytesIO(b"hi"))
-    assert [(r.member, bytes(r.content)) for r in files.tar_members(spark, str(d)).collect()] == [("in/x.txt", b"hi")]
+    assert [(r.member, bytes(r.content)) for r in archives.tar_members(spark, str(d)).collect()] == [("in/x.txt", b"hi")]
     with wave.open(str(d / "w.wav"), "wb") as w:
         w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000)
         w.writeframes(struct.pack("<4h", 16384, 0, -16384, 0))

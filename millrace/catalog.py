@@ -138,24 +138,25 @@ _REASON = """CASE WHEN audio_path IS NULL OR audio_path = '' THEN 'missing_audio
 
 
 def _validated(spark, sf_dir):
+    """Verdicts in the order of the manifest, which here is that of the ids."""
     rows = manifest_view(spark, sf_dir).withColumn("ids", tokens.byte_ids(F.col("text"), BASE_VOCAB))
-    return validate.validate(rows, ids=F.col("ids"), vocab_size=tokens.vocabulary_total(BASE_VOCAB))
+    return validate.validate(rows, place="doc_id", ids=F.col("ids"), vocab_size=tokens.vocabulary_total(BASE_VOCAB))
 
 
 @query(f"WITH {MANIFEST_SQL} SELECT clip_id, {_REASON} AS reason FROM m")
 def validation_reasons(spark, sf_dir):
-    return _validated(spark, sf_dir)
+    return _validated(spark, sf_dir).select("clip_id", "reason")
 
 
-@query(f"WITH {MANIFEST_SQL}, v AS (SELECT clip_id, {_REASON} AS reason FROM m) SELECT reason, count(*) AS n, (SELECT count(*) FROM v) AS total, (SELECT count(*) FROM v WHERE reason IS NULL) AS ok FROM v WHERE reason IS NOT NULL GROUP BY reason")
+@query(f"WITH {MANIFEST_SQL}, v AS (SELECT doc_id, {_REASON} AS reason FROM m) SELECT reason, count(*) AS n, min(doc_id) AS first, (SELECT count(*) FROM v) AS total, (SELECT count(*) FROM v WHERE reason IS NULL) AS ok FROM v WHERE reason IS NOT NULL GROUP BY reason")
 def validation_summary(spark, sf_dir):
-    return validate.summary(_validated(spark, sf_dir))
+    return validate.summary(_validated(spark, sf_dir), "doc_id")
 
 
-@query(f"""WITH {MANIFEST_SQL}, v AS (SELECT clip_id, {_REASON} AS reason FROM m), r AS (SELECT reason, count(*) AS n, min(clip_id) AS first FROM v WHERE reason IS NOT NULL GROUP BY reason)
-    SELECT (SELECT count(reason IS NULL OR NULL) || '/' || count(*) || ' valid' FROM v) || (SELECT string_agg(chr(10) || '  ' || reason || ': ' || n, '' ORDER BY n DESC, first) FROM r) AS report""")
+@query(f"""WITH {MANIFEST_SQL}, v AS (SELECT doc_id, {_REASON} AS reason FROM m), r AS (SELECT reason, count(*) AS n, min(doc_id) AS first FROM v WHERE reason IS NOT NULL GROUP BY reason)
+    SELECT (SELECT count(reason IS NULL OR NULL) || '/' || count(*) || ' samples passed validation.' FROM v) || (SELECT string_agg(chr(10) || '  ' || reason || ': ' || n, '' ORDER BY n DESC, first) FROM r) AS report""")
 def validation_report(spark, sf_dir):
-    return validate.report(_validated(spark, sf_dir))
+    return validate.report(_validated(spark, sf_dir), "doc_id")
 
 
 @query(f"WITH {MANIFEST_SQL} SELECT clip_id FROM m WHERE ({_REASON}) IS NULL")
@@ -454,13 +455,14 @@ SCHEDULES = [
 ]
 
 
-@query("""SELECT step, e AS experiment_id, g AS param_group, CASE WHEN step <= 0 THEN a WHEN step <= 2000 THEN a + (step::DOUBLE / 2000) * (p - a) WHEN step <= 10000 THEN p WHEN step <= 35000 THEN p + ((step - 10000)::DOUBLE / 25000) * (z - p) ELSE z END AS lr
-    FROM range(0, 40001) r(step), (VALUES """ + ", ".join(f"('{e}', '{g}', {a}::DOUBLE, {p}::DOUBLE, {z}::DOUBLE)" for e, g, _, _, _, a, p, z in SCHEDULES) + ") s(e, g, a, p, z)")
+@query("""SELECT event_id AS step, e AS experiment_id, g AS param_group, CASE WHEN event_id <= 0 THEN a WHEN event_id <= w THEN a + (event_id::DOUBLE / w) * (p - a) WHEN event_id <= q THEN p WHEN event_id <= d THEN p + ((event_id - q)::DOUBLE / (d - q)) * (z - p) ELSE z END AS lr
+    FROM events, (VALUES """ + ", ".join(f"('{e}', '{g}', {w}, {q}, {d}, {a}::DOUBLE, {p}::DOUBLE, {z}::DOUBLE)" for e, g, w, q, d, a, p, z in SCHEDULES) + ") s(e, g, w, q, d, a, p, z)")
 def lr_schedule(spark, sf_dir):
+    """The rates of all parameter groups at every event's step."""
     for s in SCHEDULES:
         numeric.check_schedule(*s[2:5])
     groups = F.array(*(F.struct(F.lit(e).alias("experiment_id"), F.lit(g).alias("param_group")) for e, g, *_ in SCHEDULES))
-    steps = spark.range(40_001).select(F.col("id").alias("step"), F.inline(groups))
+    steps = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.inline(groups))
     return metrics.scheduled_rates(steps, spark.createDataFrame(SCHEDULES, schemas.SCHEDULE)).select("step", "experiment_id", "param_group", "lr")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays, numeric
 from millrace.operators.batches import earlier, ranged
 
+#: Schedules that are sent to every task at most.
+MOST_SCHEDULES = 10_000
+
 
 def best_so_far(steps: DataFrame, value: str, order: str, *by: str) -> DataFrame:
     """``improved``: whether a value is below all before it; NaN never is.
@@ -92,8 +95,13 @@ def weight_spread(weights: DataFrame, values: str) -> DataFrame:
 
 
 def scheduled_rates(steps: DataFrame, schedules: DataFrame) -> DataFrame:
-    """``lr`` of each row of (``step``, ``experiment_id``, ``param_group``); a row without a schedule is an error."""
+    """``lr`` of each row of (``step``, ``experiment_id``, ``param_group``); a row without a schedule is an error.
+
+    Up to ``MOST_SCHEDULES`` schedules go to every task, so steps stay where they are; more are joined by shuffle.
+    """
     known = schedules.withColumn("_known", F.lit(True))
+    if schedules.limit(MOST_SCHEDULES + 1).count() <= MOST_SCHEDULES:
+        known = F.broadcast(known)
     named = F.concat(F.lit("no schedule for "), F.coalesce("experiment_id", F.lit("null")), F.lit(", "), F.coalesce("param_group", F.lit("null")))
     rate = F.when(F.col("_known"), numeric.learning_rate(F.col("step"))).otherwise(F.raise_error(named))
     return steps.join(known, ["experiment_id", "param_group"], "left").withColumn("lr", rate).select(*steps.columns, "lr")

@@ -53,9 +53,9 @@ def reason(ids: Column | None = None, vocab_size: int | None = None, found: Colu
     return out.otherwise(let(ids, by_ids))
 
 
-def validate(manifest: DataFrame, **checks) -> DataFrame:
-    """``clip_id`` (``<unknown>`` where there is none) and ``reason`` of every row."""
-    return manifest.select(F.coalesce("clip_id", F.lit("<unknown>")).alias("clip_id"), reason(**checks).alias("reason"))
+def validate(manifest: DataFrame, place: str | None = None, **checks) -> DataFrame:
+    """``clip_id`` (``<unknown>`` where there is none) and ``reason`` of every row; ``place`` is a column of the manifest's order to keep."""
+    return manifest.select(F.coalesce("clip_id", F.lit("<unknown>")).alias("clip_id"), reason(**checks).alias("reason"), *([place] if place else []))
 
 
 def _tally(validated: DataFrame, order: str) -> DataFrame:
@@ -66,15 +66,15 @@ def _tally(validated: DataFrame, order: str) -> DataFrame:
 
 
 def summary(validated: DataFrame, order: str = "clip_id") -> DataFrame:
-    """Rows by reason with total and valid counts; most frequent first, ties by first appearance."""
-    return _tally(validated, order).where("reason is not null").orderBy(F.desc("n"), "first").select("reason", "n", "total", "ok")
+    """Rows by reason with total and valid counts and where each first appears; most frequent first, ties by first appearance in ``order``."""
+    return _tally(validated, order).where("reason is not null").orderBy(F.desc("n"), "first").select("reason", "n", "total", "ok", "first")
 
 
 def report(validated: DataFrame, order: str = "clip_id") -> DataFrame:
-    """The summary as text: ``ok/total`` and one indented line for each reason."""
+    """The summary as text: ``ok/total samples passed validation.`` and one indented line for each reason."""
     line = F.when(F.col("reason").isNotNull(), F.struct((-F.col("n")).alias("less"), "first", F.format_string("  %s: %d", "reason", "n").alias("line")))
     lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
-    head = F.format_string("%d/%d valid", F.coalesce(F.max("ok"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0)))
+    head = F.format_string("%d/%d samples passed validation.", F.coalesce(F.max("ok"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0)))
     return _tally(validated, order).agg(F.array_join(F.concat(F.array(head), lines), "\n").alias("report"))
 
 

@@ -47,7 +47,8 @@ def plan_precompute(spark: SparkSession, manifest: str, disk_gb: float, progress
 
 
 def validate_manifest(spark: SparkSession, manifest: str, split: str | None = None) -> DataFrame:
-    return validate.report(validate.validate(files.manifest(spark, manifest, split)))
+    rows = files.manifest(spark, manifest, split, place="place")
+    return validate.report(validate.validate(rows, place="place"), order="place")
 
 
 def normalize_sentences(spark: SparkSession, sentences: str, out: str) -> DataFrame:

@@ -21,7 +21,7 @@ def test_validation_cases(spark):
     got = {r.clip_id: r.reason for r in validate.validate(m).collect()}
     assert got == {"c1": None, "c2": "empty_text", "c3": "missing_audio_path", "c4": "text_too_long", "c5": "audio_too_short", "c6": "missing_audio_path", "c7": None, "c8": None, "c9": "audio_too_long", "<unknown>": "empty_text", "d1": "unexpected_sample_rate_16000"}
     first = validate.validate(m.limit(5))
-    assert validate.report(first).first().report.startswith("1/5 valid\n")
+    assert validate.report(first).first().report.startswith("1/5 samples passed validation.\n")
     ids = F.array(F.lit(1), F.lit(99))
     assert validate.validate(m.where("clip_id = 'c1'"), ids=ids, vocab_size=50).first().reason == "invalid_token_id_range"
     assert validate.validate(m.where("clip_id = 'c1'"), ids=F.slice(ids, 1, 0), vocab_size=50).first().reason == "empty_token_ids"
@@ -226,6 +226,8 @@ def test_samples_of_a_shard(spark):
 def test_a_missing_schedule_is_an_error(spark):
     stages = spark.createDataFrame([("E", "lora", 2000, 10000, 35000, 5e-5, 1e-4, 1e-5)], schemas.SCHEDULE)
     steps = spark.createDataFrame([("E", "lora", 2000), ("F", "lora", 5)], "experiment_id string, param_group string, step int")
+    plan = metrics.scheduled_rates(steps.limit(1), stages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert metrics.scheduled_rates(steps.limit(1), stages).first().lr == 1e-4
     with pytest.raises(Exception, match="no schedule for F, lora"):
         metrics.scheduled_rates(steps, stages).collect()
@@ -250,3 +252,16 @@ def test_ranks_are_disjoint(spark):
 def test_planning_arithmetic():
     assert numeric.sentences_per_item(400) == 20 and numeric.effective_batch(2, 8, 2) == 32 and numeric.rank_seed(42, 3) == 45
     assert numeric.sessions_needed(40_000, 1.5, 30_000) == 2.0
+
+
+def test_ties_of_reasons_stand_in_the_order_of_the_manifest(spark, tmp_path):
+    """z, without a text, comes first and a, without a path, second: both once."""
+    import json
+
+    from millrace.sources import files
+
+    rows = [{"clip_id": "z", "text": "", "audio_path": "p"}, {"clip_id": "a", "text": "t"}, {"clip_id": "b", "text": "t", "audio_path": "p", "duration_seconds": 0.1}]
+    (tmp_path / "m.json").write_text(json.dumps(rows))
+    found = validate.validate(files.manifest(spark, f"{tmp_path}/m.json", place="place", block_bytes=16), place="place")
+    assert validate.report(found, "place").first().report == "0/3 samples passed validation.\n  empty_text: 1\n  missing_audio_path: 1\n  audio_too_short: 1"
+    assert [r.reason for r in validate.summary(found, "place").collect()] == ["empty_text", "missing_audio_path", "audio_too_short"]

@@ -172,7 +172,7 @@ def test_an_endless_stream(spark, tmp_path):
 def test_jobs(spark, tmp_path, capsys):
     put(tmp_path / "m.json", json.dumps([{"clip_id": f"c{i}", "text": "t" * (600 * (i % 2) + 1), "audio_path": "a", "duration_seconds": 2.0, "sample_rate": 24000} for i in range(40)]))
     assert sum(r.n for r in jobs.make_splits(spark, f"{tmp_path}/m.json", f"{tmp_path}/s", 0.3).collect()) == 40
-    assert jobs.validate_manifest(spark, f"{tmp_path}/m.json").first().report == "20/40 valid\n  text_too_long: 20"
+    assert jobs.validate_manifest(spark, f"{tmp_path}/m.json").first().report == "20/40 samples passed validation.\n  text_too_long: 20"
     assert jobs.plan_precompute(spark, f"{tmp_path}/m.json", 20, f"{tmp_path}/none").count() == 1
     put(tmp_path / "e.json", json.dumps([{"id": "e1", "text": "5", "category": "short"}, {"id": "e2", "text": "x"}]))
     assert jobs.make_template(spark, f"{tmp_path}/e.json", ["E1", "E2"], f"{tmp_path}/csv").count() == 8

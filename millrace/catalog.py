@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.functions import arrays, numeric, text, tokens
 from millrace.operators import batches, cache, checkpoints, conversion, metrics, scores, shards, splits, staging, validate
-from millrace.sources import archives, files, sinks
+from millrace.sources import archives, files, framed, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -277,6 +277,19 @@ def archive_scan(spark, sf_dir):
     return found.select(F.regexp_extract("member", r"(\d+)\.html", 1).cast("bigint").alias("page_id"), F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("html_sha256"))
 
 
+@query("""SELECT doc_id, len(l)::BIGINT AS n_sentences, sha256(array_to_string(l, '|')) AS texts_sha256, list_sum(list_transform(l, lambda x: length(x) * 40000 + 7))::BIGINT AS total
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
+def framed_scan(spark, sf_dir):
+    """Documents written as framed messages of sentences and read back in pieces that begin at frames."""
+    path = staging.scratch(spark, "framed")
+    line = lambda k: F.struct(F.array(k).alias("texts"), F.array(F.array(F.length(k) * 40_000, F.lit(7))).alias("semantics"))
+    head = F.struct(F.array(F.col("doc_id").cast("string")).alias("texts"), F.expr("array(array(0))").alias("semantics"))
+    framed.write_sentences(table(spark, sf_dir, "documents").select(F.concat(F.array(head), F.transform(F.split("text", "\n"), line)).alias("sentences")), path)
+    back = framed.packed_sentences(spark, path, piece_bytes=1 << 16).select(F.get("sentences", F.lit(0))["texts"][0].cast("bigint").alias("doc_id"), F.expr("slice(sentences, 2, size(sentences) - 1)").alias("s"))
+    total = F.aggregate(F.flatten(F.flatten(F.transform("s", lambda s: F.transform(s["semantics"], lambda v: v["values"])))), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return back.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.sha2(F.array_join(F.transform("s", lambda s: s["texts"][0]), "|"), 256).alias("texts_sha256"), total.alias("total"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_id <= 700")
 def step_cap(spark, sf_dir):
     return metrics.capped_steps(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", 700)

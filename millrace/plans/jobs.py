@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numeric, text
 from millrace.operators import conversion, metrics, scores, shards, splits, validate
-from millrace.sources import files, sinks
+from millrace.sources import files, framed, sinks
 
 
 def make_splits(spark: SparkSession, manifest: str, out: str, validation_share: float = 0.02) -> DataFrame:
@@ -68,12 +68,12 @@ def summarize(spark: SparkSession, scored: str) -> DataFrame:
 
 
 def count_sentences(spark: SparkSession, path: str) -> DataFrame:
-    return metrics.sentence_count(files.packed_sentences(spark, path))
+    return framed.sentence_counts(spark, path).agg(F.coalesce(F.sum("n_sentences"), F.lit(0)).alias("n_sentences"))
 
 
 def spot_check(spark: SparkSession, path: str, samples: int) -> DataFrame:
     """Raggedness of the first sentences that have codes."""
-    found = files.with_codes(files.packed_sentences(spark, path), samples)
+    found = files.with_codes(framed.packed_sentences(spark, path), samples)
     return metrics.codec_tally(found.select(F.transform("semantics", lambda s: s["values"]).alias("codes")))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import json
 import os
-import struct
 import wave
 from collections.abc import Iterator
 
@@ -174,81 +173,6 @@ def wav_files(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(_binary(spark, path, "*.wav"), decode, T.StructType([T.StructField("path", T.StringType()), T.StructField("sample_rate", T.IntegerType()), T.StructField("channels", T.ArrayType(T.ArrayType(T.DoubleType())))]))
 
 
-def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
-    """Field numbers and values of a protocol buffer message."""
-    at = 0
-
-    def varint() -> int:
-        nonlocal at
-        value = shift = 0
-        while True:
-            byte = raw[at]
-            at += 1
-            value |= (byte & 0x7F) << shift
-            shift += 7
-            if byte < 0x80:
-                return value
-
-    while at < len(raw):
-        tag = varint()
-        kind = tag & 7
-        if kind == 0:
-            yield tag >> 3, varint()
-        elif kind in (1, 5):
-            size = 8 if kind == 1 else 4
-            yield tag >> 3, raw[at : at + size]
-            at += size
-        elif kind == 2:
-            size = varint()
-            yield tag >> 3, raw[at : at + size]
-            at += size
-        else:
-            raise ValueError(f"wire type {kind}")
-
-
-def _packed(raw: bytes) -> list[int]:
-    out, value, shift = [], 0, 0
-    for byte in raw:
-        value |= (byte & 0x7F) << shift
-        shift += 7
-        if byte < 0x80:
-            out.append(value)
-            value = shift = 0
-    return out
-
-
-def parse_sentence(raw: bytes) -> dict:
-    """Texts (field 1) and semantics (field 3, each with repeated values in field 1)."""
-    out: dict = {"texts": [], "semantics": []}
-    for number, value in _fields(raw):
-        if number == 1:
-            out["texts"].append(value.decode())
-        elif number == 3:
-            values: list[int] = []
-            for n, v in _fields(value):
-                if n == 1:
-                    values += _packed(v) if isinstance(v, bytes) else [v]
-            out["semantics"].append({"values": values})
-    return out
-
-
-def packed_sentences(spark: SparkSession, path: str, pattern: str = "*.{protos,proto}", sentences_field: int = 4) -> DataFrame:
-    """``file``, ``item``, ``sentences`` of files in which each message follows its length in four bytes."""
-
-    def decode(name: str, content: bytes):
-        at, item = 0, 0
-        while at < len(content):
-            (size,) = struct.unpack_from("<I", content, at)
-            body = content[at + 4 : at + 4 + size]
-            if len(body) < size:
-                raise ValueError(f"cut off: {name}")
-            yield name, item, [parse_sentence(v) for n, v in _fields(body) if n == sentences_field]
-            at, item = at + 4 + size, item + 1
-
-    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("item", T.IntegerType()), T.StructField("sentences", T.ArrayType(schemas.SENTENCE))])
-    return _decoded(_binary(spark, path, pattern), decode, schema)
-
-
 def listed_order(path: Column) -> list[Column]:
     """Files of the longer suffix by path, then those of the shorter one."""
     return [F.when(path.endswith(".protos"), 0).otherwise(1), path]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources import archives, json_arrays
+from millrace.sources import archives, framed, json_arrays
 
 
 def tar(path, fmt, rng, n=200):
@@ -154,3 +154,28 @@ def test_broken_documents_are_errors(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text)
     with pytest.raises(Exception, match="cut off|not one array|behind its end"):
         json_arrays.elements(spark, str(tmp_path), block_bytes=3).collect()
+
+
+def test_framed_files_in_pieces(spark, tmp_path):
+    rng = random.Random(8)
+    files = {}
+    for k in range(3):
+        items = [[([rng.choice(NASTY)] * rng.randrange(3), [[rng.randrange(1 << 31) for _ in range(rng.randrange(4))]] * rng.randrange(3)) for _ in range(rng.randrange(5))] for _ in range((1, 0, 300)[k])]
+        bodies = [b"".join(framed._part(4, framed.sentence_message(*s)) for s in item) + framed._part(9, b"other") for item in items]
+        (tmp_path / f"{k}.protos").write_bytes(b"".join(len(b).to_bytes(4, "little") + b for b in bodies))
+        files[f"{k}.protos"] = items
+    pieces = framed.frame_pieces(spark, str(tmp_path), piece_bytes=500)
+    assert pieces.count() > 10 and pieces.agg(F.sum("n")).first()[0] == sum(map(len, files.values()))
+    got = framed.packed_sentences(spark, str(tmp_path), piece_bytes=500)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    want = {(f, i): [{"texts": t, "semantics": [{"values": v} for v in s]} for t, s in item] for f, items in files.items() for i, item in enumerate(items)}
+    assert {(os.path.basename(r.file), r.item): [s.asDict(recursive=True) for s in r.sentences] for r in got.collect()} == want
+    texts = framed.packed_sentences(spark, str(tmp_path), columns=("texts",))
+    assert texts.schema["sentences"].dataType.elementType.names == ["texts"]
+    assert {(os.path.basename(r.file), r.item): r.n_sentences for r in framed.sentence_counts(spark, str(tmp_path)).collect()} == {k: len(v) for k, v in want.items()}
+    whole = (tmp_path / "2.protos").read_bytes()
+    for cut in (1, 3, len(whole) - 1):
+        (tmp_path / "cut").mkdir(exist_ok=True)
+        (tmp_path / "cut" / "c.protos").write_bytes(whole[:cut])
+        with pytest.raises(Exception, match="cut off"):
+            framed.frame_pieces(spark, str(tmp_path / "cut")).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.plans import jobs
-from millrace.sources import archives, files, sinks
+from millrace.sources import archives, files, framed, sinks
 from millrace.streaming import watch
 
 
@@ -84,7 +84,7 @@ def test_packed_sentences(spark, tmp_path):
     sentence = _message(1, "ខ្ញុំ".encode()) + _message(3, _message(1, bytes([5, 0x96, 0x01]))) + _message(3, bytes([8, 7]))
     items = [_message(1, b"src") + _message(4, sentence) + _message(4, _message(1, b"no codes")), b""]
     put(tmp_path / "x" / "a.protos", b"".join(struct.pack("<I", len(i)) + i for i in items))
-    got = files.packed_sentences(spark, str(tmp_path))
+    got = framed.packed_sentences(spark, str(tmp_path))
     assert [len(r.sentences) for r in got.orderBy("item").collect()] == [2, 0]
     (row,) = files.with_codes(got, 5).collect()
     assert row.texts == ["ខ្ញុំ"] and [s["values"] for s in row.semantics] == [[5, 150], [7]]
@@ -92,7 +92,7 @@ def test_packed_sentences(spark, tmp_path):
     assert tuple(jobs.spot_check(spark, str(tmp_path), 3).first()) == (1, 1, 0)
     put(tmp_path / "y" / "b.protos", struct.pack("<I", 9) + b"ab")
     with pytest.raises(Exception, match="cut off"):
-        files.packed_sentences(spark, str(tmp_path / "y")).collect()
+        framed.packed_sentences(spark, str(tmp_path / "y")).collect()
 
 
 def test_settings(tmp_path):

@@ -12,7 +12,7 @@
    Aho-Corasick automaton of phrases guarded by spaces on both sides, which shards of
    the corpus are run through; words stand between single spaces and a line feed of
    its own between pieces, so overlapping matches count and none crosses a border.
-   Counts are summed by task and then by phrase: they are exact, the sketch only
+   Counts are summed by task and then over tasks: they are exact, the sketch only
    keeps rare phrases out of the automata.
 4. Scores, dominated phrases and ranks are joins and windows over the counts.
 
@@ -43,6 +43,8 @@ from millrace.llm.common import release, staged, work_path
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Counters of a row of the sketch at most, how full they are on average in parts of the least count, counters of a slice.
 MOST_CELLS, LOAD, SLICE = 1 << 24, 0.4, 1 << 15
+#: Counts of phrases that tasks send together.
+COUNTERS = 1 << 12
 #: Bytes of phrases of an automaton, of all automata that tasks get at a time, and of text that is handled at once.
 BLOCK_BYTES, ROUND_BYTES, GROUP = 4 << 20, 8 << 20, 1 << 20
 #: Tasks that scan the corpus, for each core of the cluster, and phrases or words that a task holds.
@@ -265,8 +267,8 @@ def guarded(tokens: list[bytes]) -> str:
     return f" {b' '.join(tokens).replace(_END, b'\n').decode()} "
 
 
-def matches(corpus: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
-    """``lang``, ``phrase`` and ``f``, the occurrences that a task has counted."""
+def matches(corpus: DataFrame, phrases: dict[str, list[str]], least: int) -> DataFrame:
+    """``lang``, ``phrase`` and ``f`` of the phrases that occur often enough: counters of a task go on in slices, like those of the sketch."""
     shared = corpus.sparkSession.sparkContext.broadcast(phrases)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,12 +290,22 @@ def matches(corpus: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
             for lang, held in waiting.items():
                 tally(automata[lang], held, counts[lang])
         for lang, found in counts.items():
-            at = np.flatnonzero(found)
-            for i in range(0, len(at), 1 << 16):
-                part = at[i : i + (1 << 16)].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([shared.value[lang][j] for j in part], pa.string()), pa.array(found[part], pa.int64())], ["lang", "phrase", "f"])
+            for i in range(0, len(found), COUNTERS):
+                if (part := found[i : i + COUNTERS]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["lang", "slice", "counts"])
 
-    return corpus.mapInArrow(scan, "lang string, phrase string, f bigint")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, i, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(counts, np.int64)
+                sums[lang, i] = sums[lang, i] + part if (lang, i) in sums else part
+        for (lang, i), found in sums.items():
+            at = np.flatnonzero(found >= least).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([shared.value[lang][i + j] for j in at], pa.string()), pa.array(found[at], pa.int64())], ["lang", "phrase", "f"])
+
+    slices = corpus.mapInArrow(scan, "lang string, slice bigint, counts binary").repartition("lang", "slice")
+    return slices.mapInArrow(add, "lang string, phrase string, f bigint")
 
 
 def tally(machine, tokens: list[bytes], counts: np.ndarray) -> None:
@@ -331,7 +343,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         phrases: dict[str, list[str]] = {}
         for r in dealt.where(F.col("round") == k).select("lang", "phrase").collect():
             phrases.setdefault(r["lang"], []).append(r["phrase"])
-        matches(corpus.where(F.col("lang").isin(list(phrases))), phrases).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least).write.mode("append").parquet(counted)
+        matches(corpus.where(F.col("lang").isin(list(phrases))), phrases, least).write.mode("append").parquet(counted)
     release(named, dealt)
     return spark.read.schema(empty.schema).parquet(counted), totals
 

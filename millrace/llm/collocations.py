@@ -30,6 +30,7 @@ behind it, in the sketch and in the candidates; automata keep their state over c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +43,21 @@ from millrace.llm.common import release, staged, work_path
 #: Words of a phrase at most, its least count, and rows of the result for each language.
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Counters of a row of the sketch at most, how full they are on average in parts of the least count, counters of a slice.
-MOST_CELLS, LOAD, SLICE = 1 << 24, 0.4, 1 << 15
+MOST_CELLS, LOAD, SLICE = 1 << 25, 0.4, 1 << 15
 #: Counts of phrases that tasks send together.
 COUNTERS = 1 << 12
 #: Bytes of phrases of an automaton, of all automata that tasks get at a time, and of text that is handled at once.
 BLOCK_BYTES, ROUND_BYTES, GROUP = 4 << 20, 8 << 20, 1 << 20
-#: Tasks that scan the corpus, for each core of the cluster, and phrases or words that a task holds.
-TASKS, HELD = 4, 1 << 20
+#: Tasks that scan the corpus, for each core of the cluster, at most, bytes of text below which one a core is enough, and words or phrases that a task holds.
+TASKS, TASK_BYTES, HELD = 4, 1 << 30, 1 << 18
+#: Counters stop there, and so many are raised at a time that none can wrap.
+_FULL = 1 << 15
 
 #: Byte that stands for the end of a piece; no UTF-8 text has it.
 _END = b"\xff"
 _FOLD = bytes(0xFF if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_VALUE = itemgetter(1)
 _ROWS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -146,18 +150,29 @@ class Grams:
             yield k, at, h, ((h * _ROWS[0]) >> self.shift, (h * _ROWS[1]) >> self.shift)
 
 
-def _corpus(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def _corpus(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFrame:
     """``text`` and ``lang``, in a bounded number of tasks, since each sends a sketch or counts of its own."""
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
-    return docs.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).coalesce(cores * max(1, min(TASKS, size // (cores * TASK_BYTES))))
+
+
+def raise_all(row: np.ndarray, places: np.ndarray) -> None:
+    """Add one at every place; counters stop above any least count of the sketch."""
+    for i in range(0, len(places), _FULL):
+        part = places[i : i + _FULL].astype(np.int64)
+        np.add.at(row, part, np.uint16(1))
+        row[part] = np.minimum(row[part], np.uint16(_FULL - 1))
 
 
 def hot_cells(corpus: DataFrame, cells: int, least: int, shares: int, share: int) -> list[np.ndarray]:
     """For both rows of the sketch, one bit a counter: whether it reaches ``least``."""
-    small = np.uint8 if least < 256 else np.uint32
+    if not 0 < least < _FULL:
+        raise ValueError(f"the least count lies between 1 and {_FULL - 1}: {least}")
+    small = np.uint8 if least < 256 else np.uint16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, rows, any_ = Grams(cells, shares, share), np.zeros((2, cells), np.uint32), False
+        grams, rows, any_ = Grams(cells, shares, share), np.zeros((2, cells), np.uint16), False
         for group in groups(batches, grams.names):
             any_ = True
             for _, _, _, places in grams.of(*group):
@@ -208,15 +223,15 @@ def candidates(corpus: DataFrame, hot: list[np.ndarray], cells: int, shares: int
                 on = _set(shared.value[0], places[0]) & _set(shared.value[1], places[1])
                 at, h = at[on], h[on]
                 other = other[np.searchsorted(begin, at)]
-                order = np.lexsort((other, h))
+                order = np.argsort(h)
                 at, h, other = at[order], h[order], other[order]
                 first = np.ones(len(h), bool)
                 first[1:] = (h[1:] != h[:-1]) | (other[1:] != other[:-1])
-                for i, key in zip(at[first].tolist(), zip(h[first].tolist(), other[first].tolist())):
-                    if key not in seen:
+                for i, one, two in zip(at[first].tolist(), h[first].tolist(), other[first].tolist()):
+                    if (key := one << 64 | two) not in seen:
                         seen.add(key)
                         out.append((names[langs[i]], b" ".join(tokens[i : i + k]).decode()))
-            if len(seen) > HELD:
+            if len(seen) > 2 * HELD:
                 seen.clear()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.nulls(len(out), pa.int64())], ["lang", "phrase", "n"])
@@ -315,15 +330,15 @@ def tally(machine, tokens: list[bytes], counts: np.ndarray) -> None:
         # the part before ends in the space that this one's first phrase begins with
         text = guarded(tokens[max(0, i - WORDS + 1) : i + step])
         skip = len(guarded(tokens[i - WORDS + 1 : i])) if i else 0  # matches that end there have been counted
-        found = np.fromiter((v for end, v in machine.iter(text) if end >= skip), np.int64)
+        found = np.fromiter((v for end, v in machine.iter(text) if end >= skip) if skip else map(_VALUE, machine.iter(text)), np.int64)
         counts += np.bincount(found, minlength=len(counts))
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most_cells: int = MOST_CELLS) -> tuple[DataFrame, DataFrame]:
     """Tables of ``lang``, ``phrase``, ``f`` for all phrases of at least ``least`` occurrences, and of ``lang``, ``n``, its words."""
     spark: SparkSession = docs.sparkSession
-    corpus = _corpus(docs, text_col, lang_col)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint"))).first()[0] or 0
+    corpus = _corpus(docs, text_col, lang_col, size)
     wanted = WORDS * size / 5 / (LOAD * least)  # five bytes a word, or somewhat more
     cells = max(SLICE, min(most_cells, 1 << (max(1, int(wanted)) - 1).bit_length()))
     shares = max(1, -(-int(wanted) // cells))

@@ -87,7 +87,7 @@ def test_equals_plain_code(spark, monkeypatch, seed, group, cells, block):
 
 def test_a_full_sketch_lets_more_through(spark, monkeypatch):
     monkeypatch.setattr(m, "SLICE", 8)
-    corpus = m._corpus(spark.createDataFrame(drawn(4), "text string, lang string"), "text", "lang")
+    corpus = m._corpus(spark.createDataFrame(drawn(4), "text string, lang string"), "text", "lang", 0)
     hot = m.hot_cells(corpus, 16, 6, 1, 0)
     loose = {(r.lang, r.phrase) for r in m.candidates(corpus, hot, 16, 1, 0).where("phrase is not null").collect()}
     counts, _ = plain_counts(drawn(4))
@@ -122,6 +122,13 @@ def test_long_texts(spark):
     assert got(m.collocations(df)) == plain(rows, 100, 2000)
 
 
+def test_counters_stop(monkeypatch):
+    """Sixteen bits don't wrap, however often a place is raised."""
+    row = np.zeros(4, np.uint16)
+    m.raise_all(row, np.array([2] * 200_000 + [1] * 3, np.uint64))
+    assert row.tolist() == [0, 3, m._FULL - 1, 0]
+
+
 def test_overlaps_across_parts(monkeypatch):
     monkeypatch.setattr(m, "GROUP", 8 * 7)
     phrases = ["a", "a a", "a a a a a", "a b"]

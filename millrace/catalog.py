@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schemas
-from millrace.functions import arrays, numeric, text, tokens
-from millrace.operators import batches, cache, checkpoints, conversion, metrics, scores, shards, splits, staging, validate
+from millrace.functions import arrays, numeric, signal, text, tokens
+from millrace.operators import batches, cache, checkpoints, conversion, losses, metrics, scores, shards, splits, staging, validate
 from millrace.sources import archives, files, framed, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -542,6 +542,41 @@ def mono_mix(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(m, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
+def _resample_sql(old: int, new: int) -> str:
+    """Every output sample as a sum over all input samples, each weighed by a sinc under a Hann window."""
+    t = f"(i / {old}::DOUBLE - j / {new}::DOUBLE) * {min(old, new)} * 0.99"
+    x = f"pi() * ({t})"
+    return f"""SELECT vec_id, {new} AS rate, len(y)::BIGINT AS n, round(list_sum(y), 4) + 0.0 AS total, round(list_sum(list_transform(range(1, len(y) + 1), lambda k: y[k] * k)), 2) + 0.0 AS moment
+        FROM (SELECT vec_id, list_transform(range(0, (len(embedding) * {new} + {old} - 1) // {old}), lambda j: list_sum(list_transform(range(0, len(embedding)), lambda i:
+            CASE WHEN abs({t}) >= 6 THEN 0 ELSE embedding[i + 1]::DOUBLE * (CASE WHEN {t} = 0 THEN 1 ELSE sin({x}) / ({x}) END) * cos({x} / 12) ** 2 * {min(old, new)} * 0.99 / {old} END))) AS y FROM embeddings)"""
+
+
+@query(f"{_resample_sql(16000, 24000)} UNION ALL {_resample_sql(44100, 32000)}")
+def resample(spark, sf_dir):
+    """Embeddings as signals of 16 and 44.1 kHz, taken to 24 and 32 kHz."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.inline(F.array(*(F.struct(F.lit(new).alias("rate"), signal.resampled(F.col("embedding"), old, new).alias("y")) for old, new in ((16_000, 24_000), (44_100, 32_000))))))
+    total = F.aggregate("y", F.lit(0.0), lambda s, x: s + x)
+    moment = F.aggregate(F.transform("y", lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", "rate", F.size("y").cast("bigint").alias("n"), F.round(total, 4).alias("total"), F.round(moment, 2).alias("moment"))
+
+
+@query("""WITH r AS (SELECT vec_id, label AS g, list_transform(embedding, lambda x: x::DOUBLE * 20) AS z, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE vec_id % 64 END AS y, vec_id % 7 AS c FROM embeddings),
+    e AS (SELECT g, CASE WHEN y <> -100 THEN ln(list_sum(list_transform(z, lambda x: exp(x)))) - z[y + 1] END AS base,
+        CASE WHEN y BETWEEN 20 AND 50 THEN list_filter([ln(list_sum(list_transform(z[1:32], lambda x: exp(x)))) - z[c + 1], CASE WHEN c <> 3 THEN ln(list_sum(list_transform(z[33:64], lambda x: exp(x)))) - z[33 + 2 * c] END], lambda x: x IS NOT NULL) END AS codes FROM r)
+    SELECT g AS label, count(base) AS n_tokens, coalesce(sum(len(codes)), 0)::BIGINT AS n_codes, round(sum(base) / count(base), 6) AS base_loss, round(sum(list_sum(codes)) / sum(len(codes)), 6) AS semantic_loss,
+        round(sum(base) / count(base) + sum(list_sum(codes)) / sum(len(codes)), 6) AS loss FROM e GROUP BY g""")
+def masked_loss(spark, sf_dir):
+    """Embeddings as logits of 64 tokens and of two codebooks; ids divisible by 5 have an ignored label."""
+    k, c = F.col("vec_id"), (F.col("vec_id") % 7).cast("int")
+    z = F.transform("embedding", lambda x: x.cast("double") * 20)
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("g"), z.alias("token_logits"), F.when(k % 5 == 0, -100).otherwise((k % 64).cast("int")).alias("label"),
+        F.array(F.slice(z, 1, 32), F.slice(z, 33, 32)).alias("codebook_logits"), F.array(c, F.when(c == 3, -100).otherwise(2 * c)).alias("codebook_labels"),
+    )
+    found = losses.masked_loss(rows, 20, 50, "g").withColumnRenamed("g", "label")
+    return found.withColumns({x: F.round(x, 6) for x in ("base_loss", "semantic_loss", "loss")})
+
+
 @query("SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:turn + 3], ' ') || '|' || array_to_string(list_reverse(string_split(text, ' '))[1:turn + 3], ' ') AS codes FROM conversations")
 def trim_codes(spark, sf_dir):
     w = F.split("text", " ", -1)

@@ -424,6 +424,30 @@ def metadata_diff(spark, sf_dir):
     return checkpoints.differences(saved, side(F.when(F.col("n_nationkey") % 5 == 0, "a2").otherwise("a1"), F.col("n_name")), "n_nationkey")
 
 
+def _permutation_sql(n: str, keys: list[tuple[int, int, int]]) -> str:
+    """Rounds of the permutation over (``l``, ``r``) on a grid of ``a`` by ``b`` for ``n`` places, until all are below ``n``."""
+    move = lambda x, k: f"(({x} * {keys[k][0]} + {keys[k][1]}) % 2147483647 * {keys[k][2]} % 2147483629)"
+    steps = "SELECT ordinal, p // b AS l, p % b AS r, a, b, n FROM walked WHERE p >= n"
+    for k in range(len(keys)):
+        steps = f"SELECT ordinal, (l + {move('r', k)}) % a AS l, r, a, b, n FROM ({steps})" if k % 2 == 0 else f"SELECT ordinal, l, (r + {move('l', k)}) % b AS r, a, b, n FROM ({steps})"
+    first = steps.replace("FROM walked WHERE p >= n", "FROM started")
+    # the grid side is the root of n, rounded up
+    return f"""started AS (SELECT ordinal, ordinal AS p, ceil(sqrt(n))::BIGINT AS a, ((n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT) AS b, n FROM ({n})),
+        walked(ordinal, p, a, b, n) AS (SELECT ordinal, l * b + r, a, b, n FROM ({first}) UNION ALL SELECT ordinal, l * b + r, a, b, n FROM ({steps})), placed AS (SELECT ordinal, p, n FROM walked WHERE p < n)"""
+
+
+RANKS, SEED, EPOCH = 7, 5, 3
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS ordinal, count(*) OVER () AS n FROM events),
+    {_permutation_sql("SELECT ordinal, n FROM e", batches.permutation_keys(1, SEED, EPOCH)[2])}
+    SELECT event_id, (q % {RANKS})::INT AS rank, q // {RANKS} AS step FROM (SELECT event_id, unnest(range(p, (n + {RANKS} - 1) // {RANKS} * {RANKS}, n)) AS q FROM placed JOIN (SELECT event_id, ordinal FROM e) USING (ordinal))""")
+def rank_shares(spark, sf_dir):
+    """Events dealt to seven ranks in an epoch's order, equally many to each."""
+    rows = batches.ordinals(table(spark, sf_dir, "events").select("event_id"), "event_id")
+    return batches.rank_shares(rows, "ordinal", rows.count(), RANKS, SEED, EPOCH).select("event_id", "rank", "step")
+
+
 @query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM conversations),
     n AS (SELECT conv_id, max(len(ids)) AS longest FROM t GROUP BY conv_id), p AS (SELECT conv_id, turn, ids, (ceil(longest / 8.0) * 8)::INT AS padded FROM t JOIN n USING (conv_id))
     SELECT conv_id, turn, padded AS padded_length, sha256(array_to_string(list_concat(ids, list_transform(range(padded - len(ids)), lambda x: 0)), ',')) AS input_sha256,

@@ -265,3 +265,49 @@ def test_ties_of_reasons_stand_in_the_order_of_the_manifest(spark, tmp_path):
     found = validate.validate(files.manifest(spark, f"{tmp_path}/m.json", place="place", block_bytes=16), place="place")
     assert validate.report(found, "place").first().report == "0/3 samples passed validation.\n  empty_text: 1\n  missing_audio_path: 1\n  audio_too_short: 1"
     assert [r.reason for r in validate.summary(found, "place").collect()] == ["empty_text", "missing_audio_path", "audio_too_short"]
+
+
+def plain_places(n, seed, epoch):
+    """The permutation over all ordinals, by its own loop."""
+    import numpy as np
+
+    a, b, keys = batches.permutation_keys(n, seed, epoch)
+    todo, places = np.arange(n), np.arange(n)
+    steps = 0
+    while len(todo):
+        x = places[todo]
+        left, right = x // b, x % b
+        for k, (u, v, w) in enumerate(keys):
+            hashed = lambda y: (y * u + v) % (2**31 - 1) * w % (2**31 - 19)  # noqa: B023, E731
+            left, right = ((left + hashed(right)) % a, right) if k % 2 == 0 else (left, (right + hashed(left)) % b)
+        places[todo] = left * b + right
+        todo = todo[places[todo] >= n]
+        steps += 1
+    return places, steps
+
+
+def test_every_size_is_permuted():
+    import numpy as np
+
+    for n in range(1, 5001):
+        places, steps = plain_places(n, n % 7, n % 3)
+        assert steps <= batches._WALKS and (np.bincount(places, minlength=n) == 1).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 17, 1000, 4093])
+def test_the_expression_is_that_permutation(spark, n):
+    got = spark.range(n).select("id", batches.shuffled_place(F.col("id"), n, 4, 2).alias("p")).collect()
+    want, _ = plain_places(n, 4, 2)
+    assert {r.id: r.p for r in got} == dict(enumerate(want.tolist()))
+    other = spark.range(n).select(batches.shuffled_place(F.col("id"), n, 4, 3).alias("p")).collect()
+    assert n < 10 or [r.p for r in other] != want.tolist()
+
+
+@pytest.mark.parametrize("n,ranks", [(0, 3), (1, 4), (10, 1), (10, 3), (5, 13), (100, 8)])
+def test_ranks_get_equal_shares(spark, n, ranks):
+    got = batches.rank_shares(spark.range(n), "id", n, ranks, 1, 1)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    each = -(-n // ranks)
+    assert sorted((r["rank"], r.step) for r in rows) == [(k, i) for k in range(ranks) for i in range(each)]
+    assert {r.id for r in rows} == set(range(n)) and len(rows) - n < ranks

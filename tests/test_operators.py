@@ -311,3 +311,31 @@ def test_ranks_get_equal_shares(spark, n, ranks):
     each = -(-n // ranks)
     assert sorted((r["rank"], r.step) for r in rows) == [(k, i) for k in range(ranks) for i in range(each)]
     assert {r.id for r in rows} == set(range(n)) and len(rows) - n < ranks
+
+
+def test_chains_inside_a_part():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 50, 400):
+        sizes = rng.integers(0, 21, n)
+        begun, used = shards.chains(sizes, 20)
+        for j in range(n):
+            starts = shards.next_fit(sizes[j:], 20)
+            assert (begun[j], used[j]) == (len(starts) + 1, sizes[j + (starts[-1] if starts else 0) :].sum())
+
+
+def test_many_parts_equal_one_walk(spark):
+    """Parts of a few shards each, also very uneven ones."""
+    import hashlib
+    import random
+
+    rng = random.Random(9)
+    for rows in ([(f"c{i}", float(rng.choice([0, 1, 2, 3, 19, 20]))) for i in range(3000)], [(f"c{i}", 20.0 if i % 500 == 0 else 0.0) for i in range(3000)]):
+        want, used, shard = {}, 0, 0
+        for c, d in sorted(rows, key=lambda x: hashlib.sha256(x[0].encode()).hexdigest()):
+            if used + d > 20:
+                shard, used = shard + 1, 0
+            want[c], used = shard, used + d
+        got = {r.clip_id: r.shard for r in shards.plan_shards(spark.createDataFrame(rows, "clip_id string, duration_seconds double"), 20, 1.0, partition_clips=40).collect()}
+        assert got == want

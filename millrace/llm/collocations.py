@@ -10,7 +10,7 @@
 3. Candidates of a language are dealt into blocks of at most ``BLOCK_BYTES``, which
    go to the tasks in rounds of at most ``ROUND_BYTES``.  Each block compiles into an
    Aho-Corasick automaton of phrases guarded by spaces on both sides, which shards of
-   the corpus are run through; words stand between single spaces and a line feed of
+   the corpus are run through; words stand between single spaces and a full stop of
    its own between pieces, so overlapping matches count and none crosses a border.
    Counts are summed by task and then over tasks: they are exact, the sketch only
    keeps rare phrases out of the automata.
@@ -34,6 +34,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,37 +49,36 @@ MOST_CELLS, LOAD, SLICE = 1 << 25, 0.4, 1 << 15
 COUNTERS = 1 << 12
 #: Bytes of phrases of an automaton, of all automata that tasks get at a time, and of text that is handled at once.
 BLOCK_BYTES, ROUND_BYTES, GROUP = 4 << 20, 8 << 20, 1 << 20
-#: Tasks that scan the corpus, for each core of the cluster, at most, bytes of text below which one a core is enough, and words or phrases that a task holds.
-TASKS, TASK_BYTES, HELD = 4, 1 << 30, 1 << 18
+#: Tasks that scan the corpus, for each core of the cluster, at most, bytes of text below which one a core is enough, and phrases that a task remembers.
+TASKS, TASK_BYTES, HELD = 4, 1 << 30, 1 << 19
 #: Counters stop there, and so many are raised at a time that none can wrap.
 _FULL = 1 << 15
 
-#: Byte that stands for the end of a piece; no UTF-8 text has it.
-_END = b"\xff"
-_FOLD = bytes(0xFF if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Stands for the end of a piece, as a word of its own; no word has that character.
+_END = b"."
+_FOLD = bytes(0x2E if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _VALUE = itemgetter(1)
 _ROWS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
-def tokens_of(raw: bytes) -> list[bytes]:
-    """Words of a text; an end mark stands between pieces."""
-    return raw.translate(_FOLD).replace(_END, b" \xff ").split()
+def spaced(raw: bytes) -> bytes:
+    """A text with an end mark between spaces for each character that ends a piece."""
+    return raw.translate(_FOLD).replace(_END, b" . ")
 
 
-class Hashes(dict):
-    """Two 64-bit hashes of each word; end marks have 0."""
+def tokens_of(raw: bytes) -> list[bytes]:
+    """Words and end marks of a text."""
+    return spaced(raw).split()
 
-    def __init__(self, seed: int):
-        super().__init__({_END: 0})
-        self.seed = seed
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-            self[_END] = 0
-        h = self[word] = xxhash.xxh64_intdigest(word, self.seed) or 1
-        return h
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word; end marks have 0. Each different word is hashed once."""
+    coded = words.dictionary_encode()
+    known = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_numpy(zero_copy_only=False))), np.uint64).reshape(-1, 2) | np.uint64(1)
+    known[pc.is_in(coded.dictionary, pa.array(["", "."])).to_numpy(zero_copy_only=False)] = 0
+    both = known[coded.indices.to_numpy()]
+    return both[:, 0], both[:, 1]
 
 
 def phrase_hashes(words: np.ndarray, seeds: np.ndarray, mix: np.uint64, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,52 +96,58 @@ def phrase_hashes(words: np.ndarray, seeds: np.ndarray, mix: np.uint64, size: in
         yield at, h * mix
 
 
-def groups(batches: Iterator[pa.RecordBatch], names: dict[str, int]) -> Iterator[tuple[list[bytes], np.ndarray, int]]:
-    """Tokens of some texts together with the number of each one's language, and how many of them phrases may begin at.
+def groups(batches: Iterator[pa.RecordBatch], names: dict[str, int]) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
+    """Words and end marks of some texts together, the number of each one's language, and how many of them phrases may begin at.
 
     ``names`` gets the languages in the order of their numbers.
     """
     most = GROUP // 8
-    tokens: list[bytes] = []
-    lengths: list[tuple[int, int]] = []
-    whole = lambda: np.repeat([x[0] for x in lengths], [x[1] for x in lengths])
+    held: list[bytes] = []
+    numbers: list[int] = []
+    size = 0
+
+    def flat() -> tuple[pa.Array, np.ndarray, int]:
+        lists = pc.ascii_split_whitespace(pa.array(held, pa.string()))
+        words = lists.flatten()
+        return words, np.repeat(numbers, pc.list_value_length(lists).to_numpy()), len(words)
+
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1)):
             if not text.is_valid:
                 continue
             number = names.setdefault(lang.as_py(), len(names))
-            words = tokens_of(text.as_py().encode())
-            while len(words) > most:  # phrases begin in the part and may end behind it
-                part, words = words[: most + WORDS - 1], words[most:]
-                yield part, np.full(len(part), number), most
-            tokens += words
-            tokens.append(_END)
-            lengths.append((number, len(words) + 1))
-            if len(tokens) > most:
-                yield tokens, whole(), len(tokens)
-                tokens, lengths = [], []
-    if tokens:
-        yield tokens, whole(), len(tokens)
+            raw = spaced(text.as_py().encode()) + b" ."
+            if len(raw) > GROUP:  # alone, in parts: phrases begin in a part and may end behind it
+                words = pc.ascii_split_whitespace(pa.array([raw], pa.large_string())).flatten()
+                for i in range(0, len(words), most):
+                    part = words[i : i + most + WORDS - 1].cast(pa.string())
+                    yield part, np.full(len(part), number), most
+                continue
+            held.append(raw)
+            numbers.append(number)
+            size += len(raw)
+            if size > GROUP:
+                yield flat()
+                held, numbers, size = [], [], 0
+    if held:
+        yield flat()
 
 
 class Grams:
-    """All phrases of groups of tokens, by their hashes."""
+    """All phrases of groups of words, by their hashes."""
 
     def __init__(self, cells: int, shares: int, share: int):
-        self.words = (Hashes(1), Hashes(2))
         self.names: dict[str, int] = {}
         self.seeds = np.zeros(0, np.uint64)
         self.shift, self.shares, self.share = np.uint64(64 - (cells.bit_length() - 1)), np.uint64(shares), np.uint64(share)
 
-    def hashed(self, tokens: list[bytes], langs: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-        words = np.fromiter(map(self.words[which].__getitem__, tokens), np.uint64, len(tokens))
+    def seeds_of(self, langs: np.ndarray) -> np.ndarray:
         if len(self.seeds) < len(self.names):
             self.seeds = np.array([xxhash.xxh64_intdigest(name.encode(), 3) for name in self.names], np.uint64)
-        return words, self.seeds[langs]
+        return self.seeds[langs]
 
-    def of(self, tokens: list[bytes], langs: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    def of(self, words: np.ndarray, seeds: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
         """For each number of words: where phrases of this share begin, their hashes, and their counters."""
-        words, seeds = self.hashed(tokens, langs, 0)
         for k, (at, h) in enumerate(phrase_hashes(words, seeds, _MIX[0], WORDS), 1):
             on = at < most
             if self.shares > 1:
@@ -173,9 +179,9 @@ def hot_cells(corpus: DataFrame, cells: int, least: int, shares: int, share: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, rows, any_ = Grams(cells, shares, share), np.zeros((2, cells), np.uint16), False
-        for group in groups(batches, grams.names):
+        for words, langs, most in groups(batches, grams.names):
             any_ = True
-            for _, _, _, places in grams.of(*group):
+            for _, _, _, places in grams.of(word_hashes(words)[0], grams.seeds_of(langs), most):
                 for row, place in zip(rows, places):
                     np.add.at(row, place.astype(np.int64), np.uint32(1))
         step = min(SLICE, cells)
@@ -210,12 +216,12 @@ def candidates(corpus: DataFrame, hot: list[np.ndarray], cells: int, shares: int
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, seen, totals = Grams(cells, shares, share), set(), np.zeros(0, np.int64)
-        for tokens, langs, most in groups(batches, grams.names):
+        for words, langs, most in groups(batches, grams.names):
             names = list(grams.names)
-            second, seeds = grams.hashed(tokens, langs, 1)
+            (hashes, second), seeds = word_hashes(words), grams.seeds_of(langs)
             others = phrase_hashes(second, seeds, _MIX[1], WORDS)
             out: list[tuple[str, str]] = []
-            for (k, at, h, places), (begin, other) in zip(grams.of(tokens, langs, most), others):
+            for (k, at, h, places), (begin, other) in zip(grams.of(hashes, seeds, most), others):
                 if k == 1:
                     more = np.bincount(langs[begin[begin < most]], minlength=len(names))
                     more[: len(totals)] += totals
@@ -230,8 +236,8 @@ def candidates(corpus: DataFrame, hot: list[np.ndarray], cells: int, shares: int
                 for i, one, two in zip(at[first].tolist(), h[first].tolist(), other[first].tolist()):
                     if (key := one << 64 | two) not in seen:
                         seen.add(key)
-                        out.append((names[langs[i]], b" ".join(tokens[i : i + k]).decode()))
-            if len(seen) > 2 * HELD:
+                        out.append((names[langs[i]], " ".join(words[i : i + k].to_pylist())))
+            if len(seen) > HELD:
                 seen.clear()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.nulls(len(out), pa.int64())], ["lang", "phrase", "n"])
@@ -278,8 +284,8 @@ def automaton(phrases: list[str]):
 
 
 def guarded(tokens: list[bytes]) -> str:
-    """Words between single spaces, and a line feed of its own between pieces."""
-    return f" {b' '.join(tokens).replace(_END, b'\n').decode()} "
+    """Words between single spaces, and an end mark of its own between pieces."""
+    return f" {b' '.join(tokens).decode()} "
 
 
 def matches(corpus: DataFrame, phrases: dict[str, list[str]], least: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags.  The first pass labels each
 block from its place in the page, its length, its link density and the share
-of stop words of the page's own language: good, bad, or ambiguous (short, or
-neither clearly prose nor clearly boilerplate).  In the second pass each
+of stop words of the page's own language: good, bad, or ambiguous (short, mostly
+linked within the article, or neither clearly prose nor clearly boilerplate).  In the second pass each
 ambiguous block takes the label of the nearest decided block, first of those
 in the same article, then of the page; where both sides are equally near and
 disagree, the block is bad unless it stands in the article.  Where no block of
@@ -64,6 +64,10 @@ MARKS = frozenset(
 )
 # Those of them that a wrapper of the whole page bears for what stands beside the text.
 BESIDE = frozenset("ad ads sidebar sidebars widget widgets nav navbar navigation menu menus header masthead topbar toolbar banner banners share sharing social".split())
+# Those of them that are also what a text can be about, so that a longer name tells of its topic.
+TOPICS = frozenset("notice notices alert legal copyright disclaimer discussion social related consent".split())
+# Words of which a short block beside the article with two different ones asks for consent.
+ASKING = frozenset("cookie cookies consent gdpr privacy accept preferences datenschutz zustimmung akzeptieren einwilligung confidentialité consentement accepter privacidad consentimiento aceptar".split())
 # First words of names that say what an element has or lacks, not what it is.
 HAVING = frozenset("has have with without no".split())
 # Words in class or id names that mark the main column.
@@ -73,6 +77,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_RIGHTS = re.compile(r"\W*(?:©|\(c\)|copyright\b(?=.{0,20}(?:©|\(c\)|\d{4})))", re.I | re.S)
 _STOPS = {k: frozenset(v) for k, v in STOP_WORDS.items()}
 GOOD, BAD, AMBIGUOUS = 1, 0, -1
 
@@ -112,7 +117,9 @@ def _marked(raw: str) -> bool | frozenset[str] | None:
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I):
         return True
     parts = [[w.lower() for w in _NAME.findall(x)] for k in ("class", "id") if k in a for x in a[k].split()]
-    names = frozenset(w for x in parts if x and x[0] not in HAVING for w in x)
+    # "notice-of-award" is about notices; "cookie-notice" and "notice-bar" are some
+    topical = lambda x: MARKS.intersection(x) <= TOPICS and len(MARKS.symmetric_difference(x) - MARKS) > 1
+    names = frozenset(w for x in parts if x and x[0] not in HAVING and not topical(x) for w in x)
     return names & MARKS or (None if a.get("role", "").lower() == "main" or not names.isdisjoint(COLUMN) else False)
 
 
@@ -288,10 +295,14 @@ def label(blocks: list[Block], marks: list[Mark]) -> list[bool]:
     for b, w, p in zip(blocks, words, place):
         size = len(b.text)
         density = FEW_STOPS if stops is None else sum(x in stops for x in w) / len(w) if w else 0.0
-        if b.outside or framed and not p or b.linked > LINKED * size:
+        if b.outside or framed and not p or b.linked > LINKED * size and not p:
             first.append(BAD)
-        elif size < LONG and ("©" in b.text[:3] or b.text[:9].lower() == "copyright"):
+        elif size < LONG and (_RIGHTS.match(b.text) or not p and b.text[:9].lower() == "copyright"):
             first.append(BAD)
+        elif not p and size < 2 * LONG and len(ASKING.intersection(w)) > 1:
+            first.append(BAD)
+        elif b.linked > LINKED * size:  # in the article: a linked title, a reference, a paragraph with a long link
+            first.append(AMBIGUOUS)
         elif size < SHORT:
             first.append(AMBIGUOUS)
         elif density >= MANY_STOPS and size >= LONG:

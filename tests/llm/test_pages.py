@@ -155,3 +155,27 @@ def test_records_are_standard_members():
     fields, http, payload = warc_index.parse_record(packed)
     assert packed[:2] == b"\x1f\x8b" and payload == b"body" and digest == hashlib.sha1(b"body").hexdigest()
     assert fields["warc-type"] == "response" and http.startswith(b"HTTP/1.1 200")
+
+
+LINES = "It was the best of the times and it was the worst of the times, and all that we had was in the hands of those who were with us. "
+
+
+@pytest.mark.parametrize("inner,text", [
+    (f'<h1><a href="/t">The title of it</a></h1><p>{LINES * 2}</p>', f"The title of it {LINES * 2}"),
+    (f"<h1>Title</h1><p>{LINES * 2}</p><ul><li><a href=1>First of the references, by an author</a></li><li><a href=2>Second one</a></li></ul>", f"Title {LINES * 2}First of the references, by an author Second one"),
+    (f'<p>{LINES * 2}</p><p>See <a href="/x">{LINES}</a></p>', f"{LINES * 2}See {LINES}"),
+    (f'<p><a href="/x">{LINES * 2}</a></p>', LINES * 2),
+    (f"<p>{LINES * 2}</p><p>Copyright law protects the authors of all works.</p>", f"{LINES * 2}Copyright law protects the authors of all works."),
+    (f"<p>{LINES * 2}</p><p>Copyright 2024 the owners of the page</p><p>&copy; them</p><p>Copyright (c) of us</p>", LINES * 2),
+    (f'<div class="notice-of-award"><p>{LINES * 2}</p></div><p>{LINES}</p>', f"{LINES * 2}{LINES}"),
+    (f'<p>{LINES * 2}</p><div class="cookie-notice"><p>{LINES * 2}</p></div><div class="notice-bar">{LINES}</div><div class="comments"><p>{LINES * 2}</p></div>', LINES * 2),
+])
+def test_links_rights_and_names_within_an_article(inner, text):
+    assert main_text.main_text(f"<body><nav><a href=/>Home</a></nav><article>{inner}</article><footer>Copyright us</footer></body>") == text.strip()
+
+
+def test_an_unmarked_notice_beside_the_text():
+    notice = "We and our partners use cookies to keep the site running and to show what you like; by going on you accept the use of them, and you can change your mind about it at any time in the settings of this page."
+    assert main_text.main_text(f"<body><div>{notice}</div><h2>On it</h2><p>{LINES * 2}</p><p>{LINES * 2}</p></body>") == f"On it {LINES * 2}{LINES * 2}".strip()
+    about = "The cookies of the bakery are made of butter and flour, and all that we ate of them was good for us and for those who were with us."
+    assert about in main_text.main_text(f"<body><p>{LINES * 2}</p><p>{about}</p><p>{LINES * 2}</p></body>")

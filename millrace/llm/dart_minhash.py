@@ -215,10 +215,12 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def placed_rows(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """``place`` (the same for the same id and text), ``id`` and ``text`` of each row; if asked for, the whole ``row``."""
+    """``place`` (128 bits, the same for the same id and text), ``id`` and ``text`` of each row; if asked for, the whole ``row``."""
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *row)
-    return rows.select(F.xxhash64("id", F.md5(F.col("text").cast("binary"))).alias("place"), *rows.columns)
+    named = F.when(F.col("id").isNull(), "").otherwise(F.concat(F.lit("id "), F.col("id").cast("string")))
+    held = F.concat(named, F.lit(" "), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    return rows.select(F.unhex(F.md5(held.cast("binary"))).alias("place"), *rows.columns)
 
 
 def signatures(rows: DataFrame, weighted: bool = False) -> DataFrame:
@@ -242,7 +244,7 @@ def signatures(rows: DataFrame, weighted: bool = False) -> DataFrame:
                 ["place", "id", "same", "keys"],
             )
 
-    return rows.mapInArrow(run, f"place bigint, id {dict(rows.dtypes)['id']}, same binary, keys array<bigint>")
+    return rows.mapInArrow(run, f"place binary, id {dict(rows.dtypes)['id']}, same binary, keys array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool = False) -> DataFrame:
@@ -330,13 +332,14 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
 
-def linked(reps: DataFrame, rows: DataFrame, least: float, weighted: bool) -> DataFrame:
-    """``id`` and ``label`` of every representative that has a link. ``reps``: place, keys; ``rows``: place, text."""
-    members = staged(reps.select(F.col("place").alias("id"), F.explode("keys").alias("key")), "members")
+def linked(reps: DataFrame, owners: DataFrame, rows: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """``id`` and ``label`` of every representative that has a link. ``reps``: id, keys; ``owners``: id, place; ``rows``: place, text."""
+    members = staged(reps.select("id", F.explode("keys").alias("key")), "members")
     full = staged(members.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("other")).where("b <> other").select("key", "b"), "buckets", light=True)
     open_ = staged(members.join(full, "key"), "open")
     shown = open_.select("id").distinct()
-    texts = staged(rows.select(F.col("place").alias("id"), "text").join(shown, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    wanted = staged(owners.join(shown, "id", "left_semi"), "owners", light=True)
+    texts = staged(rows.select("place", "text").join(wanted, "place").groupBy("place", "id").agg(F.min("text").alias("text")).select("id", "text"), "texts")
     release(members)
 
     candidates = open_.select(F.col("id").alias("a"), "b").where("a <> b")
@@ -401,13 +404,17 @@ def sized_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def classes(rows: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """``place``, ``id``, ``class`` (the least place of the class) and ``class_id`` (its least id) of each row of ``placed_rows``."""
+    """``place``, ``id``, ``class`` (one value for each class) and ``class_id`` (its least id) of each row of ``placed_rows``.
+
+    Sets of shingles are numbered when their table is written, so no two share a number.
+    """
     made = staged(signatures(rows, weighted), "signatures")
     known = made.where("same is not null").select("place", "id", "same")
-    sets = staged(known.groupBy("same").agg(F.min("place").alias("rep"), F.min("id").alias("least_id"), F.count("*").alias("size")), "sets", light=True)
-    reps = made.select("place", "keys").join(sets.select(F.col("rep").alias("place")), "place", "left_semi").dropDuplicates(["place"])
-    label = linked(reps, rows, least, weighted)
-    named = staged(sets.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("same", F.coalesce("label", "rep").alias("class"), "least_id", "size"), "named", light=True)
+    sets = known.groupBy("same").agg(F.min("place").alias("place"), F.min("id").alias("least_id"), F.count("*").alias("size"))
+    sets = staged(sets.withColumn("rep", F.monotonically_increasing_id()), "sets", light=True)
+    reps = made.select("same", "place", "keys").join(sets.select("same", "place", F.col("rep").alias("id")), ["same", "place"]).select("id", "keys").dropDuplicates(["id"])
+    label = linked(reps, sets.select(F.col("rep").alias("id"), "place"), rows, least, weighted)
+    named = staged(sets.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("same", F.unhex(F.lpad(F.hex(F.coalesce("label", "rep")), 16, "0")).alias("class"), "least_id", "size"), "named", light=True)
     ids = staged(named.groupBy("class").agg(F.min("least_id").alias("class_id"), F.count("*").alias("size")), "ids", light=True)
     full = staged(sized_join(named.select("same", "class", F.col("size").alias("rows")), ids, "class").select("same", "class", "class_id", F.col("rows").alias("size")), "classes", light=True)
     placed = sized_join(known, full, "same").select("place", "id", "class", "class_id")

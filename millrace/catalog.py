@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.functions import arrays, numeric, signal, text, tokens
 from millrace.operators import batches, cache, checkpoints, conversion, losses, metrics, scores, shards, splits, staging, validate
-from millrace.sources import archives, files, framed, sinks
+from millrace.sources import archives, files, framed, keyed, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -396,6 +396,22 @@ def cache_upsert(spark, sf_dir):
     return cache.last_by_key(rows, "user_id", "ts", "event_id").select("user_id", "event_type", "value", "event_id")
 
 
+SAVES = 6
+
+
+@query(_LAST)
+def cache_saves(spark, sf_dir):
+    """The events of each stretch of ids saved after the one before, each save writing its own rows alone; merged on reading."""
+    path = staging.scratch(spark, "keyed")
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    least, most = rows.agg(F.min("ts"), F.max("ts")).first()
+    ends = [least + (most - least) * k / SAVES for k in range(SAVES)]
+    for k, begin in enumerate(ends):
+        later = F.col("ts") < F.lit(ends[k + 1]) if k + 1 < SAVES else F.lit(True)
+        keyed.save(spark, rows.where((F.col("ts") >= F.lit(begin)) & later), path, "user_id", "ts", "event_id")
+    return keyed.load(spark, path, "user_id").select("user_id", "event_type", "value", "event_id")
+
+
 @query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM (SELECT DISTINCT user_id FROM events)")
 def cache_merge(spark, sf_dir):
     users = table(spark, sf_dir, "events").select("user_id").distinct()

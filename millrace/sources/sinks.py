@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.sources.files import exists, hadoop_path
 
@@ -154,21 +155,41 @@ def transferred(listed: DataFrame, source: str, target: str, per_task: int = 16)
     return names.repartition(max(1, -(-names.count() // per_task)), "file").mapInArrow(run, "file string, bytes bigint")
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType)
+
+
+def content_digest(rows: DataFrame) -> list[Column]:
+    """Aggregates that tell the content of a table apart from another's, whatever the order of rows: ``rows``, for each
+    column the sum of its values' hashes, and over all columns together the sum and the exclusive or of the rows' hashes.
+
+    The sums find a value that has changed, those over whole rows values that have changed places between rows.
+    """
+    part = {f.name: F.to_json(F.struct(F.col(f"`{f.name}`"))) if _holds_map(f.dataType) else F.col(f"`{f.name}`") for f in rows.schema}
+    wide = lambda h: F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string")
+    own = [wide(F.xxhash64(F.lit(k), c)).alias(f"column {name}") for k, (name, c) in enumerate(part.items())]
+    # a null is hashed by its place too, so that it differs from no column
+    whole = F.xxhash64(*(x for k, c in enumerate(part.values()) for x in (F.lit(k), c.isNull(), c)))
+    return [F.count(F.lit(1)).alias("rows"), *own, wide(whole).alias("whole rows"), F.coalesce(F.bit_xor(whole), F.lit(0)).alias("whole rows, mixed")]
+
+
 def verified(rows: DataFrame, path: str, required: tuple[str, ...] = ()) -> None:
-    """A table that takes its place only after it was read back with its columns and as many rows as were written.
+    """A table that takes its place only after it was read back with its columns and the content that was written.
 
+    The digest of what is written is taken by an observation of the writing job,
+    and that of what was written by reading it again; see ``content_digest``.
     The table before it is moved aside, not deleted, until the new one stands;
     ``restored`` takes it back if the job ends in between.
     """
     spark = rows.sparkSession
     part = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
     written = Observation()
-    rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(part)
-    back = spark.read.parquet(part)
-    if lost := set(required or rows.columns) - set(back.columns):
-        raise ValueError(f"columns lost: {sorted(lost)}")
-    if (n := back.count()) != written.get["n"]:
-        raise ValueError(f"{written.get['n']} rows written, {n} read back")
+    rows.observe(written, *content_digest(rows)).write.parquet(part)
+    check_content(spark.read.parquet(part), rows.columns, written.get, required)
     target, store = hadoop_path(spark, path)
     old, _ = hadoop_path(spark, f"{path}.old")
     if restored(spark, path):
@@ -181,6 +202,18 @@ def verified(rows: DataFrame, path: str, required: tuple[str, ...] = ()) -> None
     store.delete(old, True)
 
 
+def check_content(back: DataFrame, columns: list[str], written: dict, required: tuple[str, ...] = ()) -> None:
+    """Raise unless a table has these columns and that content."""
+    if lost := set(required or columns) - set(back.columns):
+        raise ValueError(f"columns lost: {sorted(lost)}")
+    whole = back.select(*(F.col(f"`{c}`") for c in columns))
+    found = whole.agg(*content_digest(whole)).first().asDict()
+    if (n := found["rows"]) != written["rows"]:
+        raise ValueError(f"{written['rows']} rows written, {n} read back")
+    if odd := [name.removeprefix("column ") for name, value in written.items() if found.get(name) != value]:
+        raise ValueError(f"other content read back: {odd}")
+
+
 def save_best(spark: SparkSession, state: DataFrame, path: str, loss: float, best: float) -> float:
     """Overwrite the best state only if the loss is below the best so far; returns the best."""
     if not loss < best:

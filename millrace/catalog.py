@@ -247,14 +247,17 @@ def mixed_decode(spark, sf_dir):
     return ids.select("doc_id", F.sha2(tokens.decode_mixed(F.col("ids"), chars, BASE_VOCAB), 256).alias("text_sha256"))
 
 
-@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal, 'x/' || c_custkey || '.flac' AS relpath, (c_custkey * 8 + 16000)::BIGINT AS num_samples FROM customer")
+@query("SELECT c_nationkey AS list, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ordinal, 'x/' || c_custkey || '.flac' AS relpath, (c_custkey * 8 + 16000)::BIGINT AS num_samples FROM customer")
 def list_scan(spark, sf_dir):
-    """Customers written as a sample list below a header line, and read by its reader."""
+    """Customers written as a sample list for each nation, below a header line, and read by the lists' reader."""
     path = staging.scratch(spark, "list")
-    k = F.col("c_custkey")
-    lines = table(spark, sf_dir, "customer").select(k.cast("bigint").alias("at"), F.concat(F.lit("x/"), k.cast("string"), F.lit(".flac\t"), (k * 8 + 16_000).cast("string")).alias("value"))
-    lines.unionAll(spark.createDataFrame([(-1, "/root")], "at bigint, value string")).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
-    return files.sample_list(spark, path).select(F.col("ordinal").cast("bigint").alias("ordinal"), "relpath", F.col("num_samples").cast("bigint").alias("num_samples"))
+    k, n = F.col("c_custkey").cast("bigint"), F.col("c_nationkey")
+    customers = table(spark, sf_dir, "customer")
+    lines = customers.select(n, k.alias("at"), F.concat(F.lit("x/"), k.cast("string"), F.lit(".flac\t"), (k * 8 + 16_000).cast("string")).alias("value"))
+    heads = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(-1).cast("bigint").alias("at"), F.lit("/root").alias("value"))
+    lines.unionByName(heads).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "at").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    found = files.sample_list(spark, path, keep_file=True)
+    return found.select(F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).cast("int").alias("list"), F.col("ordinal").cast("bigint").alias("ordinal"), "relpath", F.col("num_samples").cast("bigint").alias("num_samples"))
 
 
 @query("SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents")

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import schemas
+from millrace.operators.staging import staged
 from millrace.sources import json_arrays
 
-# Fixed value: where lines end in the transcript format.
-LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+# Fixed value: where lines end in the transcript format besides line feeds and carriage returns.
+OTHER_LINE_ENDS = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -67,18 +68,27 @@ def eval_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of each file with their place; a file's last line end makes no empty line."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    text = F.regexp_replace("value", f"(?:{LINE_ENDS})\\z", "")
-    return whole.where("value <> ''").select("file", F.posexplode(F.split(text, LINE_ENDS, -1)).alias("line", "value"))
+    """Lines of each file with their place, read in as many pieces as the file is cut into.
+
+    Spark's reader ends lines at line feeds and carriage returns; the other line
+    ends are found inside its lines.  Rows of a piece come in order, so a place is
+    one within the piece plus the lines of the pieces before it.
+    """
+    found = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_piece"), F.explode(F.split("value", OTHER_LINE_ENDS, -1)).alias("value"))
+    found = staged(found.withColumn("_at", F.monotonically_increasing_id()), "lines")
+    pieces = found.groupBy("file", "_piece").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = pieces.select("file", "_piece", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return found.join(before, ["file", "_piece"]).select("file", (F.col("_at") + F.col("_shift")).alias("line"), "value")
 
 
-def sample_list(spark: SparkSession, path: str) -> DataFrame:
-    """``ordinal``, ``relpath``, ``num_samples`` of a sample list: the first line and blank lines don't count; a row without exactly two fields is an error."""
+def sample_list(spark: SparkSession, path: str, keep_file: bool = False) -> DataFrame:
+    """``ordinal``, ``relpath``, ``num_samples`` of sample lists, if asked for behind their ``file``: the first line and blank lines don't count; a row without exactly two fields is an error."""
     rows = _lines(spark, path).where("line > 0").where(~F.col("value").rlike(r"\A\s*\z"))
     parts = F.split("value", "\t", -1)
     checked = F.when(F.size(parts) == 2, parts).otherwise(F.raise_error(F.concat(F.lit("not two fields: "), "value")))
-    return rows.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("ordinal"), checked.alias("p")).select("ordinal", F.get("p", F.lit(0)).alias("relpath"), F.get("p", F.lit(1)).cast("bigint").alias("num_samples"))
+    named = rows.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("ordinal"), checked.alias("p"))
+    return named.select(*(["file"] if keep_file else []), "ordinal", F.get("p", F.lit(0)).alias("relpath"), F.get("p", F.lit(1)).cast("bigint").alias("num_samples"))
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:

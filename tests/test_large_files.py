@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources import archives, framed, json_arrays
+from millrace.sources import archives, files, framed, json_arrays
 
 
 def tar(path, fmt, rng, n=200):
@@ -179,3 +179,21 @@ def test_framed_files_in_pieces(spark, tmp_path):
         (tmp_path / "cut" / "c.protos").write_bytes(whole[:cut])
         with pytest.raises(Exception, match="cut off"):
             framed.frame_pieces(spark, str(tmp_path / "cut")).collect()
+
+
+def test_lines_of_files_in_many_pieces(spark, tmp_path):
+    """Places count on over pieces; all line ends of the format end lines."""
+    rng = random.Random(4)
+    want = {}
+    for k in range(3):
+        text = "".join(rng.choice(["a", "bé", "", "x\ty", " "]) * rng.randrange(9) + rng.choice(["\n", "\r\n", "\r", "\x0b", "\x85", "\u2028"]) for _ in range(2000)) + "end" * (k % 2) + "\n" * (k == 2)
+        (tmp_path / f"{k}.wrd").write_bytes(text.encode())
+        want[f"{k}.wrd"] = text.splitlines() if not text.endswith(("\x0b", "\x85", "\u2028")) else [*text.splitlines(), ""]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = {}
+        for r in files._lines(spark, str(tmp_path)).collect():
+            got.setdefault(os.path.basename(r.file), {})[r.line] = r.value
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {f: [v for _, v in sorted(lines.items())] for f, lines in got.items()} == want

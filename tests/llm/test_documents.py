@@ -597,3 +597,26 @@ def test_verdicts(spark, edge, nothing):
     judged = quality_trees.judge_documents(edge, trees)
     assert judged.count() == edge.count() and judged.where("n_words < 20 and kept").count() == 0
     assert quality_trees.fit(docs, labels.limit(0)) is None and quality_trees.judge_documents(nothing, None).count() == 0
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    """Pieces give what one piece gives, also across texts and at their starts; memory follows the text by a small factor."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = {"aa": ["the", "house", "and", "of"], "bb": ["das", "haus", "und", "von"], "cc": ["la", "casa", "y", "de"]}
+    model = langid_kn.estimate({k: [langid_kn.letters(" ".join(rng.choices(w, k=200))) for _ in range(5)] for k, w in words.items()})
+    texts = [langid_kn.letters(t) for t in ["", "the", "das haus und xyz " * 300, "q", "la casa y the house " * 77, "", "of"]]
+    whole, size = model.entropies(texts)
+    for at_once in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(langid_kn, "AT_ONCE", at_once)
+        found, again = model.entropies(texts)
+        assert np.allclose(found, whole, rtol=1e-9) and (again == size).all()
+    monkeypatch.setattr(langid_kn, "AT_ONCE", 1 << 17)
+    long = "the house and the casa of " * 200_000
+    tracemalloc.start()
+    entropy, size = model.entropies([langid_kn.letters(long)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.scores(entropy, size)[0][0] == 0 and peak < 45 * len(long) + (64 << 20)
+    assert model.scores(np.array([[1.0, 1.0, 1.0]]), np.array([5]))[0][0] == 0  # ties go to the first name

@@ -82,23 +82,26 @@ class SkipIfBusy:
             self.thread.join()
 
 
-def count_batches(stream: DataFrame, key: str, value: str, size: int) -> DataFrame:
-    """The mean of every ``size`` values of a key in order of arrival; what is left waits for more."""
-    key_kind = dict(stream.dtypes)[key]
+def count_batches(stream: DataFrame, key: str, value: str, size: int, order: str) -> DataFrame:
+    """The mean of every ``size`` values of a key; what is left waits for more.
+
+    Values of a trigger count in the order of ``order``, those of later triggers
+    behind them, so a run that starts again gives the same means.
+    """
+    kinds = dict(stream.dtypes)
 
     def act(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, n, total = state.get if state.exists else (0, 0, 0.0)
         out = []
-        for batch in batches:
-            for v in batch[value].astype(float):
-                n, total = n + 1, total + v
-                if n == size:
-                    out.append((k[0], number, total / size))
-                    number, n, total = number + 1, 0, 0.0
+        for v in pd.concat(list(batches)).sort_values(order, kind="stable")[value].astype(float):
+            n, total = n + 1, total + v
+            if n == size:
+                out.append((k[0], number, total / size))
+                number, n, total = number + 1, 0, 0.0
         state.update((number, n, total))
         yield pd.DataFrame(out, columns=[key, "micro_batch", "mean"])
 
-    return stream.select(key, value).groupBy(key).applyInPandasWithState(act, f"{key} {key_kind}, micro_batch bigint, mean double", "number bigint, n bigint, total double", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(*dict.fromkeys([key, value, order])).groupBy(key).applyInPandasWithState(act, f"{key} {kinds[key]}, micro_batch bigint, mean double", "number bigint, n bigint, total double", "append", GroupStateTimeout.NoTimeout)
 
 
 def cycled(spark: SparkSession, rows: DataFrame, rounds: int) -> DataFrame:

@@ -208,10 +208,15 @@ def test_streams_resume_and_skip(spark, tmp_path):
 
 
 def test_count_batches(spark, tmp_path):
-    spark.createDataFrame([("k", float(i)) for i in range(7)], "k string, v double").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = watch.count_batches(watch.folder_stream(spark, f"{tmp_path}/in", "k string, v double"), "k", "v", 3)
-    watch.run_available(stream, f"{tmp_path}/log", watch.idempotent(f"{tmp_path}/out"))
-    assert sorted((r.micro_batch, r["mean"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, 1.0), (1, 4.0)]
+    """Values count by their order column, whatever order the shuffle brings them in; a rest waits for the next trigger."""
+    write = lambda rows: spark.createDataFrame(rows, "k string, v double, at bigint").repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = [(k, float(i * 10), i) for k in "kl" for i in (5, 0, 3, 6, 1, 4, 2)]
+    write(rows)
+    run = lambda: watch.run_available(watch.count_batches(watch.folder_stream(spark, f"{tmp_path}/in", "k string, v double, at bigint"), "k", "v", 3, "at"), f"{tmp_path}/log", watch.idempotent(f"{tmp_path}/out"))
+    run()
+    write([("k", 90.0, 8), ("k", 80.0, 7)])
+    run()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("k", "micro_batch", "mean").collect()) == [("k", 0, 10.0), ("k", 1, 40.0), ("k", 2, 230 / 3), ("l", 0, 10.0), ("l", 1, 40.0)]
     assert watch.cycled(spark, spark.range(3), 2).count() == 6
 
 

@@ -21,7 +21,8 @@ lets more stretches through to the join, and no result changes.
 
 Defined results: A-Z count as a-z; words are runs of ASCII letters, digits and
 all characters beyond ASCII.  A null or wordless text has no words and no
-hits.  A null or wordless item, or an item without an id, has no windows.
+hits.  A null or wordless item has no windows.  Windows of an item without an id
+hit words like others, but there is no id to count or list.
 Rows that share an item id are one item.  Repeated documents are judged row by
 row, so each keeps its own result.
 """
@@ -60,11 +61,11 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> list[list[bytes]]:
 class PrefixIndex:
     """Windows filed under their rarest word."""
 
-    def __init__(self, items: list[tuple[str, bytes]], counts: dict[bytes, int], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], counts: dict[bytes, int], window: int = WINDOW):
         #: rarest word -> {(place in the window, words of the window)}
         self.places: dict[bytes, set[tuple[int, int]]] = {}
         #: the window's words, joined -> the items that have it
-        self.items: dict[bytes, set[str]] = {}
+        self.items: dict[bytes, set[str | None]] = {}
         for item, raw in items:
             for w in windows_of(words_of(raw), window):
                 at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
@@ -72,7 +73,7 @@ class PrefixIndex:
                 self.items.setdefault(b" ".join(w), set()).add(item)
         self.prefixes = frozenset(self.places)
 
-    def probe(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def probe(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Stretches of words that are a window, and the items whose windows occur."""
         spans, found = [], set()
         if self.prefixes.isdisjoint(words):
@@ -115,8 +116,8 @@ def word_counts(docs: DataFrame, wanted: list[bytes], text_col: str = "text") ->
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``item`` (the id as a string) and ``raw`` of the items that can have windows."""
-    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw")).where("item is not null and length(raw) > 0")
+    """``item`` (the id as a string, null for none) and ``raw`` of the items that can have windows."""
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw")).where("length(raw) > 0")
 
 
 def _hash(word: bytes) -> int:
@@ -286,7 +287,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, id_col: str =
             for raw in batch.column(text_col).cast(pa.binary()):
                 words = words_of(raw.as_py())
                 spans, found = index.probe(words)
-                made.append((len(words), covered(spans), sorted(found)))
+                made.append((len(words), covered(spans), sorted(found - {None})))
             yield judged(batch, made)
 
     return out.mapInArrow(run, schema)

@@ -76,7 +76,7 @@ WITH words AS (
 ), hits AS (
     SELECT doc_id, item, i, n FROM stretches JOIN wanted USING (n, stretch)
 ), per_item AS (
-    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+    SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
 ), per_word AS (
     SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id
 )

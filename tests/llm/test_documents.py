@@ -371,14 +371,14 @@ def plain_hits(text, items):
     w, marks, found = fold(text), set(), set()
     for item, t in items:
         v = fold(t)
-        if item is None or not v:
+        if not v:
             continue
         for i in range(max(1, len(v) - 9)):
             win = v[i : i + 10]
             for j in range(len(w) - len(win) + 1):
                 if w[j : j + len(win)] == win:
                     marks |= set(range(j, j + len(win)))
-                    found.add(str(item))
+                    found |= set() if item is None else {str(item)}
     return len(w), len(marks), sorted(found)
 
 

@@ -29,6 +29,7 @@ row, so each keeps its own result.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -186,11 +187,11 @@ def filed_windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame
                 number = max(1, len(words) - window + 1) if words else 0
                 for first in range(0, number, PIECE):  # a piece has all words of its windows
                     some = words[first : min(first + PIECE, number) + window - 1]
-                    yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([first], pa.int64()), pa.array([some], pa.list_(pa.binary())), pa.array([[_hash(w) for w in some]], pa.list_(pa.int64()))], ["item", "first", "words", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([some], pa.list_(pa.binary())), pa.array([[_hash(w) for w in some]], pa.list_(pa.int64()))], ["item", "piece", "words", "hashes"])
 
-    pieces = staged(items.mapInArrow(cut, "item string, first bigint, words array<binary>, hashes array<bigint>"), "benchmark-pieces")
+    pieces = staged(items.mapInArrow(cut, "item string, piece bigint, words array<binary>, hashes array<bigint>"), "benchmark-pieces")
     wanted = pieces.select(F.explode("hashes").alias("word")).distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    ranked = pieces.select("item", "first", F.explode(F.array_distinct("hashes")).alias("word")).join(wanted, "word").groupBy("item", "first").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("counts"))
+    ranked = pieces.select("piece", F.explode(F.array_distinct("hashes")).alias("word")).join(wanted, "word").groupBy("piece").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("counts"))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,11 +201,11 @@ def filed_windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame
                     at = min(range(len(w)), key=lambda i: (known[_hash(w[i])], w[i], i))
                     seen[b" ".join(w)] = (_hash(w[at]), at, len(w))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * len(seen)), pa.array([r for r, *_ in seen.values()], pa.int64()), pa.array(list(seen), pa.binary()), pa.array(map(_hash, seen), pa.int64()), pa.array([x for _, x, _ in seen.values()], pa.int32()), pa.array([n for *_, n in seen.values()], pa.int32())],
+                    [pa.array([item] * len(seen), pa.string()), pa.array([r for r, *_ in seen.values()], pa.int64()), pa.array(list(seen), pa.binary()), pa.array(map(_hash, seen), pa.int64()), pa.array([x for _, x, _ in seen.values()], pa.int32()), pa.array([n for *_, n in seen.values()], pa.int32())],
                     ["item", "rare", "stretch", "key", "at", "size"],
                 )
 
-    joined = pieces.select("item", "first", "words").join(ranked, ["item", "first"]).select("item", "words", "counts")
+    joined = pieces.select("item", "piece", "words").join(ranked, "piece").select("item", "words", "counts")
     return staged(joined.mapInArrow(file, "item string, rare bigint, stretch binary, key bigint, at int, size int").distinct(), "benchmark-windows")
 
 

@@ -170,14 +170,23 @@ def code_tensors(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(_binary(spark, path, "*.npy"), decode, schemas.SEMANTIC_CODES)
 
 
+def pcm_samples(raw: bytes, width: int) -> np.ndarray:
+    """Samples of 1 to 4 bytes, little-endian, in [-1, 1); those of one byte are unsigned."""
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    if width == 3:  # the lowest byte of four is zero
+        padded = np.zeros((len(raw) // 3, 4), np.uint8)
+        padded[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        return padded.reshape(-1).view("<i4") / 2.0**31
+    return np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
+
+
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``sample_rate`` and ``channels`` of 16-bit WAV files, samples in [-1, 1)."""
+    """``path``, ``sample_rate`` and ``channels`` of PCM WAV files of 8 to 32 bits, samples in [-1, 1)."""
 
     def decode(name: str, content: bytes):
         with wave.open(io.BytesIO(content)) as w:
-            if w.getsampwidth() != 2:
-                raise ValueError(f"not 16 bit: {name}")
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).T / 32768
+            x = pcm_samples(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels()).T
             yield name, w.getframerate(), x.tolist()
 
     return _decoded(_binary(spark, path, "*.wav"), decode, T.StructType([T.StructField("path", T.StringType()), T.StructField("sample_rate", T.IntegerType()), T.StructField("channels", T.ArrayType(T.ArrayType(T.DoubleType())))]))

@@ -76,6 +76,18 @@ def test_tensors_archives_and_audio(spark, tmp_path):
     assert row.sample_rate == 8000 and row.channels == [[0.5, -0.5], [0.0, 0.0]]
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_wav_files_of_all_widths(spark, tmp_path, width):
+    top = 1 << (8 * width - 1)
+    samples = [0, 1, -1, top - 1, -top, top // 3]
+    raw = b"".join((x + top).to_bytes(1) if width == 1 else x.to_bytes(width, "little", signed=True) for x in samples)
+    with wave.open(f"{tmp_path}/x.wav", "wb") as w:
+        w.setnchannels(2), w.setsampwidth(width), w.setframerate(16000)
+        w.writeframes(raw)
+    row = files.wav_files(spark, str(tmp_path)).first()
+    assert row.channels == [[x / top for x in samples[c::2]] for c in (0, 1)]
+
+
 def _message(number, body):
     return bytes([number << 3 | 2, len(body)]) + body
 

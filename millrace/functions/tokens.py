@@ -93,7 +93,7 @@ def ids_in_range(ids: Column, total: int) -> Column:
 
 def checked_ids(ids: Column, total: int) -> Column:
     """The ids, or an error if one lies outside ``[0, total)``."""
-    return F.when(ids_in_range(ids, total), ids).otherwise(F.raise_error(F.lit("token id out of range")))
+    return let(ids, lambda i: F.when(ids_in_range(i, total), i).otherwise(F.raise_error(F.lit("token id out of range"))))
 
 
 def no_collision(base_size: int, added: int = KHMER_SIZE) -> bool:
@@ -133,7 +133,10 @@ def encode_with(text: Column, base: Encoder, added: Encoder, base_size: int) ->
     base ids.  Runs alternate, so each encoder gets its runs as one array and
     run ``i`` is number ``i // 2`` of its own.
     """
-    runs = script_runs(text)
+    return _encoded(script_runs(text), base, added, base_size)
+
+
+def _encoded(runs: Column, base: Encoder, added: Encoder, base_size: int) -> Column:
     own = lambda kind: F.transform(F.filter(runs, lambda r: r["kind"] == kind), lambda r: r["chunk"])
     both = F.struct(runs.alias("runs"), added(own("khmer")).alias("khmer"), base(own("other")).alias("other"))
 
@@ -149,7 +152,8 @@ def encode_with(text: Column, base: Encoder, added: Encoder, base_size: int) ->
 
 def encode_mixed(text: Column, khmer_ids: Column, base_size: int) -> Column:
     """Ids of a mixed text by the native stand-ins: bytes, and a character map (char to id) for Khmer runs."""
-    return encode_with(text, byte_encoder(base_size), char_encoder(khmer_ids), base_size)
+    # encoders in Python can't stand below a bound value; these can, so the runs are found once
+    return let(script_runs(text), lambda runs: _encoded(runs, byte_encoder(base_size), char_encoder(khmer_ids), base_size))
 
 
 def id_runs(ids: Column, base_size: int) -> Column:

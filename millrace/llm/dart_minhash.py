@@ -339,7 +339,8 @@ def linked(reps: DataFrame, owners: DataFrame, rows: DataFrame, least: float, we
     open_ = staged(members.join(full, "key"), "open")
     shown = open_.select("id").distinct()
     wanted = staged(owners.join(shown, "id", "left_semi"), "owners", light=True)
-    texts = staged(rows.select("place", "text").join(wanted, "place").groupBy("place", "id").agg(F.min("text").alias("text")).select("id", "text"), "texts")
+    # texts move once, whatever the size of the table, and are then where they are grouped
+    texts = staged(rows.select("place", "text").join(wanted.hint("merge"), "place").groupBy("place", "id").agg(F.min("text").alias("text")).select("id", "text"), "texts")
     release(members)
 
     candidates = open_.select(F.col("id").alias("a"), "b").where("a <> b")
@@ -412,7 +413,7 @@ def classes(rows: DataFrame, least: float = SIMILARITY, weighted: bool = False)
     known = made.where("same is not null").select("place", "id", "same")
     sets = known.groupBy("same").agg(F.min("place").alias("place"), F.min("id").alias("least_id"), F.count("*").alias("size"))
     sets = staged(sets.withColumn("rep", F.monotonically_increasing_id()), "sets", light=True)
-    reps = made.select("same", "place", "keys").join(sets.select("same", "place", F.col("rep").alias("id")), ["same", "place"]).select("id", "keys").dropDuplicates(["id"])
+    reps = made.select("same", "place", "keys").join(sets.select("same", "place", F.col("rep").alias("id")), ["same", "place"]).dropDuplicates(["same", "place"]).select("id", "keys")
     label = linked(reps, sets.select(F.col("rep").alias("id"), "place"), rows, least, weighted)
     named = staged(sets.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left").select("same", F.unhex(F.lpad(F.hex(F.coalesce("label", "rep")), 16, "0")).alias("class"), "least_id", "size"), "named", light=True)
     ids = staged(named.groupBy("class").agg(F.min("least_id").alias("class_id"), F.count("*").alias("size")), "ids", light=True)

@@ -1,30 +1,35 @@
 """Collocations: frequent phrases by how much more often their parts meet than chance.
 
 1. A count-min sketch of all phrases of one to five words: two rows of counters, a
-   phrase's upper bound being the lower of its two.  Tasks send their counters in
-   slices, which are summed by slice; what returns to the driver and goes to all
-   tasks is one bit a counter, whether it reaches the least count.  The number of
-   counters follows from the bytes of text; where ``MOST_CELLS`` is not enough, the
-   phrases are dealt by their hash and the corpus is read once for each share.
-2. Candidates are the phrases whose upper bound reaches the least count, each once.
-3. Candidates of a language are dealt into blocks of at most ``BLOCK_BYTES``, which
-   go to the tasks in rounds of at most ``ROUND_BYTES``.  Each block compiles into an
-   Aho-Corasick automaton of phrases guarded by spaces on both sides, which shards of
-   the corpus are run through; words stand between single spaces and a full stop of
-   its own between pieces, so overlapping matches count and none crosses a border.
-   Counts are summed by task and then over tasks: they are exact, the sketch only
-   keeps rare phrases out of the automata.
-4. Scores, dominated phrases and ranks are joins and windows over the counts.
+   phrase's upper bound being the lower of its two.  Counters stop at the least count,
+   so a byte holds one.  Tasks send them in slices, which are summed by slice; what
+   returns to the driver and goes to all tasks is one bit a counter, whether it reaches
+   the least count.  The number of counters follows from the bytes of text.
+2. Candidates are the phrases whose upper bound, and that of the phrases inside them,
+   reaches the least count.  The second reading counts their occurrences: a task keeps
+   phrases and counts in the order of their hashes and sends on what it cannot hold,
+   the rarest first; sums by phrase are exact, the sketch only keeps rare phrases out.
+3. Scores, dominated phrases and ranks are joins and windows over the counts.
+
+The corpus is read twice, and where ``MOST_CELLS`` is not enough, in ``SHARES`` shares
+of the phrases by their hash: four times, however large it is.  A sketch that is fuller
+than ``LOAD`` lets more rare phrases through to the sums.
 
 The sketch sees every phrase, so no frequent phrase is missed.  A phrase of which two
-64-bit hashes both equal another's would count as that one when candidates are told apart.
+64-bit hashes both equal another's would count as that one in the task that meets both.
+
+``listed_counts`` counts phrases of the caller's: they are dealt into blocks of at most
+``BLOCK_BYTES``, which go to the tasks in rounds of at most ``ROUND_BYTES``.  Each block
+compiles into an Aho-Corasick automaton of phrases guarded by spaces on both sides;
+words stand between single spaces and a full stop of its own between pieces, so
+overlapping matches count and none crosses a border.  It reads the corpus once a round.
 
 Defined results: a null text is an empty one; texts without words add nothing; a null
 language is ``und``.  Repeated documents count again.  An empty table gives an empty
 result.  Ties are in the order of the contract: score, count, phrase by UTF-8 bytes.
 Other columns, whatever their names, are not read.  Texts are processed whole: one of
 more than ``GROUP`` bytes is cut in front of a word, and each part sees the four words
-behind it, in the sketch and in the candidates; automata keep their state over cuts.
+behind it, in the sketch and in the candidates.
 """
 
 from __future__ import annotations
@@ -44,14 +49,16 @@ from millrace.llm.common import release, staged, work_path
 #: Words of a phrase at most, its least count, and rows of the result for each language.
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Counters of a row of the sketch at most, how full they are on average in parts of the least count, counters of a slice.
-MOST_CELLS, LOAD, SLICE = 1 << 25, 0.4, 1 << 15
+MOST_CELLS, LOAD, SLICE = 1 << 27, 0.6, 1 << 15
+#: Shares of the phrases that a sketch of their own each takes, at most.
+SHARES = 2
 #: Counts of phrases that tasks send together.
 COUNTERS = 1 << 12
 #: Bytes of phrases of an automaton, of all automata that tasks get at a time, and of text that is handled at once.
 BLOCK_BYTES, ROUND_BYTES, GROUP = 4 << 20, 8 << 20, 1 << 20
-#: Tasks that scan the corpus, for each core of the cluster, at most, bytes of text below which one a core is enough, and phrases that a task remembers.
-TASKS, TASK_BYTES, HELD = 4, 1 << 30, 1 << 19
-#: Counters stop there, and so many are raised at a time that none can wrap.
+#: Tasks that scan the corpus, for each core of the cluster, at most, bytes of text below which one a core is enough, phrases that a task holds, and that it sends together.
+TASKS, TASK_BYTES, HELD, BATCH = 4, 1 << 30, 1 << 21, 1 << 16
+#: The least count lies below.
 _FULL = 1 << 15
 
 #: Stands for the end of a piece, as a word of its own; no word has that character.
@@ -163,12 +170,12 @@ def _corpus(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFra
     return docs.select(F.col(f"`{text_col}`").alias("text"), lang.alias("lang")).coalesce(cores * max(1, min(TASKS, size // (cores * TASK_BYTES))))
 
 
-def raise_all(row: np.ndarray, places: np.ndarray) -> None:
-    """Add one at every place; counters stop above any least count of the sketch."""
-    for i in range(0, len(places), _FULL):
-        part = places[i : i + _FULL].astype(np.int64)
-        np.add.at(row, part, np.uint16(1))
-        row[part] = np.minimum(row[part], np.uint16(_FULL - 1))
+def raise_all(row: np.ndarray, places: np.ndarray, most: int = _FULL - 1) -> None:
+    """Add one at every place; counters stop at ``most``, so none of them wraps."""
+    places = np.sort(places.astype(np.uint32))
+    first = np.flatnonzero(np.diff(places, prepend=places[:1] ^ np.uint32(1)))
+    at = places[first]
+    row[at] = np.minimum(row[at] + np.diff(first, append=len(places)), most)
 
 
 def hot_cells(corpus: DataFrame, cells: int, least: int, shares: int, share: int) -> list[np.ndarray]:
@@ -178,15 +185,15 @@ def hot_cells(corpus: DataFrame, cells: int, least: int, shares: int, share: int
     small = np.uint8 if least < 256 else np.uint16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, rows, any_ = Grams(cells, shares, share), np.zeros((2, cells), np.uint16), False
+        grams, rows, any_ = Grams(cells, shares, share), np.zeros((2, cells), small), False
         for words, langs, most in groups(batches, grams.names):
             any_ = True
             for _, _, _, places in grams.of(word_hashes(words)[0], grams.seeds_of(langs), most):
                 for row, place in zip(rows, places):
-                    np.add.at(row, place.astype(np.int64), np.uint32(1))
+                    raise_all(row, place, least)
         step = min(SLICE, cells)
         for i in range(0, 2 * cells if any_ else 0, step):
-            part = np.minimum(rows.reshape(-1)[i : i + step], least).astype(small)
+            part = rows.reshape(-1)[i : i + step]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
@@ -210,37 +217,94 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
+class Tallies:
+    """Phrases of a task with their counts so far, in the order of their hashes."""
+
+    def __init__(self):
+        self.hashes, self.others, self.counts, self.langs = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.phrases = pa.array([], pa.large_string())
+        self.fresh: list[tuple] = []
+        self.waiting = 0
+
+    def add(self, words: pa.Array, size: int, at: np.ndarray, hashes: np.ndarray, others: np.ndarray, langs: np.ndarray) -> None:
+        """Phrases of ``size`` words that begin at ``at``."""
+        order = np.argsort(hashes)
+        at, hashes, others = at[order], hashes[order], others[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (others[1:] != others[:-1])
+        first = np.flatnonzero(new)
+        counts = np.diff(first, append=len(at))
+        at, hashes, others = at[first], hashes[first], others[first]
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = (self.hashes[place] == hashes) & (self.others[place] == others)
+            np.add.at(self.counts, place[known], counts[known])
+            at, hashes, others, counts = at[~known], hashes[~known], others[~known], counts[~known]
+        if len(at):
+            phrases = pc.binary_join_element_wise(*(words.take(pa.array(at + i)) for i in range(size)), " ")
+            self.fresh.append((hashes, others, counts, langs[at], phrases.cast(pa.large_string())))
+            self.waiting += len(at)
+
+    def merge(self) -> None:
+        parts = [(self.hashes, self.others, self.counts, self.langs, self.phrases), *self.fresh]
+        hashes, others, counts, langs = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.lexsort((others, hashes))
+        hashes, others, counts = hashes[order], others[order], counts[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (others[1:] != others[:-1])
+        first = np.flatnonzero(new)
+        self.hashes, self.others, self.langs = hashes[first], others[first], langs[order[first]]
+        self.counts = np.add.reduceat(counts, first) if len(first) else counts
+        self.phrases = pa.concat_arrays([p[4] for p in parts]).take(pa.array(order[first]))
+        self.fresh, self.waiting = [], 0
+
+    def taken(self, names: list[str], most: int) -> Iterator[pa.RecordBatch]:
+        """All but the ``most`` most frequent ones, which stay."""
+        leave = np.zeros(len(self.counts), bool)
+        leave[np.argsort(self.counts)[: max(0, len(leave) - most)]] = True
+        at = np.flatnonzero(leave)
+        for i in range(0, len(at), BATCH):
+            part = at[i : i + BATCH]
+            langs = pa.array(names, pa.string()).take(pa.array(self.langs[part]))
+            yield pa.RecordBatch.from_arrays([langs, self.phrases.take(pa.array(part)).cast(pa.string()), pa.array(self.counts[part], pa.int64())], ["lang", "phrase", "n"])
+        self.hashes, self.others, self.counts, self.langs = (x[~leave] for x in (self.hashes, self.others, self.counts, self.langs))
+        self.phrases = self.phrases.take(pa.array(np.flatnonzero(~leave)))
+
+
 def candidates(corpus: DataFrame, hot: list[np.ndarray], cells: int, shares: int, share: int) -> DataFrame:
-    """``lang`` and ``phrase`` of what may reach the least count, from each task once or more; with a null phrase, counts of words (``n``)."""
+    """``lang``, ``phrase`` and ``n`` of what may reach the least count: its occurrences, in parts of which their sum is exact; with a null phrase, counts of words."""
     shared = corpus.sparkSession.sparkContext.broadcast(hot)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, seen, totals = Grams(cells, shares, share), set(), np.zeros(0, np.int64)
+        grams, tallies, totals = Grams(cells, shares, share), Tallies(), np.zeros(0, np.int64)
         for words, langs, most in groups(batches, grams.names):
-            names = list(grams.names)
             (hashes, second), seeds = word_hashes(words), grams.seeds_of(langs)
             others = phrase_hashes(second, seeds, _MIX[1], WORDS)
-            out: list[tuple[str, str]] = []
-            for (k, at, h, places), (begin, other) in zip(grams.of(hashes, seeds, most), others):
+            parts = None
+            for (k, at, h, places), (begin, other) in zip(grams.of(hashes, seeds, len(words)), others):
                 if k == 1:
-                    more = np.bincount(langs[begin[begin < most]], minlength=len(names))
+                    more = np.bincount(langs[begin[begin < most]], minlength=len(grams.names))
                     more[: len(totals)] += totals
                     totals = more
-                on = _set(shared.value[0], places[0]) & _set(shared.value[1], places[1])
-                at, h = at[on], h[on]
-                other = other[np.searchsorted(begin, at)]
-                order = np.argsort(h)
-                at, h, other = at[order], h[order], other[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (other[1:] != other[:-1])
-                for i, one, two in zip(at[first].tolist(), h[first].tolist(), other[first].tolist()):
-                    if (key := one << 64 | two) not in seen:
-                        seen.add(key)
-                        out.append((names[langs[i]], " ".join(words[i : i + k].to_pylist())))
-            if len(seen) > HELD:
-                seen.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.nulls(len(out), pa.int64())], ["lang", "phrase", "n"])
+                if shares > 1:
+                    other = other[np.searchsorted(begin, at)]
+                elif parts is not None:  # a phrase is no more frequent than the two that are shorter by a word
+                    on = parts[at] & parts[at + 1]
+                    at, h, other, places = at[on], h[on], other[on], [p[on] for p in places]
+                on = _set(shared.value[0], places[0])
+                at, h, other, place = at[on], h[on], other[on], places[1][on]
+                on = _set(shared.value[1], place)
+                at, h, other = at[on], h[on], other[on]
+                parts = np.zeros(len(words) + 1, bool)
+                parts[at] = True
+                on = at < most
+                tallies.add(words, k, at[on], h[on], other[on], langs)
+            if tallies.waiting > HELD // 2:
+                tallies.merge()
+                if len(tallies.counts) > HELD:
+                    yield from tallies.taken(list(grams.names), HELD // 2)
+        tallies.merge()
+        yield from tallies.taken(list(grams.names), 0)
         if share == 0 and len(totals):
             yield pa.RecordBatch.from_arrays([pa.array(list(grams.names), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals, pa.int64())], ["lang", "phrase", "n"])
 
@@ -340,6 +404,23 @@ def tally(machine, tokens: list[bytes], counts: np.ndarray) -> None:
         counts += np.bincount(found, minlength=len(counts))
 
 
+def listed_counts(corpus: DataFrame, named: DataFrame, least: int) -> DataFrame:
+    """``lang``, ``phrase`` and ``f`` of listed phrases (``lang``, ``phrase``, each once) that occur often enough; the corpus is read once a round of automata."""
+    spark = corpus.sparkSession
+    dealt, rounds = _rounds(named)
+    dealt = staged(dealt, "rounds", light=True)
+    counted = work_path(spark, "counts")
+    empty = spark.createDataFrame([], "lang string, phrase string, f bigint")
+    empty.write.parquet(counted)
+    for k in range(rounds):
+        phrases: dict[str, list[str]] = {}
+        for r in dealt.where(F.col("round") == k).select("lang", "phrase").collect():
+            phrases.setdefault(r["lang"], []).append(r["phrase"])
+        matches(corpus.where(F.col("lang").isin(list(phrases))), phrases, least).write.mode("append").parquet(counted)
+    release(dealt)
+    return spark.read.schema(empty.schema).parquet(counted)
+
+
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most_cells: int = MOST_CELLS) -> tuple[DataFrame, DataFrame]:
     """Tables of ``lang``, ``phrase``, ``f`` for all phrases of at least ``least`` occurrences, and of ``lang``, ``n``, its words."""
     spark: SparkSession = docs.sparkSession
@@ -347,26 +428,15 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     corpus = _corpus(docs, text_col, lang_col, size)
     wanted = WORDS * size / 5 / (LOAD * least)  # five bytes a word, or somewhat more
     cells = max(SLICE, min(most_cells, 1 << (max(1, int(wanted)) - 1).bit_length()))
-    shares = max(1, -(-int(wanted) // cells))
+    shares = max(1, min(SHARES, -(-int(wanted) // cells)))
     path = work_path(spark, "candidates")
     for share in range(shares):
         hot = hot_cells(corpus, cells, least, shares, share)
         candidates(corpus, hot, cells, shares, share).write.mode("append").parquet(path)
     listed = spark.read.schema("lang string, phrase string, n bigint").parquet(path)
     totals = listed.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    named = staged(listed.where("phrase is not null").select("lang", "phrase").distinct(), "phrases", light=True)
-    dealt, rounds = _rounds(named)
-    dealt = staged(dealt, "rounds", light=True)
-    counted = work_path(spark, "counts")
-    empty = spark.createDataFrame([], "lang string, phrase string, f bigint")
-    empty.write.parquet(counted)
-    for k in range(rounds):
-        phrases: dict[str, list[str]] = {}
-        for r in dealt.where(F.col("round") == k).select("lang", "phrase").collect():
-            phrases.setdefault(r["lang"], []).append(r["phrase"])
-        matches(corpus.where(F.col("lang").isin(list(phrases))), phrases, least).write.mode("append").parquet(counted)
-    release(named, dealt)
-    return spark.read.schema(empty.schema).parquet(counted), totals
+    counts = listed.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return staged(counts, "counts", light=True), totals
 
 
 def _joined(words: Column, first: Column | int, size: Column | int) -> Column:

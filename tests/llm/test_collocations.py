@@ -129,6 +129,31 @@ def test_counters_stop(monkeypatch):
     assert row.tolist() == [0, 3, m._FULL - 1, 0]
 
 
+def test_counts_past_sixteen_bits(spark):
+    """Phrases of 2^16 occurrences and some more in one task are as frequent as they are."""
+    n = 65_536 + 50
+    df = spark.createDataFrame([("zq ;" * 50, "en")] + [("zq ;" * 1024, "en")] * 64, "text string, lang string").coalesce(1)
+    assert [tuple(r) for r in m.phrase_counts(df)[0].collect()] == [("en", "zq", n)]
+
+
+def test_readings_do_not_grow(spark, monkeypatch):
+    """However full the sketch, the corpus is read a fixed number of times; counts stay exact, and those by automata are the same."""
+    read = []
+    for name in ("hot_cells", "candidates"):
+        monkeypatch.setattr(m, name, lambda *a, f=getattr(m, name): read.append(f.__name__) or f(*a))
+    monkeypatch.setattr(m, "SLICE", 1 << 6)
+    monkeypatch.setattr(m, "ROUND_BYTES", 100)
+    monkeypatch.setattr(m, "BLOCK_BYTES", 100)
+    rows = drawn(7, 400)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    found = {(r.lang, r.phrase): r.f for r in m.phrase_counts(df, least=10, most_cells=1 << 6)[0].collect()}
+    assert found == {(g, p): f for g, c in plain_counts(rows)[0].items() for p, f in c.items() if f >= 10}
+    assert len(read) <= 2 * m.SHARES
+    some = spark.createDataFrame([k for k in sorted(found)[::40]], "lang string, phrase string")
+    counted = m.listed_counts(m._corpus(df, "text", "lang", 0), some, 10)
+    assert {(r.lang, r.phrase): r.f for r in counted.collect()} == {k: found[k] for k in sorted(found)[::40]}
+
+
 def test_overlaps_across_parts(monkeypatch):
     monkeypatch.setattr(m, "GROUP", 8 * 7)
     phrases = ["a", "a a", "a a a a a", "a b"]

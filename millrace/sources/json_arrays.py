@@ -12,6 +12,8 @@ that crosses blocks belongs to the task where it begins, which reads on to its e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +90,11 @@ def elements(spark: SparkSession, path: str, pattern: str | None = None, kind: s
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stores = ranges.Stores()
         for b in batches:
-            for name, at in zip(b.column("file").to_pylist(), b.column("at").to_pylist()):
+            ats, found = b.column("at").to_pylist(), []
+            for name, group in groupby(zip(b.column("file").to_pylist(), ats), itemgetter(0)):
                 with stores.open(name) as f:
-                    found = outline(np.frombuffer(f.read_at(min(block_bytes, f.size() - at), at), np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["file", "at", "outline"])
+                    found += [outline(np.frombuffer(f.read_at(min(block_bytes, f.size() - at), at), np.uint8)) for _, at in group]
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("at"), pa.array(found, pa.list_(pa.int64()))], ["file", "at", "outline"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, inside, escaped, depth = None, False, False, 0
@@ -110,17 +113,18 @@ def elements(spark: SparkSession, path: str, pattern: str | None = None, kind: s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stores = ranges.Stores()
         for b in batches:
-            for name, at, inside, escaped, depth in zip(*(b.column(c).to_pylist() for c in ("file", "at", "inside", "escaped", "depth"))):
+            for name, group in groupby(zip(*(b.column(c).to_pylist() for c in ("file", "at", "inside", "escaped", "depth"))), itemgetter(0)):
                 with stores.open(name) as f:
-                    yield from _elements(f, name, at, block_bytes, (inside, escaped, depth), kind)
+                    for _, at, *state in group:
+                        yield from _elements(f, name, at, block_bytes, tuple(state), kind)
 
     sizes = ranges.listed(spark, path, pattern).where("size > 0")
     pieces = sizes.select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(block_bytes).cast("bigint"))).alias("at"), F.lit(block_bytes).cast("bigint").alias("size"))
     pieces = staged(pieces, "json-blocks")
-    outlines = ranges.dealt(pieces, block_bytes).select("file", "at").mapInArrow(blocks, "file string, at bigint, outline array<bigint>")
+    outlines = ranges.dealt(pieces).select("file", "at").mapInArrow(blocks, "file string, at bigint, outline array<bigint>")
     states = outlines.repartition("file").sortWithinPartitions("file", "at").mapInArrow(walk, "file string, at bigint, inside boolean, escaped boolean, depth bigint")
     states = staged(states, "json-states").withColumn("size", F.lit(block_bytes).cast("bigint"))
-    return ranges.dealt(states, block_bytes).drop("size").mapInArrow(cut, "file string, at bigint, element string")
+    return ranges.dealt(states).drop("size").mapInArrow(cut, "file string, at bigint, element string")
 
 
 def _elements(f, name: str, at: int, block_bytes: int, state: tuple[bool, bool, int], kind: str) -> Iterator[pa.RecordBatch]:

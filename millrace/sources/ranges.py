@@ -90,4 +90,4 @@ def dealt(pieces: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     total = pieces.agg(F.sum("size")).first()[0] or 0
     bin_bytes = max(1, min(task_bytes, total // (4 * pieces.sparkSession.sparkContext.defaultParallelism) + 1))
     bins = pieces.withColumn("_bin", F.floor(F.col("at") / bin_bytes))
-    return spread(bins, "file", "_bin", tasks=-(-total // task_bytes)  if total > task_bytes else None).sortWithinPartitions("file", "at").drop("_bin")
+    return spread(bins, "file", "_bin", tasks=-(-total // bin_bytes) if total > task_bytes else None).sortWithinPartitions("file", "at").drop("_bin")

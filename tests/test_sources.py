@@ -252,3 +252,16 @@ def test_log_lines(spark, tmp_path):
     sinks.log_lines(spark.createDataFrame([(5,)], "step int"), f"{tmp_path}/log", "concat('step ', step)")
     assert spark.read.text(f"{tmp_path}/log").first().value.endswith("Z  step 5")
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_tasks_follow_bytes_not_blocks(spark, tmp_path):
+    """Many small blocks go together, and bytes beyond a task's share keep every core busy."""
+    from millrace.sources import json_arrays, ranges
+
+    cores, schema = spark.sparkContext.defaultParallelism, spark.sql("SELECT 1 AS i").schema
+    (tmp_path / "a.json").write_text("[" + ",".join(f'{{"i": {i}}}' for i in range(3000)) + "]")
+    found = json_arrays.records(spark, str(tmp_path), schema, block_bytes=64)
+    assert found.rdd.getNumPartitions() <= 4 * cores
+    assert sorted(r.i for r in found.collect()) == list(range(3000))
+    pieces = spark.range(100).selectExpr("'f' AS file", "id * 10 AS at", "10L AS size")
+    assert ranges.dealt(pieces, 900).rdd.getNumPartitions() >= cores

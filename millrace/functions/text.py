@@ -1,15 +1,17 @@
-"""Khmer text normalisation as column expressions; everything stays in the JVM.
+"""Khmer text normalisation as column expressions.
 
-A rewrite with a computed replacement is the zip of two native calls: the text
-between matches (``split``) and the matches (``regexp_extract_all``).  The
-replacement is then an expression over each match.
+Rewrites with a computed replacement run in Python, in Arrow batches and all passes
+of a text at once: expressions over matches are interpreted inside ``transform`` and
+took longer (figures in the README).  Everything else stays in the JVM.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ KHMER_DIGITS = "០១២៣៤៥៦៧៨៩"
 DIGIT_WORDS = ["សូន្យ", "មួយ", "ពីរ", "បី", "បួន", "ប្រាំ", "ប្រាំមួយ", "ប្រាំពីរ", "ប្រាំបី", "ប្រាំបួន"]
 TENS_WORDS = ["", "ដប់", "ម្ភៃ", "សាមសិប", "សែសិប", "ហាសិប", "ហុកសិប", "ចិតសិប", "ប៉ែតសិប", "កៅសិប"]
 UNIT_WORDS = ["សែន", "ម៉ឺន", "ពាន់", "រយ"]
+_SILENT = ["", *DIGIT_WORDS[1:]]
+#: Words by digit for each of six places.
+_BELOW_MILLION = [[w and w + unit for w in _SILENT] for unit in UNIT_WORDS] + [TENS_WORDS, _SILENT]
+#: Words by number of the two halves of six places, and by digit.
+_THOUSANDS, _ONES = ([a[i // 100] + b[i // 10 % 10] + c[i % 10] for i in range(1000)] for a, b, c in (_BELOW_MILLION[:3], _BELOW_MILLION[3:]))
+_DIGITS = {ord(str(i)): w for i, w in enumerate(DIGIT_WORDS)}
 MILLION, MINUS, POINT = "លាន", "ដក", "ក្បៀស"
 DOLLAR, RIEL = "ដុល្លារ", "រៀល"
 MONTHS = ["មករា", "កុម្ភៈ", "មីនា", "មេសា", "ឧសភា", "មិថុនា", "កក្កដា", "សីហា", "កញ្ញា", "តុលា", "វិច្ឆិកា", "ធ្នូ"]
@@ -28,15 +36,13 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 DIGIT = r"\p{Nd}"
 LONG_DATE = rf"{DAY}{SPACE}?({DIGIT}{{1,2}}){SPACE}?{MONTH}({'|'.join(MONTHS)}){SPACE}?{YEAR}{SPACE}?({DIGIT}{{3,4}})"
-NUMERIC_DATE = rf"(?<!{DIGIT})({DIGIT}{{1,2}})[/-]({DIGIT}{{1,2}})[/-]({DIGIT}{{4}})(?!{DIGIT})"
+# (a digit first and then what stands before it: searches skip to digits)
+NUMERIC_DATE = rf"({DIGIT}(?<!{DIGIT}{DIGIT}){DIGIT}?)[/-]({DIGIT}{{1,2}})[/-]({DIGIT}{{4}})(?!{DIGIT})"
 AMOUNT = rf"({DIGIT}[{DIGIT},]*)(?:\.({DIGIT}+))?"
 DOLLARS = rf"\${SPACE}?{AMOUNT}"
 RIEL_SIGN = rf"៛{SPACE}?{AMOUNT}"
 RIEL_WORD = rf"{AMOUNT}{SPACE}?{RIEL}"
-NUMBER = rf"(?<!{NOT_SPACE})({DIGIT}+)(?:\.({DIGIT}+))?(?!{NOT_SPACE}*[a-zA-Z])"
-
-_OTHER_DIGITS = [chr(c) for c in range(0x80, 0x1FBFA) if unicodedata.category(chr(c)) == "Nd" and c < 0x10000]
-
+NUMBER = rf"({DIGIT}(?<!{NOT_SPACE}{DIGIT}){DIGIT}*)(?:\.({DIGIT}+))?(?!{NOT_SPACE}*[a-zA-Z])"
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """An expression in which ``value`` is computed once, however often the body names it."""
@@ -47,11 +53,6 @@ def khmer_digits_to_ascii(text: Column) -> Column:
     return F.translate(text, KHMER_DIGITS, "0123456789")
 
 
-def ascii_digits(text: Column) -> Column:
-    """Decimal digits of any script as 0-9."""
-    return F.translate(text, "".join(_OTHER_DIGITS), "".join(str(unicodedata.digit(c)) for c in _OTHER_DIGITS))
-
-
 def _word(words: list[str], digit: Column) -> Column:
     return F.get(F.array(*map(F.lit, words)), digit.cast("int"))
 
@@ -63,9 +64,7 @@ def digits_read_out(digits: Column) -> Column:
 
 def below_million(six: Column) -> Column:
     """Words of six digits with leading zeros; zero has none."""
-    silent = ["", *DIGIT_WORDS[1:]]
-    tables = [[w and w + unit for w in silent] for unit in UNIT_WORDS] + [TENS_WORDS, silent]
-    return F.concat(*(_word(t, F.substring(six, i + 1, 1)) for i, t in enumerate(tables)))
+    return F.concat(*(_word(t, F.substring(six, i + 1, 1)) for i, t in enumerate(_BELOW_MILLION)))
 
 
 def number_words(digits: Column) -> Column:
@@ -90,55 +89,74 @@ def decimal_words(whole: Column, fraction: Column) -> Column:
     return F.concat(number_words(whole), F.when(F.coalesce(fraction, F.lit("")) == "", "").otherwise(F.concat(F.lit(POINT), digits_read_out(fraction))))
 
 
-def rewrite(text: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
-    """Every match of a pattern replaced by an expression over the match."""
+def _plain(digits: str) -> str:
+    return digits if digits.isascii() else "".join(str(unicodedata.digit(c)) for c in digits)
 
-    def replaced(t: Column) -> Column:
-        matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        joined = F.zip_with(F.split(t, pattern, -1), matches, lambda b, m: F.concat(b, F.when(m.isNull(), "").otherwise(replacement(m))))
-        return F.when(t.rlike(pattern), F.array_join(joined, "")).otherwise(t)
 
-    return let(text, replaced)
+def _spelled(digits: str) -> str:
+    """``number_words`` of one string."""
+    bare = _plain(digits).lstrip("0")
+    if not bare:
+        return DIGIT_WORDS[0]
+    bare = bare.zfill(-(-len(bare) // 6) * 6)
+    return MILLION.join(_THOUSANDS[int(bare[i : i + 3])] + _ONES[int(bare[i + 3 : i + 6])] for i in range(0, len(bare), 6))
 
 
-def _part(match: Column, pattern: str, group: int) -> Column:
-    return ascii_digits(F.regexp_extract(match, pattern, group))
+def _read_out(fraction: str | None) -> str:
+    return POINT + _plain(fraction).translate(_DIGITS) if fraction else ""
 
 
-def _date(day: Column, month: Column, year: Column) -> Column:
-    return F.concat(F.lit(DAY), number_words(day), F.lit(" " + MONTH), month, F.lit(" " + YEAR), number_words(year))
+def _dated(day: str, month: str, year: str) -> str:
+    return f"{DAY}{_spelled(day)} {MONTH}{month} {YEAR}{_spelled(year)}"
 
 
-def dates(text: Column) -> Column:
-    """Long dates, then D/M/Y with either separator; a month outside 1-12 leaves the text as it is."""
-    text = rewrite(text, LONG_DATE, lambda m: _date(_part(m, LONG_DATE, 1), F.regexp_extract(m, LONG_DATE, 2), _part(m, LONG_DATE, 3)))
+def _numeric_date(m: re.Match) -> str:
+    month = int(m[2])
+    return _dated(m[1], MONTHS[month - 1], m[3]) if 1 <= month <= 12 else m[0]
 
-    def numeric(m: Column) -> Column:
-        month = _part(m, NUMERIC_DATE, 2).cast("int")
-        return F.when(month.between(1, 12), _date(_part(m, NUMERIC_DATE, 1), F.get(F.array(*map(F.lit, MONTHS)), month - 1), _part(m, NUMERIC_DATE, 3))).otherwise(m)
 
-    return rewrite(text, NUMERIC_DATE, numeric)
+def _amount(unit: str) -> Callable[[re.Match], str]:
+    return lambda m: _spelled(m[1].replace(",", "")) + unit + _read_out(m[2])
 
 
-def currency(text: Column) -> Column:
-    """Dollars, the riel sign, then amounts before the word for riel."""
+#: A pattern, what a text with a match has one of, and the words of a match.
+_Pass = tuple[str, tuple[str, ...], Callable[[re.Match], str]]
+_DATES: list[_Pass] = [(LONG_DATE, (DAY,), lambda m: _dated(*m.groups())), (NUMERIC_DATE, ("/", "-"), _numeric_date)]
+_CURRENCY: list[_Pass] = [(DOLLARS, ("$",), _amount(DOLLAR)), (RIEL_SIGN, ("៛",), _amount(RIEL)), (RIEL_WORD, (RIEL,), _amount(RIEL))]
+_NUMBERS: list[_Pass] = [(NUMBER, ("",), lambda m: _spelled(m[1]) + _read_out(m[2]))]
+
 
-    def amount(pattern: str, unit: str) -> Callable[[Column], Column]:
-        def words(m: Column) -> Column:
-            whole, fraction = F.replace(_part(m, pattern, 1), F.lit(","), F.lit("")), _part(m, pattern, 2)
-            return F.concat(number_words(whole), F.lit(unit), F.when(fraction == "", "").otherwise(F.concat(F.lit(POINT), digits_read_out(fraction))))
+def _rewritten(text: Column, passes: list[_Pass]) -> Column:
+    """Every match of the patterns, one after another, replaced by its words."""
 
-        return words
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        ready = [(re.compile(pattern.replace(DIGIT, r"\d")).sub, marks, words) for pattern, marks, words in passes]
+        out = texts.to_pylist()
+        for i, t in enumerate(out):
+            if t is not None:
+                for sub, marks, words in ready:
+                    if any(mark in t for mark in marks):
+                        t = sub(words, t)
+                out[i] = t
+        return pa.array(out, pa.string())
 
-    for pattern, unit in ((DOLLARS, DOLLAR), (RIEL_SIGN, RIEL), (RIEL_WORD, RIEL)):
-        text = rewrite(text, pattern, amount(pattern, unit))
-    return text
+    return run(text)
+
+
+def dates(text: Column) -> Column:
+    """Long dates, then D/M/Y with either separator; a month outside 1-12 leaves the text as it is."""
+    return _rewritten(text, _DATES)
+
+
+def currency(text: Column) -> Column:
+    """Dollars, the riel sign, then amounts before the word for riel."""
+    return _rewritten(text, _CURRENCY)
 
 
 def plain_numbers(text: Column) -> Column:
     """Numbers that start a token without letters."""
-    bare = rf"^({DIGIT}+)(?:\.({DIGIT}+))?$"
-    return rewrite(text, NUMBER, lambda m: decimal_words(_part(m, bare, 1), _part(m, bare, 2)))
+    return _rewritten(text, _NUMBERS)
 
 
 def clean_space(text: Column) -> Column:
@@ -148,8 +166,8 @@ def clean_space(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Digits, dates, currency, plain numbers, white space: in that order. Texts without a digit take the short way."""
-    ready = khmer_digits_to_ascii(text)
-    return F.when(text.rlike(DIGIT), clean_space(plain_numbers(currency(dates(ready))))).otherwise(clean_space(text))
+    ready = F.when(text.rlike(DIGIT), khmer_digits_to_ascii(text))
+    return F.coalesce(clean_space(_rewritten(ready, _DATES + _CURRENCY + _NUMBERS)), clean_space(text))
 
 
 def patched(line: Column, pattern: str, replacement: str) -> Column:

@@ -218,6 +218,18 @@ def test_scanner_agrees_on_drawn_texts(normalized):
     assert normalized(texts) == [model(t) for t in texts]
 
 
+def test_digits_beyond_two_bytes(normalized):
+    texts = ["𝟘", "x 𝟙𝟚.𝟛", "$𝟙𝟚", "𝟙/𝟚/𝟙𝟡𝟠𝟟", "𝟜𝟝q"]
+    assert normalized(texts) == [model(t) for t in texts]
+
+
+def test_nothing_is_interpreted_by_match(spark):
+    """Lambdas over matches are interpreted; a text's rewrites are one call in an Arrow batch."""
+    rows = spark.createDataFrame([("5",)], "t string").select(X.normalize(F.col("t")).alias("n"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("run(") == 1
+
+
 def test_conditional(spark):
     rows = spark.createDataFrame([("6 y",)], "t string")
     (row,) = rows.select(X.conditional_normalize(F.col("t"), True).alias("a"), X.conditional_normalize(F.col("t"), False).alias("b")).collect()
